@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from halyard.llm import exact_dedup, sharding
+from halyard.llm import decontaminate, exact_dedup, licenses, sharding
 
-MODULES = (exact_dedup, sharding)
+MODULES = (exact_dedup, decontaminate, licenses, sharding)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
