@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from halyard.llm import decontaminate, exact_dedup, licenses, packing, sharding
+from halyard.llm import decontaminate, exact_dedup, licenses, packing, sharding, simhash
 
-MODULES = (exact_dedup, decontaminate, packing, licenses, sharding)
+MODULES = (exact_dedup, decontaminate, packing, simhash, licenses, sharding)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}

@@ -46,3 +46,32 @@ def licenses(docs, base):
             places += [(k, label) for k in range(len(w)) if w[k : k + len(p)] == p]
         out.append((d, len(w), len(places), min(places)[0] if places else None, max(places)[0] if places else None, ",".join(sorted({x[1] for x in places}))))
     return out
+
+
+def simhash(docs):
+    """docs: (doc_id, text) -> doc_id, fingerprint, component_id."""
+    import xxhash
+
+    prints = []
+    for _, t in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+        sh = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+        h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
+        prints.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
+    up = list(range(len(docs)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(docs)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 3:
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    low = {}
+    for i, (d, _) in enumerate(docs):
+        if d is not None:
+            low[find(i)] = min(low.get(find(i), d), d)
+    return [(d, f"{prints[i]:016x}", low.get(find(i))) for i, (d, _) in enumerate(docs)]
