@@ -23,39 +23,37 @@ RACK_SHARDS, REGION_RACKS = 4, 3
 SLOT_BUCKETS = 512
 
 
-def layout(shards: int) -> dict[int, dict[int, list[int]]]:
-    """Region -> rack -> shards."""
-    tree: dict[int, dict[int, list[int]]] = {}
-    for s in range(shards):
-        rack = s // RACK_SHARDS
-        tree.setdefault(rack // REGION_RACKS, {}).setdefault(rack, []).append(s)
-    return tree
+def tree(shards: int, weights: dict[int, float] | None = None) -> tuple[list[float], list[float], list[float]]:
+    """Weights of shards, racks and regions by number; places that no shard takes have none."""
+    regions = -(-shards // (RACK_SHARDS * REGION_RACKS))
+    leaf = [(weights or {}).get(s, 1.0) if s < shards else 0.0 for s in range(regions * REGION_RACKS * RACK_SHARDS)]
+    rack = [sum(leaf[i : i + RACK_SHARDS]) for i in range(0, len(leaf), RACK_SHARDS)]
+    region = [sum(rack[i : i + REGION_RACKS]) for i in range(0, len(rack), REGION_RACKS)]
+    return leaf, rack, region
 
 
-def draw(key: Column, name: str, weight: float) -> Column:
-    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(name)), 11)
-    return -F.log((bits.cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))) / F.lit(float(weight))
+def descend(key: Column, level: str, parent: Column, fanout: int, weights: list[float]) -> Column:
+    """The child of `parent`, numbered parent * fanout + i, whose draw is least."""
 
+    def draw(i: Column) -> Column:
+        node = parent * fanout + i
+        bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(level), node), 11)
+        u = (bits.cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
+        weight = F.element_at(F.lit(weights), node + 1)
+        return F.when(weight > 0, F.struct((-F.log(u) / weight).alias("draw"), node.alias("node")))
 
-def least(key: Column, children: list[tuple[str, float, Column]]) -> Column:
-    """The value of the child with the least draw."""
-    if len(children) == 1:
-        return children[0][2]
-    drawn = F.array(*[F.struct(draw(key, name, w).alias("d"), F.lit(i).alias("i")) for i, (name, w, _) in enumerate(children)])
-    return F.element_at(F.array(*[v for _, _, v in children]), F.array_min(drawn)["i"] + 1)
+    return F.array_min(F.transform(F.lit(list(range(fanout))), draw))["node"]
 
 
-def shard_of(key: Column, shards: int, weights: dict[int, float] | None = None) -> Column:
-    weights, tree = weights or {}, layout(shards)
-    w = lambda s: weights.get(s, 1.0)
-
-    def rack(r: int, members: list[int]) -> Column:
-        return least(key, [(f"shard{s}", w(s), F.lit(s)) for s in members])
-
-    def region(g: int, racks: dict[int, list[int]]) -> Column:
-        return least(key, [(f"rack{r}", sum(map(w, m)), rack(r, m)) for r, m in racks.items()])
-
-    return least(key, [(f"region{g}", sum(w(s) for m in racks.values() for s in m), region(g, racks)) for g, racks in tree.items()])
+def with_shard(rows: DataFrame, key: str, name: str, shards: int, weights: dict[int, float] | None = None) -> DataFrame:
+    leaf, rack, region = tree(shards, weights)
+    for level, column, parent, fanout, w in (
+        ("region", f"{name}_region", F.lit(0), len(region), region),
+        ("rack", f"{name}_rack", F.col(f"{name}_region"), REGION_RACKS, rack),
+        ("shard", name, F.col(f"{name}_rack"), RACK_SHARDS, leaf),
+    ):
+        rows = rows.withColumn(column, descend(F.col(key), level, parent, fanout, w))
+    return rows.drop(f"{name}_region", f"{name}_rack")
 
 
 def shard_rows(docs: DataFrame, shards: int, *, id_col: str = "doc_id", text_col: str = "text", weights: dict[int, float] | None = None) -> DataFrame:
@@ -70,12 +68,8 @@ def shard_rows(docs: DataFrame, shards: int, *, id_col: str = "doc_id", text_col
         (F.octet_length(text).cast("long") + 8).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
-    rows = rows.withColumns({
-        "shard": shard_of(F.col("doc_id"), shards, weights).cast("int"),
-        "grown_shard": shard_of(F.col("doc_id"), shards + 1, weights).cast("int"),
-        "salt": F.xxhash64("doc_id", "text_crc32", "size"),
-    })
-    rows = rows.withColumn("bucket", F.pmod("salt", F.lit(SLOT_BUCKETS)).cast("int"))
+    rows = with_shard(with_shard(rows, "doc_id", "shard", shards, weights), "doc_id", "grown_shard", shards + 1, weights)
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(SLOT_BUCKETS)).cast("int"))
     # equal rows are counted, not listed, so even a third of all rows being the same row is one row here
     same = rows.groupBy("doc_id", "size", "text_crc32", "shard", "grown_shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
