@@ -75,3 +75,20 @@ def simhash(docs):
         if d is not None:
             low[find(i)] = min(low.get(find(i), d), d)
     return [(d, f"{prints[i]:016x}", low.get(find(i))) for i, (d, _) in enumerate(docs)]
+
+
+def repeats(docs, width=200):
+    """docs: (doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    bodies, seen = [(t or "").encode() for _, t in docs], {}
+    for b in bodies:
+        for i in range(len(b) - width + 1):
+            seen[b[i : i + width]] = seen.get(b[i : i + width], 0) + 1
+    out = []
+    for (d, _), b in zip(docs, bodies, strict=True):
+        gone = bytearray(len(b))
+        for i in range(len(b) - width + 1):
+            if seen[b[i : i + width]] > 1:
+                gone[i : i + width] = b"\1" * width
+        spans = len(re.findall(rb"\x01+", gone))
+        out.append((d, len(b), sum(gone), spans, sha(bytes(c for c, g in zip(b, gone, strict=True) if not g))))
+    return out
