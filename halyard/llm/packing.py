@@ -13,6 +13,8 @@ tokenized whole; an empty table gives an empty result; columns besides id and te
 
 from __future__ import annotations
 
+import json
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -27,20 +29,35 @@ from halyard.llm.common import materialize, table, text_blocks
 SIZE = 2048
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a Python worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
+
+
+def byte_alphabet() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary; a space stays one."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(other)} | {32: " "}
 
 
 class WordCache:
-    """Ids of space-separated chunks.  No pre-token of this tokenizer holds white space, so chunks can be encoded alone."""
+    """Ids of space-separated chunks.  No pre-token of this tokenizer holds white space, so chunks can be encoded alone.
+
+    Words of plain lower-case letters are already normalised and are one pre-token each; they go in bulk to the same
+    merges without the normaliser and the pre-token pattern.  Everything else goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.tokenizer.no_padding()
-        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.last = np.zeros(max(vocab.values()) + 1, bool)
-        self.last[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.words = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=model["end_of_word_suffix"], cache_capacity=0))
+        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.alphabet = byte_alphabet()
+        self.last = np.zeros(max(model["vocab"].values()) + 1, bool)
+        self.last[[i for w, i in model["vocab"].items() if w.endswith(model["end_of_word_suffix"])]] = True
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.point = {c: self.alone([c.decode()])[0] for c in (b".", b",")}
         self.known: dict[bytes, bytes] = {b"": b""}
@@ -48,30 +65,34 @@ class WordCache:
     def alone(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def plain(self, chunk: bytes) -> bool:
+        s = chunk.decode("utf-8", "replace")
+        return s.isalpha() and (s.isascii() or max(s) < "\u0250" and s.lower() == s and unicodedata.is_normalized("NFC", s))
+
     def learn(self, chunks: set[bytes]) -> None:
-        known = self.known
+        known, point = self.known, self.point
         # a word's closing point or comma is a pre-token of its own
-        ended = [c for c in chunks if c[-1:] in self.point and c[-2:-1].isalpha()]
-        plain = ({c for c in chunks if not (c[-1:] in self.point and c[-2:-1].isalpha())} | {c[:-1] for c in ended}) - known.keys()
-        words, rest = [], []
-        for c in plain:
-            (words if (s := c.decode("utf-8", "replace")).isalpha() else rest).append((c, s))
-        for at in range(0, len(words), 1000):
-            part = words[at : at + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(s for _, s in part), add_special_tokens=False).ids, "<u4")
+        ended = [c for c in chunks if c[-1:] in point and c[-2:-1].isalpha()]
+        fresh = (chunks.difference(ended) | {c[:-1] for c in ended}).difference(known)
+        words = [c for c in fresh if self.plain(c)]
+        rest = list(fresh.difference(words))
+        parts = [words[at : at + 1000] for at in range(0, len(words), 1000)]
+        texts = [b" ".join(p).decode("latin-1").translate(self.alphabet) for p in parts]
+        for part, e in zip(parts, self.words.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
             stops = np.flatnonzero(self.last[ids]) + 1
             if len(stops) != len(part):
                 rest += part
                 continue
             raw, a = ids.tobytes(), 0
-            for (c, _), b in zip(part, (4 * stops).tolist(), strict=True):
+            for c, b in zip(part, (4 * stops).tolist(), strict=True):
                 known[c] = raw[a:b]
                 a = b
         for at in range(0, len(rest), 1000):
             part = rest[at : at + 1000]
-            known.update(zip((c for c, _ in part), self.alone([s for _, s in part]), strict=True))
+            known.update(zip(part, self.alone([c.decode("utf-8", "replace") for c in part]), strict=True))
         for c in ended:
-            known[c] = known[c[:-1]] + self.point[c[-1:]]
+            known[c] = known[c[:-1]] + point[c[-1:]]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian ids of each text."""
@@ -88,7 +109,7 @@ class WordCache:
         fresh: set[bytes] = set()
         for chunks in split:
             fresh.update(chunks)
-        self.learn(fresh - self.known.keys())
+        self.learn(fresh.difference(self.known))
         get = self.known.__getitem__
         return [b"".join(map(get, c)) if o is None else o for c, o in zip(split, out, strict=True)]
 
