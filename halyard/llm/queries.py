@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from halyard.llm import decontaminate, exact_dedup, licenses, line_dedup, packing, sharding, simhash, suffix_dedup, toxicity
+from halyard.llm import chat, decontaminate, exact_dedup, licenses, line_dedup, packing, sharding, simhash, suffix_dedup, toxicity
 
-MODULES = (exact_dedup, decontaminate, line_dedup, packing, suffix_dedup, simhash, toxicity, licenses, sharding)
+MODULES = (exact_dedup, decontaminate, line_dedup, packing, chat, suffix_dedup, simhash, toxicity, licenses, sharding)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
