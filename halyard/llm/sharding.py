@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from halyard.llm.common import table
+from halyard.llm.common import materialize, table
 
 RACK_SHARDS, REGION_RACKS = 4, 3
 #: Pieces into which a shard is dealt while its slots are numbered.
@@ -72,9 +72,10 @@ def shard_rows(docs: DataFrame, shards: int, *, id_col: str = "doc_id", text_col
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(SLOT_BUCKETS)).cast("int"))
     # equal rows are counted, not listed, so even a third of all rows being the same row is one row here
     same = rows.groupBy("doc_id", "size", "text_crc32", "shard", "grown_shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    same = materialize(same, "placed")  # numbered and counted from, so not to be made twice
     before = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
     same = same.withColumn("local", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    counts = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("c"))  # shards * SLOT_BUCKETS rows at most
+    counts = same.groupBy("shard", "bucket").agg(F.sum("n").alias("c"))  # shards * SLOT_BUCKETS rows at most
     earlier = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "bucket", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("start"))
     placed = same.join(starts, ["shard", "bucket"])
