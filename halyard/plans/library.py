@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from halyard.plans import retrieval
+from halyard.plans import library_ops, retrieval, text_ops
 
-MODULES = (retrieval,)
+MODULES = (retrieval, library_ops, text_ops)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
