@@ -48,10 +48,12 @@ def later_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """_has, _id, _hash of each document that repeats earlier lines, and the numbers at which such runs of min_run begin."""
     found = materialize(windows(docs, id_col, text_col, min_run), "line-windows")
     # min_run neighbouring windows often pick the same fingerprint, so counting windows keeps every repeated one
-    repeated = found.groupBy("_mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_mark")
+    # both lookup tables are written: a join of two exchanges can be split at a hot key, one over an aggregate can't
+    repeated = materialize(found.groupBy("_mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_mark"), "line-marks")
     near = found.join(repeated, "_mark", "left_semi")
     place = F.struct("_has", "_id", "_hash", "_at")
     earliest = near.groupBy("_w1", "_w2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("_w1", "_w2", "first")
+    earliest = materialize(earliest, "line-firsts")
     later = near.join(earliest, ["_w1", "_w2"]).filter(place > F.col("first"))
     return later.groupBy("_has", "_id", "_hash").agg(F.collect_set("_at").alias("_runs"))
 
