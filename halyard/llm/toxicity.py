@@ -158,11 +158,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(term, pa.int32()))
             yield pa.RecordBatch.from_arrays([lists, part.column(part.schema.get_field_index("toxic"))], names=["terms", "toxic"])
 
-    rows = texts.mapInArrow(pick, "terms array<int>, toxic int").orderBy("toxic", "terms").toArrow()  # `sample` rows at most, in one order
-    lists = rows.column(0).combine_chunks()
-    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
-    doc, term = np.repeat(np.arange(len(sizes)), sizes), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    return fit(model, doc, term, rows.column(1).to_numpy().astype(float))
+    rows = sorted((r["toxic"], r["terms"]) for r in texts.mapInArrow(pick, "terms array<int>, toxic int").collect())  # `sample` rows at most, in one order
+    doc = np.repeat(np.arange(len(rows)), [len(t) for _, t in rows])
+    term = np.array([x for _, t in rows for x in t], np.int64)
+    return fit(model, doc, term, np.array([y for y, _ in rows], float))
 
 
 def scored(docs: DataFrame, model: Model, *, text_col: str = "text", name: str = "score") -> DataFrame:
