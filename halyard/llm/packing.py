@@ -14,6 +14,7 @@ tokenized whole; an empty table gives an empty result; columns besides id and te
 from __future__ import annotations
 
 import json
+import string
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from halyard.llm.common import materialize, table, text_blocks
+from halyard.llm.common import LOWER_BYTE, MASKS, lanes, materialize, slice_hashes, table, text_blocks
 
 SIZE = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -39,11 +40,54 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(other)} | {32: " "}
 
 
+SPACE_BYTE, ALNUM_BYTE, LETTER_BYTE, PUNCT_BYTE = (np.zeros(256, bool) for _ in range(4))
+SPACE_BYTE[[0x20, 0x0A]] = True
+LETTER_BYTE[0x61:0x7B] = True
+ALNUM_BYTE[0x30:0x3A] = ALNUM_BYTE[0x61:0x7B] = True
+PUNCT_BYTE[list(string.punctuation.encode())] = True
+
+
+class SlotTable:
+    """Open addressing over arrays: the hash and first bytes of a chunk, and its number.  Looks up many at once."""
+
+    def __init__(self, limit: int):
+        self.mask = (1 << (2 * limit - 1).bit_length()) - 1
+        self.hash, self.head = np.zeros(self.mask + 1, np.uint64), np.zeros(self.mask + 1, np.uint64)
+        self.number = np.full(self.mask + 1, -1, np.int32)
+
+    def find(self, h: np.ndarray, head: np.ndarray) -> np.ndarray:
+        """The numbers of chunks, -1 for unknown ones."""
+        out = np.full(len(h), -1, np.int32)
+        left, slot = np.arange(len(h)), (h & np.uint64(self.mask)).astype(np.int64)
+        while len(left):
+            at = slot if len(left) == len(h) else slot[left]
+            held = self.hash[at]
+            hit = (held == h[left]) & (self.head[at] == head[left])
+            out[left[hit]] = self.number[at[hit]]
+            left = left[~hit & (held != 0)]
+            slot[left] = (slot[left] + 1) & self.mask
+        return out
+
+    def add(self, h: np.ndarray, head: np.ndarray, number: np.ndarray) -> None:
+        """Chunks of different hashes, none of them known."""
+        left, slot = np.arange(len(h)), (h & np.uint64(self.mask)).astype(np.int64)
+        while len(left):
+            at = slot[left]
+            free = self.hash[at] == 0
+            self.hash[at[free]] = h[left[free]]  # of several for one slot the last stays
+            mine = free & (self.hash[at] == h[left])
+            self.head[at[mine]], self.number[at[mine]] = head[left[mine]], number[left[mine]]
+            left = left[~mine]
+            slot[left] = (slot[left] + 1) & self.mask
+
+
 class WordCache:
-    """Ids of space-separated chunks.  No pre-token of this tokenizer holds white space, so chunks can be encoded alone.
+    """Ids of texts, chunk by chunk.
 
-    Words of plain lower-case letters are already normalised and are one pre-token each; they go in bulk to the same
-    merges without the normaliser and the pre-token pattern.  Everything else goes through the whole tokenizer.
+    A pre-token of this tokenizer holds no white space and ends where a letter or digit meets punctuation, so texts can
+    be cut there and chunks encoded alone, each once.  Words of plain lower-case letters are already normalised and are
+    one pre-token each; they go in bulk to the same merges without the normaliser and the pre-token pattern.  Everything
+    else goes through the whole tokenizer.
     """
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
@@ -59,59 +103,127 @@ class WordCache:
         self.last = np.zeros(max(model["vocab"].values()) + 1, bool)
         self.last[[i for w, i in model["vocab"].items() if w.endswith(model["end_of_word_suffix"])]] = True
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.point = {c: self.alone([c.decode()])[0] for c in (b".", b",")}
-        self.known: dict[bytes, bytes] = {b"": b""}
+        self.forget()
 
-    def alone(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def forget(self) -> None:
+        self.slots, self.known = SlotTable(self.limit), 0
+        self.first, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64)  # of a chunk's ids in the pool
+        self.pool, self.used = np.zeros(4096, "<u4"), 0
 
-    def plain(self, chunk: bytes) -> bool:
+    def alone(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def plain(self, chunk: bytes) -> bytes | None:
+        """A word of letters as the normaliser would leave it, if that is sure: letters below U+0250 are lower-cased one
+        by one, and all but one into one letter each."""
         s = chunk.decode("utf-8", "replace")
-        return s.isalpha() and (s.isascii() or max(s) < "\u0250" and s.lower() == s and unicodedata.is_normalized("NFC", s))
-
-    def learn(self, chunks: set[bytes]) -> None:
-        known, point = self.known, self.point
-        # a word's closing point or comma is a pre-token of its own
-        ended = [c for c in chunks if c[-1:] in point and c[-2:-1].isalpha()]
-        fresh = (chunks.difference(ended) | {c[:-1] for c in ended}).difference(known)
-        words = [c for c in fresh if self.plain(c)]
-        rest = list(fresh.difference(words))
-        parts = [words[at : at + 1000] for at in range(0, len(words), 1000)]
-        texts = [b" ".join(p).decode("latin-1").translate(self.alphabet) for p in parts]
-        for part, e in zip(parts, self.words.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        if not s.isalpha() or max(s) >= "\u0250" or "\u0130" in s or not unicodedata.is_normalized("NFC", s):
+            return None
+        return s.lower().encode()
+
+    def encoded(self, chunks: list[bytes], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the chunks, one after the other, and how many each has.  letters: whether it is a-z only."""
+        normal = [c if l else self.plain(c) for c, l in zip(chunks, letters.tolist(), strict=True)]
+        words, rest = [i for i, n in enumerate(normal) if n], [i for i, n in enumerate(normal) if not n]
+        count, parts = np.zeros(len(chunks), np.int64), []  # parts: chunks and all their ids
+        groups = [words[at : at + 1000] for at in range(0, len(words), 1000)]
+        texts = [b" ".join([normal[i] for i in g]).decode("latin-1").translate(self.alphabet) for g in groups]
+        for g, e in zip(groups, self.words.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
             stops = np.flatnonzero(self.last[ids]) + 1
-            if len(stops) != len(part):
-                rest += part
-                continue
-            raw, a = ids.tobytes(), 0
-            for c, b in zip(part, (4 * stops).tolist(), strict=True):
-                known[c] = raw[a:b]
-                a = b
+            if len(stops) == len(g):
+                count[g] = np.diff(stops, prepend=0)
+                parts.append((g, ids))
+            else:
+                rest += g
         for at in range(0, len(rest), 1000):
-            part = rest[at : at + 1000]
-            known.update(zip(part, self.alone([c.decode("utf-8", "replace") for c in part]), strict=True))
-        for c in ended:
-            known[c] = known[c[:-1]] + point[c[-1:]]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian ids of each text."""
-        out: list[bytes | None] = [None] * len(texts)
-        split: list[list[bytes]] = []
-        for i, t in enumerate(texts):
-            if any(s in t for s in self.special):  # lower-casing first could make one
-                out[i] = self.alone([t.decode("utf-8", "replace")])[0]
-                split.append([])
+            g = rest[at : at + 1000]
+            ids = self.alone([chunks[i].decode("utf-8", "replace") for i in g])
+            count[g] = [len(x) for x in ids]
+            parts.append((g, np.concatenate(ids)))
+        order = np.array([i for g, _ in parts for i in g], np.int64)
+        ids = np.concatenate([x for _, x in parts]) if parts else np.zeros(0, "<u4")
+        first = np.zeros(len(chunks), np.int64)
+        first[order] = np.cumsum(count[order]) - count[order]
+        return spread(ids, first, count), count
+
+    def learn(self, chunks: list[bytes], letters: np.ndarray, h: np.ndarray, head: np.ndarray) -> None:
+        ids, count = self.encoded(chunks, letters)
+        n, m = self.known + len(chunks), self.used + len(ids)
+        while n > len(self.first):
+            self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
+        while m > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.first[self.known : n], self.count[self.known : n] = self.used + np.cumsum(count) - count, count
+        self.pool[self.used : m] = ids
+        self.slots.add(h, head, np.arange(self.known, n, dtype=np.int32))
+        self.known, self.used = n, m
+
+    def encode(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a block's texts, one text after the other, and how many each has."""
+        raw = data.tobytes()
+        if any(s in raw for s in self.special):
+            return self.encode_special(raw, ends)
+        lower = LOWER_BYTE[data]
+        space = SPACE_BYTE[lower]
+        cut = np.ones(len(lower), bool)  # where a chunk may begin
+        cut[1:] = space[:-1] | (ALNUM_BYTE[lower[:-1]] & PUNCT_BYTE[lower[1:]])
+        cut[ends[:-1][ends[:-1] < len(lower)]] = True
+        start = np.flatnonzero(cut & ~space)
+        stop = np.append(start[1:], len(lower))
+        # white space behind a chunk isn't part of it
+        gap = np.append(np.flatnonzero(space), len(lower))
+        if len(start):
+            stop = np.minimum(stop, gap[np.searchsorted(gap, start)])
+        size = stop - start
+        view = lanes(lower)
+        h = slice_hashes(view, start, size) | np.uint64(1)
+        head = view[start] & MASKS[np.minimum(size, 8)]
+        number = self.slots.find(h, head)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            _, pick = np.unique(h[new], return_index=True)
+            if self.known + len(pick) > self.limit:
+                self.forget()
+                new = np.arange(len(h))
+                _, pick = np.unique(h, return_index=True)
+            if len(pick) > self.limit:
+                return self.encode_direct(raw, ends)
+            pick = new[pick]
+            low, a, b = lower.tobytes(), start[pick], stop[pick]
+            letter = np.concatenate([[0], np.cumsum(LETTER_BYTE[lower])])
+            self.learn([low[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)], letter[b] - letter[a] == b - a, h[pick], head[pick])
+            number[new] = self.slots.find(h[new], head[new])
+            if (number < 0).any():  # two chunks of one hash
+                return self.encode_direct(raw, ends)
+        count = self.count[number]
+        total = np.concatenate([[0], np.cumsum(count)])
+        where = total[np.searchsorted(start, ends)]
+        return spread(self.pool, self.first[number], count), np.diff(where)
+
+    def encode_direct(self, raw: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = ends.tolist()
+        ids = [self.alone([raw[a:b].decode("utf-8", "replace")])[0] for a, b in zip(at, at[1:], strict=False)]
+        return np.concatenate(ids) if ids else np.zeros(0, "<u4"), np.array([len(x) for x in ids], np.int64)
+
+    def encode_special(self, raw: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts with a special token's string go whole: cutting or lower-casing could break one or make one."""
+        out = []
+        for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False):
+            text = raw[a:b]
+            if any(s in text for s in self.special):
+                out.append(self.alone([text.decode("utf-8", "replace")])[0])
             else:
-                split.append(t.lower().replace(b"\n", b" ").split(b" "))
-        if len(self.known) > self.limit:
-            self.known = {b"": b""}
-        fresh: set[bytes] = set()
-        for chunks in split:
-            fresh.update(chunks)
-        self.learn(fresh.difference(self.known))
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) if o is None else o for c, o in zip(split, out, strict=True)]
+                out.append(self.encode(np.frombuffer(text, np.uint8), np.array([0, b - a]))[0])
+        return np.concatenate(out) if out else np.zeros(0, "<u4"), np.array([len(x) for x in out], np.int64)
+
+
+def spread(pool: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The runs of pool that begin at `first`, one after the other."""
+    total = np.cumsum(count)
+    where = np.repeat(first - (total - count), count)
+    where += np.arange(len(where))
+    return pool[where]
 
 
 CACHES: dict[str, WordCache] = {}
@@ -138,14 +250,14 @@ def kernel(name: str, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, seen, part = cache_for(name), np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
         for rows, data, ends in text_blocks(batches, "text"):
-            raw, at = data.tobytes(), ends.tolist()
+            ids, count = cache.encode(data, ends)
+            raw, at = ids.astype("<u4").tobytes(), 0
             out: list[tuple] = []
-            for d, ids in zip(rows.column(0).to_pylist(), cache.encode([raw[a:b] for a, b in zip(at, at[1:], strict=False)]), strict=True):
-                ids += b"\0\0\0\0"
-                n = len(ids) // 4
-                for k, s in enumerate(range(0, n, size)):
-                    length = min(size, n - s)
-                    out.append((d, k, s, length, zlib.crc32(ids[4 * s : 4 * (s + length)]), part, int(seen[length])))
+            for d, n in zip(rows.column(0).to_pylist(), count.tolist(), strict=True):
+                body, at = raw[4 * at : 4 * (at + n)] + b"\0\0\0\0", at + n
+                for k, s in enumerate(range(0, n + 1, size)):
+                    length = min(size, n + 1 - s)
+                    out.append((d, k, s, length, zlib.crc32(body[4 * s : 4 * (s + length)]), part, int(seen[length])))
                     seen[length] += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), OUT, strict=True)], schema=OUT)
 
