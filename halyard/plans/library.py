@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from halyard.plans import library_ops, retrieval, text_ops
+from halyard.plans import library_ops, retrieval, streams, text_ops
 
-MODULES = (retrieval, library_ops, text_ops)
+MODULES = (retrieval, library_ops, text_ops, streams)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}

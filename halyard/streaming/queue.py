@@ -12,15 +12,19 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 MAX_RETRIES, STALE_SECONDS = 3, 600
 
 
-def claim(queue: DataFrame, n: int) -> DataFrame:
-    """The next n pending items: least priority number, then oldest."""
-    return queue.filter(F.col("status") == "PENDING").orderBy("priority", "created", "media_id").limit(n)
-
-
 def is_stale(heartbeat: Column, now: Column, seconds: int = STALE_SECONDS) -> Column:
     return heartbeat < now - F.make_interval(secs=F.lit(seconds))
 
 
+def claim(queue: DataFrame, n: int, now: Column | None = None) -> DataFrame:
+    """The next n items, least priority number first, then oldest: pending ones and, as of `now`, those whose worker
+    went silent."""
+    free = F.col("status") == "PENDING"
+    if now is not None:
+        free |= (F.col("status") == "PROCESSING") & is_stale(F.col("heartbeat"), now)
+    return queue.filter(free).orderBy("priority", "created", "media_id").limit(n)
+
+
 def reclaim(queue: DataFrame, now: Column) -> DataFrame:
     """Items whose worker went silent are pending again."""
     orphan = (F.col("status") == "PROCESSING") & is_stale(F.col("heartbeat"), now)
