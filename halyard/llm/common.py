@@ -36,10 +36,17 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "halyard-checkpoints")
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """df in some tasks per core at most.  Each reads several small partitions one by one and writes one file of them;
+    no rows move, and no task holds more than one partition."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(24, cores * (4 if cores < 64 else 32)))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read back, so that lost executors or later branches don't repeat its work."""
     path = f"{shared_dir(df.sparkSession)}/halyard-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    few_files(df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -21,7 +21,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -240,15 +239,15 @@ def cache_for(name: str) -> WordCache:
     return CACHES[name]
 
 
-OUT = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("nth", pa.int64())])
-OUT_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
+OUT = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("nth", pa.int64())])
+OUT_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, nth long"
 
 
 def kernel(name: str, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Pieces, numbered within their partition and length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, seen, part = cache_for(name), np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
+        cache, seen = cache_for(name), np.zeros(size + 1, np.int64)
         for rows, data, ends in text_blocks(batches, "text"):
             ids, count = cache.encode(data, ends)
             raw, at = ids.astype("<u4").tobytes(), 0
@@ -257,7 +256,7 @@ def kernel(name: str, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
                 body, at = raw[4 * at : 4 * (at + n)] + b"\0\0\0\0", at + n
                 for k, s in enumerate(range(0, n + 1, size)):
                     length = min(size, n + 1 - s)
-                    out.append((d, k, s, length, zlib.crc32(body[4 * s : 4 * (s + length)]), part, int(seen[length])))
+                    out.append((d, k, s, length, zlib.crc32(body[4 * s : 4 * (s + length)]), int(seen[length])))
                     seen[length] += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), OUT, strict=True)], schema=OUT)
 
@@ -363,7 +362,8 @@ def places(plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, tokenizer: str = TOKENIZER) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece."""
     texts = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text")
-    pieces = materialize(texts.mapInArrow(kernel(tokenizer, size), OUT_DDL), "pieces")
+    pieces = texts.mapInArrow(kernel(tokenizer, size), OUT_DDL).withColumn("part", F.spark_partition_id())
+    pieces = materialize(pieces, "pieces")
     counts = pieces.groupBy("part", "length").agg((F.max("nth") + 1).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))

@@ -2,8 +2,27 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
 from halyard.llm import chat, decontaminate, exact_dedup, licenses, line_dedup, packing, sharding, simhash, suffix_dedup, toxicity
+from halyard.llm.common import few_files
 
+Query = Callable[[SparkSession, str], DataFrame]
 MODULES = (exact_dedup, decontaminate, line_dedup, packing, chat, suffix_dedup, simhash, toxicity, licenses, sharding)
-QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+
+
+def modest(query: Query) -> Query:
+    """The query, its result in few files."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return few_files(query(spark, sf_dir))
+
+    return run
+
+
+QUERIES = {k: modest(v) for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}

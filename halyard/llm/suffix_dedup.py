@@ -30,7 +30,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -148,21 +147,16 @@ def send_texts(width: int) -> Kernel:
     return run
 
 
-NUMBERED = pa.schema([("id", pa.int64()), ("sha", pa.string()), ("z", pa.binary())])
-
-
-def number_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text once, with a number; all rows of a sha are in one task."""
-    seen, base = set(), TaskContext.get().partitionId() << 36
+def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text once; all rows of a sha are in one task."""
+    seen: set[bytes] = set()
     for b in batches:
-        out = []
-        for sha, z in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            digest = bytes.fromhex(sha)
-            if digest not in seen:
-                out.append((base + len(seen), sha, z.as_py()))
-                seen.add(digest)
-        if out:
-            yield batch(NUMBERED, *zip(*out, strict=True))
+        digests = [bytes.fromhex(sha) for sha in b.column(0).to_pylist()]
+        fresh = []
+        for d in digests:
+            fresh.append(d not in seen)
+            seen.add(d)
+        yield b.filter(pa.array(fresh, pa.bool_()))
 
 
 def unpacked(batches: Iterator[pa.RecordBatch], column: str = "z", limit: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -378,7 +372,8 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (start, end, start, end ... in bytes)."""
     body = F.coalesce(F.col(text_col), F.lit(""))
     sent = docs.select(body.alias("text")).mapInArrow(send_texts(width), "sha string, z binary")
-    texts = materialize(sent.repartition(F.col("sha")).mapInArrow(number_texts, "id long, sha string, z binary"), "texts")
+    texts = sent.repartition(F.col("sha")).mapInArrow(once, "sha string, z binary")
+    texts = materialize(texts.select(F.monotonically_increasing_id().alias("id"), "sha", "z"), "texts")
     found = texts.select("id", "sha", "z").mapInArrow(send_anchors(width), ANCHOR_DDL).repartition(F.col("key"))
     found = found.mapInArrow(repeated_anchors, "id long, start long, n long, key long")
     of_text = found.groupBy("id").agg(F.collect_list(F.struct("start", "n", "key")).alias("found"))  # at most a text's own
