@@ -12,11 +12,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from halyard.ship import ship
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 #: Text bytes that a kernel handles at once; a longer single document is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 M1 = np.uint64(0x9E3779B97F4A7C15)
 M2 = np.uint64(0xBF58476D1CE4E5B9)
@@ -36,6 +38,13 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "halyard-checkpoints")
 
 
+def prepare(spark: SparkSession) -> None:
+    """This package goes to the Python workers, and rows go there a few MB at a time; at the default, both sides hold ten
+    times as much."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 2 * BLOCK_BYTES)
+
+
 def few_files(df: DataFrame) -> DataFrame:
     """df in some tasks per core at most.  Each reads several small partitions one by one and writes one file of them;
     no rows move, and no task holds more than one partition."""

@@ -29,7 +29,7 @@ from halyard.llm.common import LOWER_BYTE, MASKS, lanes, materialize, slice_hash
 SIZE = 2048
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a Python worker remembers.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -127,8 +127,8 @@ class WordCache:
         count, parts = np.zeros(len(chunks), np.int64), []  # parts: chunks and all their ids
         groups = [words[at : at + 1000] for at in range(0, len(words), 1000)]
         texts = [b" ".join([normal[i] for i in g]).decode("latin-1").translate(self.alphabet) for g in groups]
-        for g, e in zip(groups, self.words.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
+        for g, text in zip(groups, texts, strict=True):
+            ids = np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.last[ids]) + 1
             if len(stops) == len(g):
                 count[g] = np.diff(stops, prepend=0)

@@ -159,7 +159,7 @@ def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.filter(pa.array(fresh, pa.bool_()))
 
 
-def unpacked(batches: Iterator[pa.RecordBatch], column: str = "z", limit: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def unpacked(batches: Iterator[pa.RecordBatch], column: str = "z", limit: int = BLOCK) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches whose texts have `limit` bytes or are one, and those texts."""
     press = zstandard.ZstdDecompressor()
     for b in batches:
