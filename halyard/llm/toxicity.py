@@ -22,10 +22,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from halyard.llm.common import Words, lanes, materialize, mix, slice_hashes, table, text_blocks
-
-#: Labelled rows to learn from at most; terms of the model; documents a term must occur in; factors.
-SAMPLE, TERMS, MIN_DOCS, FACTORS = 20_000, 2048, 6, 6
+from halyard.llm.common import M1, Words, lanes, materialize, mix, slice_hashes, table, text_blocks
+
+#: Labelled rows to learn from at most; terms of the model at most; documents a term must occur in; factors.
+SAMPLE, TERMS, MIN_DOCS, FACTORS = 20_000, 2048, 5, 6
+#: What a term's split between the classes must reach on the likelihood-ratio statistic, above what the best of as many
+#: terms would by chance.
+EVIDENCE = 2.0
+SKETCH = 2
 PREFIXES = (4, 5)
 #: Out of so many parts of all ids, part 0 is held out.
 FOLDS = 5
@@ -54,6 +58,22 @@ def distinct(doc: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return doc[new], term[new]
 
 
+def sketch_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (text, toxic): these and SKETCH least hashes of neighbouring words, which copies with few edits mostly share."""
+    for part, data, ends in text_blocks(batches, "text"):
+        words = Words(data, ends)
+        h, some = slice_hashes(lanes(words.lower), words.starts, words.lengths), np.flatnonzero(words.counts)
+        after = np.append(h[1:], np.uint64(0))
+        after[words.first[1:][some] - 1] = 0
+        marks = []
+        for k in range(SKETCH):
+            mark = np.zeros(part.num_rows, np.uint64)
+            if len(some):
+                mark[some] = np.minimum.reduceat(mix(h * M1 + mix(after ^ np.uint64(k + 1))), words.first[:-1][some])
+            marks.append(pa.array(mark.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([*part.columns, *marks], names=[*part.schema.names, *(f"m{k}" for k in range(SKETCH))])
+
+
 def count_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (text, toxic): term, toxic documents and others that hold it, folded as far as one block reaches."""
     for part, data, ends in text_blocks(batches, "text"):
@@ -100,7 +120,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(model: Model, doc: np.ndarray, term: np.ndarray, label: np.ndarray, epochs: int = 30, batch: int = 512, rate: float = 0.05, shrink: float = 1e-4) -> Model:
+def fit(model: Model, doc: np.ndarray, term: np.ndarray, label: np.ndarray, epochs: int = 60, batch: int = 512, rate: float = 0.05, shrink: float = 1e-5) -> Model:
     """Adam on the logistic loss.  doc ascending."""
     n, rng = len(label), np.random.default_rng(7)
     theta = [np.array([model.bias]), model.weights, model.factors]
@@ -128,25 +148,46 @@ def fit(model: Model, doc: np.ndarray, term: np.ndarray, label: np.ndarray, epoc
                 b += 0.001 * (g * g - b)
                 x -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
     model.bias = float(theta[0][0])
+    model.bias -= dividing(model.raw(n, doc, term)[0], label)
     return model
 
 
+def dividing(raw: np.ndarray, label: np.ndarray) -> float:
+    """The score with the fewest of the sample on the wrong side; of equals, a quarter into the widest gap: below it lie
+    texts without any term, all at one score, above it texts with more or fewer."""
+    order = np.argsort(raw, kind="stable")
+    raw, label = raw[order], label[order]
+    gap = np.diff(raw)
+    wrong = np.cumsum(label)[:-1] + (1 - label).sum() - np.cumsum(1 - label)[:-1]
+    wrong = np.where(gap > 1e-9, wrong, np.inf)
+    if not len(gap) or np.isinf(wrong).all():
+        return 0.0
+    k = int(np.argmax(np.where(wrong == wrong.min(), gap, -1)))
+    return float(0.75 * raw[k] + 0.25 * raw[k + 1])
+
+
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id: str = "doc_id", sample: int = SAMPLE, n_terms: int = TERMS) -> Model:
     """The model that a bounded sample of the labels that aren't held out gives."""
     usable = labels.filter(F.col(label_id).isNotNull() & F.col(label_col).isNotNull() & ~held_out(label_id))
     usable = usable.groupBy(F.col(label_id).cast("long").alias("_id")).agg(F.max(label_col).cast("int").alias("toxic"))
     chosen = usable.orderBy(F.xxhash64("_id"), "_id").limit(sample)  # so many rows of 12 bytes are broadcast
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id").select("text", "toxic")
-    texts = materialize(texts, "labelled")
+    # a text that was copied, edited or not, is one witness
+    marks = [f"m{k}" for k in range(SKETCH)]
+    marked = texts.mapInArrow(sketch_kernel, ", ".join(["text string, toxic int", *(f"{m} long" for m in marks)]))
+    texts = materialize(marked.groupBy("toxic", *marks).agg(F.min("text").alias("text")).select("text", "toxic"), "labelled")
     classes = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     yes, no = classes.get(1, 0), classes.get(0, 0)
     bias = float(np.log((yes + 1) / (no + 1)))
     if not yes or not no:
         return Model(np.zeros(0, np.uint64), bias, np.zeros(0), np.zeros((0, FACTORS)))
     counts = texts.mapInArrow(count_kernel, "term long, yes long, no long").groupBy("term").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-    p, q, share = F.col("yes") / yes, F.col("no") / no, (F.col("yes") + F.col("no")) / (yes + no)
-    apart = F.abs(p - q) / F.sqrt(share * (1 - share) + F.lit(1e-9))
-    best = counts.filter(f"yes + no >= {MIN_DOCS}").select("term", apart.alias("apart")).orderBy(F.desc("apart"), "term").limit(n_terms)
+    n, base = F.col("yes") + F.col("no"), yes / (yes + no)
+    part = lambda k, share: F.when(k > 0, k * F.log(k / (n * share))).otherwise(0.0)
+    apart = 2 * (part(F.col("yes"), base) + part(F.col("no"), 1 - base))
+    rated = materialize(counts.filter(n >= MIN_DOCS).select("term", apart.alias("apart")), "terms")
+    best = rated.filter(F.col("apart") >= EVIDENCE + 2 * float(np.log(max(1, rated.count()))))
+    best = best.orderBy(F.desc("apart"), "term").limit(n_terms)
     found = np.sort(np.array([r["term"] for r in best.collect()], np.int64).view(np.uint64))
     rng = np.random.default_rng(7)
     model = Model(found, bias, np.zeros(len(found)), rng.normal(0, 0.02, (len(found), FACTORS)))

@@ -11,7 +11,8 @@ from halyard.llm import chat, queries, simhash, toxicity
 
 
 def labelled(n: int = 900):
-    rng, words = random.Random(2), ["".join(random.Random(i).choice("abcdefgh") for _ in range(5)) for i in range(300)]
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
     docs, labels = [], []
     for i in range(n):
         body = [rng.choice(words) for _ in range(rng.randint(5, 60))]
@@ -65,7 +66,7 @@ def test_pairs_of_terms_count(spark):
     rows = []
     for i in range(1500):
         a, b = rng.random() < 0.5, rng.random() < 0.5
-        rows.append((i, " ".join(["people"] * a + ["awful"] * b + ["x", rng.choice("qrst")]), int(a and b)))
+        rows.append((i, " ".join(["people"] * a + ["awful"] * b + [f"x{rng.randrange(200)}" for _ in range(6)]), int(a and b)))
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     model = toxicity.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
     texts = spark.createDataFrame([(1, "people x q"), (2, "awful x q"), (3, "people awful x q"), (4, "x q")], "doc_id long, text string")
