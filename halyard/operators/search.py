@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from halyard.config import PAGE_SIZE, Knobs
-from halyard.functions.vectors import dot, dot_same, is_valid
+from halyard.functions.vectors import dot, is_valid
 
 #: Bytes of query vectors that go to the executors at once; more queries take more passes over the index.
 QUERY_BYTES = 64 << 20
@@ -124,25 +126,67 @@ def two_stage(index: DataFrame, heads: DataFrame, queries: DataFrame, knobs: Kno
     return cut(score(index, queries, key=key).join(pool, ["query_id", key], "left_semi"), knobs, key=key)
 
 
+#: Vectors of a cell that a task holds while all that may be near them stream by.
+HOME_ROWS = 1024
+
+
 def near_duplicates(index: DataFrame, at_least: float = 0.97, *, key: str = "vec_id", vector: str = "embedding", pivots: int = 2) -> DataFrame:
     """(a, b, score) of unit vectors, a < b, with dot product at_least.
 
-    Such vectors are at most r = sqrt(2 - 2 at_least) apart, and so are their projections on any unit vector.  Rows are
-    dealt to cells of width r along `pivots` coordinate directions, and a row meets those of its own and the next cells:
-    an equi-join that finds every pair once.  For thresholds near 1 cells are small; for low ones few cells remain and
-    the join tends to all pairs, which is then what is asked for.
+    Such vectors are at most r = sqrt(2 - 2 at_least) apart, and so are their projections on any unit vector.  Rows live
+    in cells of width r along `pivots` coordinate directions and visit the neighbouring ones, so near vectors meet.  A
+    cell's inhabitants are dealt into blocks of about HOME_ROWS by its counted size; a task holds a block and multiplies
+    it with the visitors as they stream by, so a crowded cell costs more tasks, not more memory.  For thresholds near 1
+    cells are small; for low ones few cells remain and the join tends to all pairs, which is then what is asked for.
     """
     r = max((2 - 2 * at_least) ** 0.5, 1e-6) * (1 + 1e-9)
+    key_type = index.schema[key].dataType
     rows = index.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(is_valid("v"))
-    cells = [F.floor(F.element_at("v", i + 1) / r).cast("long").alias(f"c{i}") for i in range(pivots)]
-    left = rows.select("*", *cells)
-    right = left
-    for i in range(pivots):
-        near = F.explode(F.array(*[F.col(f"c{i}") + d for d in (-1, 0, 1)]))
-        right = right.withColumn(f"c{i}", near)
-    pairs = left.alias("a").join(right.alias("b"), [F.col(f"a.c{i}") == F.col(f"b.c{i}") for i in range(pivots)] + [F.col("a.id") < F.col("b.id")])
-    out = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), dot_same("a.v", "b.v").alias("score"))
-    return out.filter(F.col("score") >= at_least)
+    at = [F.floor(F.element_at("v", i + 1) / r).cast("long") for i in range(pivots)]
+    homes = rows.withColumn("cell", F.array(*at))
+    sizes = homes.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / HOME_ROWS).cast("int").alias("blocks"))
+    homes = homes.join(sizes, "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("visits"), "id", "v")
+    around = F.array(*[F.array(*[c + d for c, d in zip(at, step, strict=True)]) for step in itertools.product((-1, 0, 1), repeat=pivots)])
+    guests = rows.select(F.explode(around).alias("cell"), "id", "v").join(sizes, "cell")
+    guests = guests.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("visits"), "id", "v")
+    met = homes.unionByName(guests).repartition("cell", "block").sortWithinPartitions("cell", "block", "visits")
+    schema = T.StructType([T.StructField("a", key_type), T.StructField("b", key_type), T.StructField("score", T.DoubleType())])
+    return met.select(F.xxhash64("cell", "block").alias("group"), "visits", "id", "v").mapInArrow(pair_kernel(at_least), schema)
+
+
+def pair_kernel(at_least: float):  # noqa: ANN201
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, parts, names, held = None, [], [], {}
+        for batch in batches:
+            where, visits = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            edge = np.flatnonzero(np.append(True, (where[1:] != where[:-1]) | (visits[1:] != visits[:-1]))).tolist()
+            for lo, hi in zip(edge, [*edge[1:], batch.num_rows], strict=True):
+                part = batch.slice(lo, hi - lo)
+                if where[lo] != group:
+                    group, parts, names, held = where[lo], [], [], {}
+                if not visits[lo]:
+                    parts.append(part)
+                    continue
+                if parts:  # the block's inhabitants have all come: by length, as vectors of different lengths aren't compared
+                    home = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+                    size = home.column(3).value_lengths().to_numpy()
+                    for n in np.unique(size).tolist():
+                        some = home.filter(pa.array(size == n))
+                        held[n] = (some.column(2), dense(some.column(3)))
+                    parts = []
+                size = part.column(3).value_lengths().to_numpy()
+                for n in np.unique(size).tolist():
+                    if n not in held:
+                        continue
+                    guests = part.filter(pa.array(size == n))
+                    ids, matrix = held[n]
+                    scores = matrix @ dense(guests.column(3)).T
+                    i, j = np.nonzero(scores >= at_least)
+                    a, b = ids.take(pa.array(i)), guests.column(2).take(pa.array(j))
+                    keep = pc.less(a, b)
+                    yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep), pa.array(scores[i, j]).filter(keep)], names=["a", "b", "score"])
+
+    return run
 
 
 def score_matrix(texts: DataFrame, images: DataFrame, *, text: str = "query", name: str = "name") -> DataFrame:
