@@ -13,8 +13,9 @@ can match are put in one:
     a level holds distinct windows.
 3.  Matched windows go back to their text, which drops the union of what they cover.
 
-Equal bytes around an anchor are folded within a scan task before they travel, and so are equal anchors, so a group of
-copies costs a row for each task.
+Equal anchors, equal bytes around them and equal windows are folded within a task before they travel, so a group of
+copies costs two rows for each task.  An anchor with very many different surroundings would send them all to one task;
+its windows go to tasks by their own hashes instead.
 
 Null text counts as empty; a text shorter than `width` keeps all bytes; a text that occurs in several rows, repeated
 rows included, is all repeated if it is `width` long; texts are read whole, long ones in overlapping segments; matches
@@ -40,6 +41,8 @@ WIDTH, GRAM = 200, 32
 BLOCK = 1 << 20
 #: Anchors of a scan task that are folded before they are sent.
 ANCHORS = 2_000_000
+#: An anchor that occurs so often sends its windows to tasks by their own hashes rather than all to one.
+HOT = 512
 
 BYTE_HASH = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * M1)
 
@@ -174,19 +177,21 @@ def unpacked(batches: Iterator[pa.RecordBatch], column: str = "z", limit: int =
             yield b.slice(first, len(held)), held
 
 
-ANCHOR = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("known", pa.bool_())])
-ANCHOR_DDL = "key long, id long, start long, n long, known boolean"
+ANCHOR = pa.schema([("to", pa.int64()), ("key", pa.int64()), ("id", pa.int64()), ("at", pa.int64()), ("copies", pa.int64())])
+ANCHOR_DDL = "to long, key long, id long, at long, copies long"
 
 
 def folded_anchors(key: np.ndarray, text: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """Anchors that repeat here are known to; the first of each goes under its key for others to meet, the rest under
-    keys that spread them."""
+    """The first of each key goes to that key's task, with how many it stands for; the others are known to repeat and go
+    to tasks that spread them.  at: first window << 8 | windows."""
     order = np.argsort(key, kind="stable")
     key, text, start, n = key[order], text[order], start[order], n[order]
     new = np.append(True, key[1:] != key[:-1])
-    alone = new & np.append(new[1:], True)
-    sent = np.where(new, key, mix(text.astype(np.uint64) * M1 ^ start.astype(np.uint64) * M2))
-    return batch(ANCHOR, sent.view(np.int64), text, start, n, ~alone)
+    first = np.flatnonzero(new)
+    copies = np.zeros(len(key), np.int64)
+    copies[first] = np.diff(np.append(first, len(key)))
+    to = np.where(new, key, mix(text.astype(np.uint64) * M1 ^ start.astype(np.uint64) * M2))
+    return batch(ANCHOR, to.view(np.int64), key.view(np.int64), text, start << 8 | n, copies)
 
 
 def send_anchors(width: int) -> Kernel:
@@ -206,64 +211,97 @@ def send_anchors(width: int) -> Kernel:
     return run
 
 
-REPEATED = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("key", pa.int64())])
+REPEATED = pa.schema([("id", pa.int64()), ("at", pa.int64()), ("key", pa.int64())])
 
 
-def repeated_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows of a key are here: those that are known to repeat, or now seen to."""
-    held = [tuple(c.to_numpy(zero_copy_only=False) for c in b.columns) for b in batches if b.num_rows]
-    if not held:
-        return
-    key, text, start, n, known = (np.concatenate(x) for x in zip(*held, strict=True))
-    del held
-    order = np.argsort(key, kind="stable")
-    same = key[order][1:] == key[order][:-1]
-    keep = known.copy()
-    keep[order[1:][same]] = True
-    keep[order[:-1][same]] = True
-    pick = np.flatnonzero(keep)
-    for at in range(0, len(pick), 200_000):
-        p = pick[at : at + 200_000]
-        yield batch(REPEATED, text[p], start[p], n[p], key[p])
+def repeated_anchors(hot: int) -> Kernel:
+    """Anchors whose key is known to repeat, or now seen to; and a row of id -1 for each key of `hot` anchors or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [tuple(c.to_numpy() for c in b.columns) for b in batches if b.num_rows]
+        if not held:
+            return
+        to, key, text, at, copies = (np.concatenate(x) for x in zip(*held, strict=True))
+        del held
+        keep = copies != 1
+        own = np.flatnonzero(copies)  # one for each task that has the key
+        own = own[np.argsort(key[own], kind="stable")]
+        k = key[own]
+        first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
+        total = np.add.reduceat(copies[own], first) if len(k) else first
+        keep[own] = np.repeat(total, np.diff(np.append(first, len(k)))) > 1
+        many = k[first[total >= hot]]
+        if len(many):
+            yield batch(REPEATED, np.full(len(many), -1), np.zeros(len(many), np.int64), many)
+        pick = np.flatnonzero(keep)
+        for lo in range(0, len(pick), 200_000):
+            p = pick[lo : lo + 200_000]
+            yield batch(REPEATED, text[p], at[p], key[p])
+
+    return run
 
 
 CONTEXT = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("body", pa.binary())])
 CONTEXT_DDL = "key long, id long, start long, n long, body binary"
 
 
+class Folded:
+    """What a task has sent.  Of equal ones two are sent, so that where they meet the first is seen to repeat; any more
+    are results already, and so is the second."""
+
+    def __init__(self, limit: int):
+        self.seen: dict[object, bool] = {}
+        self.limit = limit
+
+    def __call__(self, mark: object) -> tuple[bool, bool]:
+        """Whether to send it, and whether it is known to repeat."""
+        if len(self.seen) > self.limit:
+            self.seen = {}
+        again = self.seen.get(mark)
+        self.seen[mark] = again is not None
+        return not again, again is not None
+
+
 def send_contexts(width: int) -> Kernel:
-    """From (id, sha, z, found): the bytes of the windows around each repeated anchor.  Equal ones are known to repeat: one
-    is sent, and the rest are results already."""
+    """From (id, sha, z, found): the bytes of the windows around each repeated anchor, to its key's task; around a hot
+    one each window by itself, to a task by its own hash.  Known results go as rows without bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, bool] = {}
+        contexts, windows = Folded(ANCHORS // 4), Folded(ANCHORS)
         for part, texts in unpacked(batches):
             found = part.column(3)
             rows = found.flatten()
-            start, n, key = (rows.field(x).to_numpy() for x in ("start", "n", "key"))
+            at, key = (rows.field(x).to_numpy() for x in ("at", "key"))
+            hot = rows.field("hot").to_numpy(zero_copy_only=False)
             owner = np.repeat(np.arange(part.num_rows), found.value_lengths().to_numpy())
             ids = part.column(0).to_numpy()[owner]
             out: list[tuple] = []
-            for i, d, s, m, k in zip(owner.tolist(), ids.tolist(), start.tolist(), n.tolist(), key.tolist(), strict=True):
+            for i, d, s, m, k, h in zip(owner.tolist(), ids.tolist(), (at >> 8).tolist(), (at & 255).tolist(), key.tolist(), hot.tolist(), strict=True):
                 body = texts[i][s : s + m - 1 + width]
-                mark = hashlib.blake2b(body, digest_size=16).digest()
-                if mark in seen:
-                    out.append((int.from_bytes(hashlib.blake2b(b"%d %d" % (d, s), digest_size=7).digest(), "little"), d, s, m, None))
-                    if seen[mark]:
-                        continue
-                    # whoever came first repeats too: a second copy under the anchor's key tells it so
-                    seen[mark] = True
-                else:
-                    seen[mark] = False
-                out.append((k, d, s, m, body))
-            if len(seen) > ANCHORS // 4:
-                seen = {}
+                send, known = contexts(hashlib.blake2b(body, digest_size=16).digest())
+                if known:
+                    out.append((spread_key(d, s), d, s, m, None))
+                if not send:
+                    continue
+                if not h:
+                    out.append((k, d, s, m, body))
+                    continue
+                for j, fp in enumerate(window_hashes(np.frombuffer(body, np.uint8), width).view(np.int64).tolist()):
+                    send, known = windows(fp)
+                    if known:
+                        out.append((spread_key(d, s + j), d, s + j, 1, None))
+                    if send:
+                        out.append((fp, d, s + j, 0, None))
             if out:
                 yield batch(CONTEXT, *zip(*out, strict=True))
 
     return run
 
 
+def spread_key(text: int, start: int) -> int:
+    return hash((text, start)) & 0x7FFFFFFFFFFFFFFF
+
+
 class Levels:
     """Sorted arrays of distinct windows in geometric sizes: fingerprint, text, place, and whether it has repeated."""
 
@@ -310,25 +348,29 @@ def runs_of(text: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
 
 
 def match_windows(width: int) -> Kernel:
-    """From contexts, all of a key in one task: runs of windows that repeat."""
+    """From contexts and single windows, all of a key in one task: runs of windows that repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = Levels()
         for b in batches:
-            given = pc.is_null(b.column(4)).to_numpy(zero_copy_only=False)
-            text, start, n = (b.column(i).to_numpy() for i in (1, 2, 3))
+            key, text, start, n = (b.column(i).to_numpy() for i in range(4))
+            bare = pc.is_null(b.column(4)).to_numpy(zero_copy_only=False)
+            given, single = bare & (n > 0), bare & (n == 0)
             if given.any():
                 yield batch(RUNS, text[given], start[given], n[given])
-            rows = b.filter(pa.array(~given))
-            if not rows.num_rows:
-                continue
-            text, start, n = (rows.column(i).to_numpy() for i in (1, 2, 3))
-            data, ends = string_parts(rows.column(4))
-            inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            fp = window_hashes(data, width)[np.repeat(ends[:-1], n) + inner]
-            hit, at = family.add(fp, np.repeat(text, n), np.repeat(start, n) + inner)
-            if len(hit):
-                yield runs_of(hit, at)
+            fps, texts, places = [key[single].view(np.uint64)], [text[single]], [start[single]]
+            if not bare.all():
+                data, ends = string_parts(b.column(4).filter(pa.array(~bare)))
+                t, s, m = text[~bare], start[~bare], n[~bare]
+                inner = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+                fps.append(window_hashes(data, width)[np.repeat(ends[:-1], m) + inner])
+                texts.append(np.repeat(t, m))
+                places.append(np.repeat(s, m) + inner)
+            fp = np.concatenate(fps)
+            if len(fp):
+                hit, at = family.add(fp, np.concatenate(texts), np.concatenate(places))
+                if len(hit):
+                    yield runs_of(hit, at)
         for hit, at in family.repeated():
             if len(hit):
                 yield runs_of(hit, at)
@@ -368,15 +410,17 @@ def cut_texts(width: int) -> Kernel:
     return run
 
 
-def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (start, end, start, end ... in bytes)."""
     body = F.coalesce(F.col(text_col), F.lit(""))
     sent = docs.select(body.alias("text")).mapInArrow(send_texts(width), "sha string, z binary")
     texts = sent.repartition(F.col("sha")).mapInArrow(once, "sha string, z binary")
     texts = materialize(texts.select(F.monotonically_increasing_id().alias("id"), "sha", "z"), "texts")
-    found = texts.select("id", "sha", "z").mapInArrow(send_anchors(width), ANCHOR_DDL).repartition(F.col("key"))
-    found = found.mapInArrow(repeated_anchors, "id long, start long, n long, key long")
-    of_text = found.groupBy("id").agg(F.collect_list(F.struct("start", "n", "key")).alias("found"))  # at most a text's own
+    found = texts.select("id", "sha", "z").mapInArrow(send_anchors(width), ANCHOR_DDL).repartition(F.col("to"))
+    found = materialize(found.mapInArrow(repeated_anchors(hot), "id long, at long, key long"), "anchors")
+    crowded = found.filter("id < 0").select("key", F.lit(True).alias("hot"))
+    found = found.filter("id >= 0").join(crowded, "key", "left")
+    of_text = found.groupBy("id").agg(F.collect_list(F.struct("at", "key", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("found"))  # at most a text's own
     contexts = texts.join(of_text, "id").select("id", "sha", "z", "found")  # the columns of the later join: one exchange serves both
     contexts = contexts.mapInArrow(send_contexts(width), CONTEXT_DDL)
     runs = contexts.repartition(F.col("key")).mapInArrow(match_windows(width), "id long, start long, n long")
