@@ -42,12 +42,22 @@ def docs(spark):
     return spark.createDataFrame([(d, t, "clash", 1) for d, t in corpus()], DOCS).repartition(3)
 
 
+@pytest.fixture
+def many_tasks(spark):
+    """Small shuffles stay dealt out, as large ones are."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 @pytest.fixture(scope="module")
 def none(spark):
     return spark.createDataFrame([], DOCS)
 
 
-def test_exact_dedup(docs, none):
+def test_exact_dedup(docs, none, many_tasks):
     groups: dict = {}
     for d, t in corpus():
         groups.setdefault((t or "").translate(brute.LOWER), []).append(d)
@@ -99,7 +109,7 @@ def test_longest_match(spark):
     assert (r["longest"], r["longest_at"], r["longest_item"], list(r["hits"])) == (40, 2, "9", [2, 42])
 
 
-def test_line_dedup(spark, docs, none):
+def test_line_dedup(spark, docs, none, many_tasks):
     def expected(rows_, run=2):
         order = sorted({(d is not None, d or 0, t) for d, t in rows_ if t is not None}, key=lambda x: x[:2])
         lines = {x: [(i, s.strip(" ")) for i, s in enumerate(x[2].split("\n")) if s.strip(" ")] for x in order}
@@ -124,12 +134,20 @@ def test_line_dedup(spark, docs, none):
     assert line_dedup.line_dedup(none).count() == 0
 
 
+def test_line_dedup_of_one_long_text(spark):
+    """Work that grew with the square of its lines would not end."""
+    body = "\n".join(["aa", "bb", "cc"] * 10_000)
+    docs = spark.createDataFrame([(1, body, "x"), (2, "aa\nzz", "y")], "doc_id long, text string, _id string")
+    got = line_dedup.line_dedup(docs, removed="gone")
+    assert rows(got) == [(1, "aa\nbb\ncc", "x", 29_997), (2, "aa\nzz", "y", 0)] and got.columns == [*docs.columns, "gone"]
+
+
 def test_line_dedup_is_native(docs):
     plan = line_dedup.line_dedup(docs.sparkSession.createDataFrame([(1, "a")], "doc_id long, text string").withColumn("text", F.col("text")))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
-def test_packing(docs, none):
+def test_packing(docs, none, many_tasks):
     import public_tokenizers
     from tokenizers import Tokenizer
 
@@ -193,9 +211,10 @@ def test_word_cache_round_trip():
             assert got == [e.ids for e in cache.tokenizer.encode_batch(texts[at : at + 100], add_special_tokens=False)]
 
 
-def test_suffix_dedup(docs, none):
+@pytest.mark.parametrize("hot", [1, 5, 10_000])
+def test_suffix_dedup(docs, none, many_tasks, hot):
     small = [(d, t) for d, t in corpus()]
-    got = suffix_dedup.repeated_spans(docs, width=60).drop("spans")
+    got = suffix_dedup.repeated_spans(docs, width=60, hot=hot).drop("spans")
     assert rows(got) == sorted(brute.repeats(small, 60), key=repr)
     assert suffix_dedup.repeated_spans(none).count() == 0
 
@@ -227,12 +246,12 @@ def test_levels_find_every_repeat():
     assert len(family.levels) < 10
 
 
-def test_simhash(docs, none):
+def test_simhash(docs, none, many_tasks):
     assert rows(simhash.near_duplicates(docs)) == sorted(brute.simhash(corpus()), key=repr)
     assert simhash.near_duplicates(none).count() == 0
 
 
-def test_keep_one(docs, none):
+def test_keep_one(docs, none, many_tasks):
     groups: dict = {}
     for d, _, c in brute.simhash(corpus()):
         groups.setdefault(c, []).append(d)
@@ -267,7 +286,7 @@ def test_bucket_links_when_large(monkeypatch):
     assert len(whole) < len(fps)
 
 
-def test_components_of_a_chain(spark):
+def test_components_of_a_chain(spark, many_tasks):
     n = 60
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001)], "u long, v long")
     roots = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
@@ -289,7 +308,7 @@ def test_license_with_errors(spark):
     assert "apache-2" in out[3]["labels"] and out[4]["labels"] == "" and out[5]["n_words"] == 0
 
 
-def test_sharding(docs, none):
+def test_sharding(docs, none, many_tasks):
     out = sharding.shard_rows(docs, 24).collect()
     assert Counter((r["doc_id"], r["size"]) for r in out) == Counter((d, len((t or "").encode()) + 8) for d, t in corpus())
     import zlib
