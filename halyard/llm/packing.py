@@ -267,7 +267,7 @@ Plan = list[tuple[tuple[int, ...], int]]  # lengths of a sequence's pieces, and
 
 
 def exact_fill(have: np.ndarray, gap: int) -> tuple[int, ...] | None:
-    """A single, pair or triple of available lengths that sums to gap, longest parts first."""
+    """A single, pair or triple of available lengths that sums to gap."""
     if gap <= 0:
         return None
     if have[gap]:
@@ -281,7 +281,7 @@ def exact_fill(have: np.ndarray, gap: int) -> tuple[int, ...] | None:
         for h in held:
             if h < len(left):
                 left[h] -= 1
-        a = np.arange(hi, lo - 1, -1)
+        a = np.arange(lo, hi + 1)  # the most even pair first: short pieces fill later gaps
         fits = (left[a] > 0) & (left[total - a] > (2 * a == total))
         return (int(a[k]), total - int(a[k])) if fits[k := int(np.argmax(fits))] else None
 
