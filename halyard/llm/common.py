@@ -57,9 +57,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read back, so that lost executors or later branches don't repeat its work."""
     path = f"{shared_dir(df.sparkSession)}/halyard-{name}-{uuid.uuid4().hex}"
     few_files(df).write.parquet(path)
+    WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tables that this process has written to the shared folder.
+WRITTEN: list[str] = []
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Deletes the tables that materialize() has written.  For the end of a job: results that aren't stored need them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def string_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and the n + 1 offsets into them of a string or binary column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

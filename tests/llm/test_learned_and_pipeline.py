@@ -147,3 +147,18 @@ def test_every_operator_is_registered():
     for n in range(1, 11):
         assert sum(q.startswith(f"op{n}_") for q in queries.QUERIES) == 1
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def test_written_tables_can_be_removed(spark, tmp_path):
+    import os
+
+    from halyard.llm import common
+
+    out = common.materialize(spark.range(5), "clean-up-test")
+    path = common.WRITTEN[-1]
+    assert out.count() == 5 and os.path.isdir(path)
+    kept = list(common.WRITTEN[:-1])
+    common.WRITTEN[:] = [path]
+    common.clean_up(spark)
+    assert not os.path.exists(path)
+    common.WRITTEN[:] = kept
