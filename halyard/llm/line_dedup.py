@@ -30,46 +30,59 @@ def lines_of(text: Column) -> Column:
 
 def keys(id_col: str, text_col: str) -> list[Column]:
     """What names a document: id, a flag in place of a null one, and the hash of its text."""
-    return [F.col(id_col).isNotNull().alias("_has"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("_id"), F.xxhash64(text_col).alias("_hash")]
+    return [F.col(id_col).isNotNull().alias("_halyard_has"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("_halyard_id"), F.xxhash64(text_col).alias("_halyard_hash")]
+
+
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once a row.  As plain projections the optimizer could move them into a lambda
+    that uses them, to be computed once for each of its elements; a generator stays where it is."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 def windows(docs: DataFrame, id_col: str, text_col: str, run: int) -> DataFrame:
     """One row for each `run` lines in a row: document, number of the first, fingerprint, and two hashes of them all."""
-    full = F.filter(F.transform(lines_of(F.col(text_col)), F.trim), lambda x: x != "")
-    rows = docs.filter(F.col(text_col).isNotNull()).select(*keys(id_col, text_col), full.alias("lines")).filter(F.size("lines") >= run)
-    rows = rows.select("_has", "_id", "_hash", F.transform("lines", lambda x: F.xxhash64(x)).alias("a"), F.transform("lines", lambda x: F.xxhash64(x, F.lit(1))).alias("b"))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.size("a") - run)).alias("_at"))
-    part = lambda c: [F.element_at(c, F.col("_at") + i + 1) for i in range(run)]
-    least = F.least(*part("a")) if run > 1 else part("a")[0]
-    return rows.select("_has", "_id", "_hash", "_at", least.alias("_mark"), F.xxhash64(*part("a")).alias("_w1"), F.xxhash64(*part("b")).alias("_w2"))
+    rows = docs.filter(F.col(text_col).isNotNull()).select(*keys(id_col, text_col), F.col(text_col).alias("text"))
+    rows = computed(rows, lines=F.filter(F.transform(lines_of(F.col("text")), F.trim), lambda x: x != "")).filter(F.size("lines") >= run)
+    rows = computed(rows, a=F.transform("lines", lambda x: F.xxhash64(x)), b=F.transform("lines", lambda x: F.xxhash64(x, F.lit(1))))
+
+    def window(i: Column) -> Column:
+        part = lambda c: [F.element_at(c, i + 1 + k) for k in range(run)]
+        least = F.least(*part("a")) if run > 1 else part("a")[0]
+        return F.struct(i.alias("_at"), least.alias("_mark"), F.xxhash64(*part("a")).alias("_w1"), F.xxhash64(*part("b")).alias("_w2"))
+
+    every = F.transform(F.sequence(F.lit(0), F.size("a") - run), window)
+    return rows.select("_halyard_has", "_halyard_id", "_halyard_hash", F.inline(every))
 
 
 def later_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
-    """_has, _id, _hash of each document that repeats earlier lines, and the numbers at which such runs of min_run begin."""
+    """_halyard_has, _id, _hash of each document that repeats earlier lines, and the numbers at which such runs of min_run begin."""
     found = materialize(windows(docs, id_col, text_col, min_run), "line-windows")
     # min_run neighbouring windows often pick the same fingerprint, so counting windows keeps every repeated one
     # both lookup tables are written: a join of two exchanges can be split at a hot key, one over an aggregate can't
     repeated = materialize(found.groupBy("_mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_mark"), "line-marks")
     near = found.join(repeated, "_mark", "left_semi")
-    place = F.struct("_has", "_id", "_hash", "_at")
+    place = F.struct("_halyard_has", "_halyard_id", "_halyard_hash", "_at")
     earliest = near.groupBy("_w1", "_w2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("_w1", "_w2", "first")
     earliest = materialize(earliest, "line-firsts")
     later = near.join(earliest, ["_w1", "_w2"]).filter(place > F.col("first"))
-    return later.groupBy("_has", "_id", "_hash").agg(F.collect_set("_at").alias("_runs"))
+    return later.groupBy("_halyard_has", "_halyard_id", "_halyard_hash").agg(F.collect_set("_at").alias("_halyard_runs"))
 
 
 def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN, removed: str | None = None) -> DataFrame:
     """docs with later repeated runs of lines taken out of their text; `removed` names a column for how many lines went."""
     runs = later_runs(docs, id_col=id_col, text_col=text_col, min_run=min_run)
-    joined = docs.select("*", *keys(id_col, text_col)).join(runs, ["_has", "_id", "_hash"], "left")
-    lines = lines_of(F.col(text_col))
-    full = F.filter(F.transform(lines, lambda x, i: F.when(F.trim(x) != "", i)), lambda i: i.isNotNull())
-    gone = F.array_distinct(F.flatten(F.transform("_runs", lambda r: F.slice("_full", r + 1, min_run))))
-    joined = joined.withColumn("_full", F.when(F.col("_runs").isNotNull(), full)).withColumn("_gone", gone)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    text = F.when(F.col("_runs").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.element_at(lines, i + 1)), "\n"))
+    joined = docs.select("*", *keys(id_col, text_col)).join(runs, ["_halyard_has", "_halyard_id", "_halyard_hash"], "left")
+    some = lambda c: F.when(F.col("_halyard_runs").isNotNull(), c)
+    joined = computed(joined, _halyard_lines=some(lines_of(F.col(text_col))))
+    numbers = F.transform("_halyard_lines", lambda x, i: F.when(F.trim(x) != "", i))
+    joined = computed(joined, _halyard_full=F.filter(numbers, lambda i: i.isNotNull()))
+    gone = F.array_distinct(F.flatten(F.transform("_halyard_runs", lambda r: F.slice("_halyard_full", r + 1, min_run))))
+    joined = computed(joined, _halyard_gone=gone)
+    left = F.array_except(F.sequence(F.lit(0), F.size("_halyard_lines") - 1), F.col("_halyard_gone"))
+    kept = F.array_join(F.transform(left, lambda i: F.element_at("_halyard_lines", i + 1)), "\n")
+    text = F.when(F.col("_halyard_runs").isNull(), F.col(text_col)).otherwise(kept)
     out = [text.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    more = [F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias(removed)] if removed else []
+    more = [F.when(F.col("_halyard_runs").isNull(), 0).otherwise(F.size("_halyard_gone")).cast("long").alias(removed)] if removed else []
     return joined.select(*out, *more)
 
 
