@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from halyard.config import PAGE_SIZE, Knobs
-from halyard.functions.vectors import dot, is_valid
+from halyard.config import PAGE_SIZE, PREFETCH, Knobs
+from halyard.functions.vectors import dot, is_valid, l2_normalize
 
 #: Bytes of query vectors that go to the executors at once; more queries take more passes over the index.
 QUERY_BYTES = 64 << 20
@@ -189,6 +189,33 @@ def pair_kernel(at_least: float):  # noqa: ANN201
     return run
 
 
+# The four strategies that are compared, and their knobs.
+STRATEGIES = {
+    "S1_current": Knobs(0.19, 0.75, 10, 0),
+    "S2_loose": Knobs(0.15, 0.55, 50, 10, False),
+    "S3_ensemble": Knobs(0.15, 0.55, 50, 10, False),
+    "S4_twostage": Knobs(0.15, 0.55, 50, 10, False),
+}
+
+
+def ensemble(queries: DataFrame, *, query: str = "query_id", vector: str = "embedding") -> DataFrame:
+    """Each query's variants as one: their element-wise mean at length one."""
+    items = queries.filter(is_valid(vector)).select(query, F.posexplode(F.col(vector).cast("array<double>")).alias("i", "x"))
+    means = items.groupBy(query, "i").agg(F.avg("x").alias("x"))
+    mean = F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"])
+    return means.groupBy(query).agg(mean.alias("m")).select(query, l2_normalize("m").alias(vector))
+
+
+def strategy(name: str, index: DataFrame, queries: DataFrame, heads: DataFrame, *, key: str = "vec_id") -> DataFrame:
+    """One of STRATEGIES: maximum over variants, the same with loose knobs, the mean of variants, or that in two stages."""
+    knobs = STRATEGIES[name]
+    if name in ("S1_current", "S2_loose"):
+        return cut(score(index, queries, key=key), knobs, key=key)
+    if name == "S3_ensemble":
+        return cut(score(index, ensemble(queries), key=key), knobs, key=key)
+    return two_stage(index, ensemble(heads), ensemble(queries), knobs, key=key)
+
+
 def score_matrix(texts: DataFrame, images: DataFrame, *, text: str = "query", name: str = "name") -> DataFrame:
     """(query, name, score) of every text with every image by plain expressions, for small labelled sets."""
     a = texts.select(F.col(text), F.col("embedding").alias("_a"))
@@ -206,6 +233,11 @@ def page(results: DataFrame, number: int, size: int = PAGE_SIZE) -> DataFrame:
     return results.filter((F.col("rank") > number * size) & (F.col("rank") <= (number + 1) * size))
 
 
+def needs_next_page(last_visible: Column, shown: Column) -> Column:
+    """Whether the rows in sight end near the last of those shown."""
+    return last_visible >= shown - PREFETCH
+
+
 def with_page(results: DataFrame, *, query: str = "query_id", size: int = PAGE_SIZE) -> DataFrame:
     """results with their page and whether it is the last."""
     n = F.count(F.lit(1)).over(Window.partitionBy(query))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -198,6 +200,20 @@ def ensemble_mean(spark: SparkSession, d: str) -> DataFrame:
     return rounded(S.top_k(S.score(index, mean.select("query_id", l2_normalize("m").alias("embedding"))), 25), "score")
 
 
+def strategies(spark: SparkSession, d: str) -> DataFrame:
+    """Results of each strategy for five queries of four variants; two queries have a head of their own."""
+    v = vectors(spark, d)
+    variants = v.filter("vec_id < 20").select(F.floor(F.col("vec_id") / 4).alias("query_id"), "embedding")
+    heads = v.filter("vec_id between 20 and 27").select(F.floor((F.col("vec_id") - 20) / 4).alias("query_id"), "embedding")
+    index = v.filter("vec_id >= 30")
+    out = [S.strategy(n, index, variants, heads).select(F.lit(n).alias("strategy"), "query_id", "vec_id", "score", "rank") for n in S.STRATEGIES]
+    return rounded(functools.reduce(DataFrame.unionByName, out), "score")
+
+
+def page_prefetch(spark: SparkSession, d: str) -> DataFrame:
+    return vectors(spark, d).select("vec_id", S.needs_next_page(F.col("vec_id") % 30, F.lit(30)).alias("wants_next"))
+
+
 def live_best(spark: SparkSession, d: str) -> DataFrame:
     """Best score of each query over the index as it grew, at every hundredth vector."""
     s = scores(spark, d)
@@ -205,7 +221,7 @@ def live_best(spark: SparkSession, d: str) -> DataFrame:
     return rounded(s.withColumn("best", F.max("score").over(w)).filter("id % 100 = 0").select("query_id", "id", "best"), "best")
 
 
-QUERIES = {f.__name__: f for f in (vector_search, vector_search_topk, search_fallback, image_to_image, near_duplicates, two_stage_search, result_page, precision_recall_f1, macro_metrics, recall_at_k, outcome_rates, confusion_diagonal, diagonal_rate, containment, plural_overlap, distractor_fp, score_distribution, roc_auc, youden_cut, threshold_at_tpr, score_ratio, knob_sweep, sweep_objective, score_report, hybrid_rank, live_best)} | {"prompt_ensemble_mean": ensemble_mean}
+QUERIES = {f.__name__: f for f in (vector_search, vector_search_topk, search_fallback, image_to_image, near_duplicates, two_stage_search, result_page, precision_recall_f1, macro_metrics, recall_at_k, outcome_rates, confusion_diagonal, diagonal_rate, containment, plural_overlap, distractor_fp, score_distribution, roc_auc, youden_cut, threshold_at_tpr, score_ratio, knob_sweep, sweep_objective, score_report, hybrid_rank, live_best, strategies, page_prefetch)} | {"prompt_ensemble_mean": ensemble_mean}
 
 DOT = "list_dot_product(q.embedding::double[], e.embedding::double[])"
 FOUR = f"v as (select 0 as query_id, e.vec_id, max({DOT}) as score from embeddings e join embeddings q on q.vec_id < 4 and e.vec_id >= 4 group by e.vec_id)"
@@ -299,6 +315,23 @@ b as (select query_id, doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * (tf * 2
 h as (select query_id, doc_id, round(case when doc_id % 3 <> 0 then (doc_id % 10) / 10.0 else 0.0 end * 0.7 + bm25 * 0.3, 9) as score from b)
 select cast(query_id as bigint) as query_id, doc_id, round(score, 6) as score, row_number() over (partition by query_id order by h.score desc, doc_id) as rank from h""",
     "live_best": f"with {SCORED}, b as (select query_id, id, max(score) over (partition by query_id order by id) as best from s) select query_id, id, round(best, 6) as best from b where id % 100 = 0",
+    "page_prefetch": "select vec_id, vec_id % 30 >= 24 as wants_next from embeddings",
+    "strategies": f"""with va as (select vec_id // 4 as query_id, embedding::double[] as embedding from embeddings where vec_id < 20),
+he as (select (vec_id - 20) // 4 as query_id, embedding::double[] as embedding from embeddings where vec_id between 20 and 27),
+mean(kind, query_id, v) as (select kind, query_id, list(x order by i) from (select kind, query_id, i, avg(x) as x from
+  (select 'full' as kind, query_id, unnest(embedding) as x, generate_subscripts(embedding, 1) as i from va union all select 'head', query_id, unnest(embedding), generate_subscripts(embedding, 1) from he) group by all) group by all),
+unit as (select kind, query_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as embedding from mean),
+e as (select vec_id, embedding from embeddings where vec_id >= 30),
+mx as (select q.query_id, e.vec_id, max({DOT}) as score from va q, e group by all),
+en as (select q.query_id, e.vec_id, {DOT} as score from unit q, e where kind = 'full'),
+hd as (select q.query_id, e.vec_id, {DOT} as score from unit q, e where kind = 'head' or (kind = 'full' and query_id not in (select query_id from he))),
+pool as (select query_id, vec_id from hd qualify row_number() over (partition by query_id order by score desc, vec_id) <= 200),
+al(strategy, query_id, vec_id, score, threshold, ratio, top_k, fallback, inclusive) as (select 'S1_current', *, 0.19, 0.75, 10, 0, true from mx union all select 'S2_loose', *, 0.15, 0.55, 50, 10, false from mx
+  union all select 'S3_ensemble', *, 0.15, 0.55, 50, 10, false from en union all select 'S4_twostage', en.*, 0.15, 0.55, 50, 10, false from en join pool using (query_id, vec_id)),
+b as (select *, max(score) over (partition by strategy, query_id) as best from al),
+n as (select *, case when inclusive then score >= threshold else score > threshold end as passes, row_number() over w as rank from b where score >= best * ratio window w as (partition by strategy, query_id order by score desc, vec_id)),
+f as (select *, bool_or(passes) over (partition by strategy, query_id) as any_passes from n)
+select strategy, query_id, vec_id, round(score, 6) as score, rank from f where case when any_passes then passes and rank <= top_k else rank <= fallback end""",
     "prompt_ensemble_mean": """with u as (select i, avg(x::double) as x from (select unnest(embedding) as x, generate_subscripts(embedding, 1) as i from embeddings where vec_id < 4) group by i),
 m as (select list(x order by i) as v from u), n as (select list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as v from m),
 s as (select vec_id, list_dot_product(e.embedding::double[], n.v) as score from embeddings e, n where vec_id >= 4), r as (select *, row_number() over (order by score desc, vec_id) as rank from s)

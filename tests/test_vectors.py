@@ -1,7 +1,10 @@
 from __future__ import annotations
 
 import math
+import struct
+import zlib
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -74,3 +77,41 @@ def test_pixels(spark):
     assert a == [1.0] * 4 + [0.0] * 8 and b is None and c is None
     n = df.limit(1).select(I.preprocess(normalize=True, target=2)("rgb", "w", "h")).first()[0]
     assert math.isclose(n[0], (1 - I.MEAN[0]) / I.STD[0], rel_tol=1e-5)
+
+
+def test_resampling():
+    for method in ("nearest", "bilinear", "bicubic"):
+        for size, into in ((4, 9), (9, 4), (1, 5), (300, 256)):
+            w = I.taps(size, into, method)
+            assert w.shape == (into, size) and abs(w.sum(1) - 1).max() < 1e-12
+        assert (I.taps(5, 5, method) == np.eye(5)).all()
+    ramp = np.arange(8.0)[None, :, None].repeat(3, 2)
+    assert np.allclose(I.resample(ramp, 1, 4, "bilinear")[0, :, 0], [0.5, 2.5, 4.5, 6.5])
+
+
+def png(pixels):
+    h, w, _ = pixels.shape
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    rows = b"".join(b"\0" + pixels[y].tobytes() for y in range(h))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def test_images_are_decoded(spark, tmp_path):
+    pixels = np.random.default_rng(0).integers(0, 256, (3, 5, 3)).astype(np.uint8)
+    (tmp_path / "good.png").write_bytes(png(pixels))
+    (tmp_path / "bad.png").write_bytes(b"not an image")
+    (tmp_path / "large.PNG").write_bytes(png(np.zeros((600, 1200, 3), np.uint8) + np.uint8(7)))
+    (tmp_path / "note.txt").write_bytes(b"x")
+    out = {r["path"].rsplit("/", 1)[1]: r for r in I.read_images(spark, str(tmp_path)).collect()}
+    assert set(out) == {"good.png", "bad.png", "large.PNG"}
+    assert bytes(out["good.png"]["rgb"]) == pixels.tobytes() and (out["good.png"]["width"], out["good.png"]["height"]) == (5, 3)
+    assert out["bad.png"]["rgb"] is None
+    assert (out["large.PNG"]["width"], out["large.PNG"]["height"]) == (512, 256) and set(out["large.PNG"]["rgb"]) == {7}
+
+
+def test_observed_counts(spark):
+    from halyard.streaming.progress import observed
+
+    df, watch = observed(spark.createDataFrame([(1, None), (2, "bad")], "id int, error string"))
+    df.collect()
+    assert watch.get == {"rows": 2, "errors": 1}
