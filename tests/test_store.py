@@ -50,6 +50,10 @@ def test_chunks(spark):
     df = spark.range(103).select((F.lit(1000) - F.col("id")).alias("id"))
     out = {r["id"]: r["chunk"] for r in C.numbered(df, ["id"], 4).collect()}
     assert out == {1000 - i: (102 - i) // 4 for i in range(103)}
+    ties = spark.createDataFrame([(i, None if i < 3 else i % 2) for i in range(11)], "id int, k int")
+    out = {r["id"]: r["chunk"] for r in C.numbered(ties, ["k", "id"], 4).collect()}
+    order = sorted(range(11), key=lambda i: (i >= 3, i % 2 if i >= 3 else 0, i))
+    assert out == {i: n // 4 for n, i in enumerate(order)}
 
 
 def vec(*x):
