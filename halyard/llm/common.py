@@ -46,11 +46,11 @@ def prepare(spark: SparkSession) -> None:
 
 
 def few_files(df: DataFrame) -> DataFrame:
-    """df in four tasks per core at most, or an eighth of the shuffle partitions where data are large.  Each reads several
+    """df in one task per core, or an eighth of the shuffle partitions where data are large.  Each reads several
     small partitions one by one and writes one file of them; no rows move, and no task holds more than one partition."""
     spark = df.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.coalesce(max(24, 4 * spark.sparkContext.defaultParallelism, partitions // 8))
+    return df.coalesce(max(spark.sparkContext.defaultParallelism, partitions // 8))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

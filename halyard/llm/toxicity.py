@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -185,10 +185,11 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     n, base = F.col("yes") + F.col("no"), yes / (yes + no)
     part = lambda k, share: F.when(k > 0, k * F.log(k / (n * share))).otherwise(0.0)
     apart = 2 * (part(F.col("yes"), base) + part(F.col("no"), 1 - base))
-    rated = materialize(counts.filter(n >= MIN_DOCS).select("term", apart.alias("apart")), "terms")
-    best = rated.filter(F.col("apart") >= EVIDENCE + 2 * float(np.log(max(1, rated.count()))))
-    best = best.orderBy(F.desc("apart"), "term").limit(n_terms)
-    found = np.sort(np.array([r["term"] for r in best.collect()], np.int64).view(np.uint64))
+    rated, tried = counts.filter(n >= MIN_DOCS).select("term", apart.alias("apart")), Observation()
+    best = rated.observe(tried, F.count(F.lit(1)).alias("n")).orderBy(F.desc("apart"), "term").limit(n_terms).collect()
+    least = EVIDENCE + 2 * float(np.log(max(1, tried.get["n"])))
+    best = [r for r in best if r["apart"] >= least]
+    found = np.sort(np.array([r["term"] for r in best], np.int64).view(np.uint64))
     rng = np.random.default_rng(7)
     model = Model(found, bias, np.zeros(len(found)), rng.normal(0, 0.02, (len(found), FACTORS)))
 
