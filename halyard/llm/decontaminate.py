@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 from halyard.llm.common import M1, M2, M3, Words, mix, string_parts, table, text_blocks
 
 WINDOW = 13
-#: Benchmark text shipped to the executors at once.
-ITEM_BYTES = 32 << 20
+#: Benchmark text shipped to the executors at once; its windows take some 20 times as much there.
+ITEM_BYTES = 4 << 20
 #: A document is contaminated when at least one word in so many is hit.
 RATIO = 20
 
@@ -39,16 +39,19 @@ FOUND = T.StructType([
 ARROW_FOUND = pa.struct([("n_words", pa.int64()), ("hits", pa.list_(pa.int64())), ("items", pa.list_(pa.string())), ("longest", pa.int64()), ("longest_at", pa.int64()), ("longest_item", pa.string())])
 
 
-def opening(h: np.ndarray, n: int) -> np.ndarray:
-    """A hash of the first n (1 to 3) words of each suffix that has as many."""
-    if len(h) < n:
-        return np.zeros(0, np.uint64)
-    out = h[: len(h) - n + 1] * M1
-    for j, m in zip(range(1, n), (M2, M3), strict=False):
-        out = out + mix(h[j : len(h) - n + 1 + j]) * m
+def opening(words: list[np.ndarray]) -> np.ndarray:
+    """A hash of one to three words in a row, each given as an array."""
+    out = words[0] * M1
+    for w, m in zip(words[1:], (M2, M3), strict=False):
+        out = out + mix(w) * m
     return mix(out)
 
 
+def openings(h: np.ndarray, n: int) -> np.ndarray:
+    """Of each suffix that has n words or more, the first n."""
+    return opening([h[j : len(h) - n + 1 + j] for j in range(n)]) if len(h) >= n else np.zeros(0, np.uint64)
+
+
 class Items:
     """A block of the benchmark: its windows by length, and the openings that a suffix must have to match any."""
 
@@ -57,7 +60,7 @@ class Items:
         words = Words(data, ends)
         h = words.hashes()
         self.ids, self.window = ids, window
-        self.queries: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []  # length, hashes, item, start
+        self.queries: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # length, hashes, item, start, opening
         self.openings: dict[int, np.ndarray] = {}
         size = np.minimum(words.counts, window)
         for n in np.unique(size[size > 0]).tolist():
@@ -66,9 +69,10 @@ class Items:
             item = np.repeat(items, spans)
             start = np.arange(len(item)) - np.repeat(np.cumsum(spans) - spans, spans)
             rows = h[(words.first[item] + start)[:, None] + np.arange(n)]
-            self.queries.append((n, rows, item, start))
             k = min(n, 3)
-            heads = np.unique(np.array([opening(r[:k], k)[0] for r in rows], np.uint64))
+            head = opening([rows[:, j] for j in range(k)])
+            self.queries.append((n, rows, item, start, head))
+            heads = np.unique(head)
             self.openings[k] = np.union1d(self.openings.get(k, heads), heads)
         self.sieve = {}
         for k, heads in self.openings.items():
@@ -76,18 +80,21 @@ class Items:
             bits[heads >> np.uint64(44)] = True
             self.sieve[k] = bits
 
-    def candidates(self, h: np.ndarray) -> np.ndarray:
-        found = []
+    def candidates(self, h: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+        """Suffixes that open like a window, and by number of words the openings that occur."""
+        found, seen = [np.zeros(0, np.int64)], {}
         for k, heads in self.openings.items():
-            o = opening(h, k)
+            o = openings(h, k)
             at = np.flatnonzero(self.sieve[k][o >> np.uint64(44)])
             near = np.searchsorted(heads, o[at])
-            found.append(at[heads[np.minimum(near, len(heads) - 1)] == o[at]])
-        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+            at = at[heads[np.minimum(near, len(heads) - 1)] == o[at]]
+            found.append(at)
+            seen[k] = np.unique(o[at])
+        return np.unique(np.concatenate(found)), seen
 
     def places(self, words: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Word position, length, item and item start of every occurrence of every window."""
-        at = self.candidates(h)
+        at, seen = self.candidates(h)
         none = np.zeros(0, np.int64)
         if not len(at):
             return none, none, none, none
@@ -98,7 +105,12 @@ class Items:
         order = np.argsort(keys, kind="stable")
         suffixes = keys[order]
         out = []
-        for n, rows, item, start in self.queries:
+        for n, rows, item, start, head in self.queries:
+            heads = seen[min(n, 3)]
+            if not len(heads):
+                continue
+            here = np.flatnonzero(heads[np.minimum(np.searchsorted(heads, head), len(heads) - 1)] == head)
+            rows, item, start = rows[here], item[here], start[here]
             low = np.zeros((len(rows), depth), ">u8")
             low[:, :n] = rows
             high = np.full((len(rows), depth), 0xFFFFFFFFFFFFFFFF, ">u8")
@@ -111,7 +123,7 @@ class Items:
             p = at[place]
             fits = p + n <= stop[place]
             out.append((p[fits], np.full(int(fits.sum()), n), item[q[fits]], start[q[fits]]))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (none,) * 4
 
     def longest(self, words: Words, p: np.ndarray, n: np.ndarray, item: np.ndarray, start: np.ndarray) -> dict[int, tuple[int, int, int]]:
         """Of each document that is hit: words, position and item of its longest verbatim match, first of equals."""
