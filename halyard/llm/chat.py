@@ -5,7 +5,8 @@ users; system turns stay system turns and have no perspective.  The mask is the
 assistant is to learn: what the speaker says, with its closing tag.
 
 A dialogue is rendered in segments of `segment` turn numbers, so no task holds a conversation whole, however long; most
-conversations are one segment.  Offsets are those in the segment's own text.
+conversations are one segment.  Where turn numbers repeat so much that a segment has over CROWD times as many rows, it is
+dealt into parts of about that size by content.  Offsets are those in the segment's or part's own text.
 
 Equal rows count once; rows of one turn number stand in order of role and text; null turns come last, in segment -1; a
 null role is the speaker "unknown"; null text is empty; rows of null conv_id are one conversation; a conversation of
@@ -18,14 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm.common import table
+from halyard.llm.common import materialize, table
 
-SEGMENT = 256
+SEGMENT, CROWD = 256, 4
 OPEN, CLOSE, SYSTEM = "<|im_start|>", "<|im_end|>", "system"
 
 
 def rotate(turns: DataFrame, *, segment: int = SEGMENT) -> DataFrame:
-    """conv_id, speaker, segment, text, mask (start-end,start-end ... in characters), n_turns, n_own."""
+    """conv_id, speaker, segment, part, text, mask (start-end,start-end ... in characters), n_turns, n_own."""
     rows = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),
@@ -33,7 +34,13 @@ def rotate(turns: DataFrame, *, segment: int = SEGMENT) -> DataFrame:
         F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"),
     ).distinct()
     number = F.coalesce(F.floor(F.col("turn") / segment), F.lit(-1)).cast("long")
-    held = rows.groupBy("conv_id", number.alias("segment")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    rows = rows.withColumn("segment", number)
+    sizes = rows.groupBy(F.col("conv_id").alias("_conv"), F.col("segment").alias("_segment")).agg(F.ceil(F.count(F.lit(1)) / (CROWD * segment)).alias("_parts"))
+    crowded = materialize(sizes.filter("_parts > 1"), "crowded")
+    rows = rows.join(crowded, rows["conv_id"].eqNullSafe(crowded["_conv"]) & (rows["segment"] == crowded["_segment"]), "left")
+    part = F.coalesce(F.pmod(F.xxhash64("turn", "role", "text"), F.col("_parts")), F.lit(0)).cast("long")
+    rows = rows.withColumn("part", part).drop("_conv", "_segment", "_parts")
+    held = rows.groupBy("conv_id", "segment", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     speakers = rows.filter(F.col("role") != SYSTEM).select(F.col("conv_id").alias("_conv"), F.col("role").alias("speaker")).distinct()
     views = held.join(speakers, held["conv_id"].eqNullSafe(speakers["_conv"])).drop("_conv")
 
@@ -55,6 +62,7 @@ def rotate(turns: DataFrame, *, segment: int = SEGMENT) -> DataFrame:
         "conv_id",
         "speaker",
         "segment",
+        "part",
         F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"])), "").alias("text"),
         F.array_join(F.aggregate("parts", start, step)["spans"], ",").alias("mask"),
         F.size("parts").cast("long").alias("n_turns"),
@@ -75,7 +83,7 @@ p as (select r.conv_id, s.speaker, coalesce(cast(floor(r.turn / {SEGMENT}) as bi
   '{OPEN}' || case when r.role = s.speaker then 'assistant' when r.role = '{SYSTEM}' then '{SYSTEM}' else 'user name=' || r.role end || chr(10) as head,
   r.body || '{CLOSE}' || chr(10) as tail from r join s on r.conv_id is not distinct from s.conv_id),
 o as (select *, cast(sum(length(head) + length(tail)) over w as bigint) as stop from p window w as (partition by conv_id, speaker, segment order by turn, role, body))
-select conv_id, speaker, segment, string_agg(head || tail, '' order by turn, role, body) as text,
+select conv_id, speaker, segment, cast(0 as bigint) as part, string_agg(head || tail, '' order by turn, role, body) as text,
   coalesce(string_agg((stop - length(tail)) || '-' || (stop - 1), ',' order by turn, role, body) filter (where role = speaker), '') as mask,
   count(*) as n_turns, count(*) filter (where role = speaker) as n_own
 from o group by conv_id, speaker, segment""",

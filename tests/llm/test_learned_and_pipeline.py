@@ -96,6 +96,15 @@ def test_long_dialogue_is_cut_into_segments(spark):
     assert chat.rotate(spark.createDataFrame([], CHAT)).count() == 0
 
 
+def test_crowded_segments_are_dealt_out(spark):
+    rows = [(None, i % 3, "ab"[i % 2], f"t{i}", 0) for i in range(5000)] + [(1, None, "a", f"n{i}", 0) for i in range(1500)] + [(2, 0, "a", "x", 0)]
+    out = chat.rotate(spark.createDataFrame(rows, CHAT)).collect()
+    assert sum(r["n_own"] for r in out if r["conv_id"] is None) == 5000
+    assert sum(r["n_turns"] for r in out if r["conv_id"] == 1) == 1500
+    assert max(r["n_turns"] for r in out) < 1400
+    assert [(r["part"], r["n_turns"]) for r in out if r["conv_id"] == 2] == [(0, 1)]
+
+
 def test_xxh64_of_every_length():
     import xxhash
 
