@@ -71,7 +71,7 @@ def later_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN, removed: str | None = None) -> DataFrame:
     """docs with later repeated runs of lines taken out of their text; `removed` names a column for how many lines went."""
     runs = later_runs(docs, id_col=id_col, text_col=text_col, min_run=min_run)
-    joined = docs.select("*", *keys(id_col, text_col)).join(runs, ["_halyard_has", "_halyard_id", "_halyard_hash"], "left")
+    joined = docs.select("*", *keys(id_col, text_col)).join(runs.hint("shuffle_hash"), ["_halyard_has", "_halyard_id", "_halyard_hash"], "left")  # texts needn't be sorted
     some = lambda c: F.when(F.col("_halyard_runs").isNotNull(), c)
     joined = computed(joined, _halyard_lines=some(lines_of(F.col(text_col))))
     numbers = F.transform("_halyard_lines", lambda x, i: F.when(F.trim(x) != "", i))
