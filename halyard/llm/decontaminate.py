@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from halyard.llm.common import M1, M2, M3, Words, mix, string_parts, table, text_blocks
+from halyard.llm.common import LOWER, M1, M2, M3, UPPER, Words, mix, string_parts, table, text_blocks
 
 WINDOW = 13
 #: Benchmark text shipped to the executors at once; its windows take some 20 times as much there.
@@ -236,11 +236,23 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(items).cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", items).cast("binary"), 256).alias("items_sha256"),
         contaminated().alias("contaminated"),
-        F.col("_found.longest").alias("longest"),
-        F.col("_found.longest_at").alias("longest_at"),
-        F.col("_found.longest_item").alias("longest_item"),
     )
 
 
 QUERIES = {"op2_decontaminate": op2_decontaminate}
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+ORACLE_SQL = {
+    "op2_decontaminate": f"""
+with d as (select row_number() over () as r, doc_id, {_WORDS} as w from documents),
+b as (select item_id, {_WORDS} as w from benchmark),
+p as (select item_id, w, unnest(range(1, greatest(len(w) - {WINDOW - 1}, 1) + 1)) as i from b where len(w) > 0),
+win as (select distinct item_id, least(len(w), {WINDOW}) as n, array_to_string(w[i : i + {WINDOW - 1}], ' ') as body from p),
+sizes as (select distinct n from win),
+g as (select r, w, n, unnest(range(1, len(w) - n + 2)) as i from d, sizes where len(w) >= n),
+hit as (select g.r, g.i, g.n, win.item_id from g join win on g.n = win.n and array_to_string(g.w[g.i : g.i + g.n - 1], ' ') = win.body),
+covered as (select r, count(distinct k) as n_hit from (select r, unnest(range(i, i + n)) as k from hit) group by r),
+items as (select r, count(distinct item_id::varchar) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids from hit group by r)
+select d.doc_id, len(d.w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and {RATIO} * coalesce(n_hit, 0) >= len(d.w) as contaminated
+from d left join covered on covered.r = d.r left join items on items.r = d.r""",
+}
