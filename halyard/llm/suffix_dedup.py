@@ -446,4 +446,17 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_suffix_dedup": op6_suffix_dedup}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op6_suffix_dedup": f"""
+with n as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select r, h, unnest(range(0, length(h) // 2 - {WIDTH - 1})) as s from n where length(h) >= {2 * WIDTH}),
+k as (select r, s, md5(substr(h, 2 * s + 1, {2 * WIDTH})) as m from w),
+rep as (select r, s, lag(s) over (partition by r order by s) as before from k where m in (select m from k group by m having count(*) > 1)),
+g as (select r, s, sum(case when before is null or s > before + {WIDTH} then 1 else 0 end) over (partition by r order by s) as run from rep),
+span as (select r, run, min(s) as a, max(s) + {WIDTH} as b from g group by r, run),
+gap as (select r, run, a, b, coalesce(lag(b) over (partition by r order by run), 0) as z from span),
+cut as (select r, count(*) as n_spans, sum(b - a) as n_removed, max(b) as last, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' order by run) as body from gap join n using (r) group by r)
+select doc_id, length(h) // 2 as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(unhex(coalesce(body, '') || substr(h, 2 * coalesce(last, 0) + 1))) as kept_sha256
+from n left join cut using (r)""",
+}
