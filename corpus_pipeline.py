@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again before the next; all but
-the last keep the columns of documents.  Text decisions are those of the single operators, at their own parameters.
+the last keep the columns of documents.  Text decisions are those of the single operators, at their own parameters; line dedup
+also takes long single lines.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from halyard.llm.common import few_files, materialize, prepare, table
 from halyard.llm.decontaminate import decontaminate
-from halyard.llm.line_dedup import line_dedup
+from halyard.llm.line_dedup import LONG_WORDS, line_dedup
 from halyard.llm.packing import pack_documents
 from halyard.llm.simhash import keep_one
 from halyard.llm.toxicity import drop_toxic
@@ -24,9 +25,9 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of lines go; n_chars follows the text."""
+    """Later repeats of runs of lines, and of single long lines, go; n_chars follows the text."""
     prepare(spark)
-    out = line_dedup(docs)
+    out = line_dedup(docs, long_words=LONG_WORDS)
     return few_files(out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out)
 
 

@@ -6,6 +6,9 @@ a fingerprint in it.  Fingerprints that occur once are dropped; around the other
 occurrence of the same `min_run` lines, and neighbouring joined positions extend each other both ways to the whole run.
 A line goes if it lies in such a run that began earlier, in order of id, text hash and line; the earliest run stays.
 
+With `long_words`, a line of more words than that is a window of its own beside those of `min_run`, so a long passage on
+one line goes whatever stands around it.  op3 itself goes without, as its SQL knows runs of two lines only.
+
 Positions are joined to one earliest occurrence, never to each other, and counts are aggregated before the shuffle, so a
 line that a third of all rows share costs one row for each occurrence.
 
@@ -22,6 +25,8 @@ from pyspark.sql import functions as F
 from halyard.llm.common import materialize, table
 
 MIN_RUN = 2
+#: Of a passage on one line: more words than this make a run of it.
+LONG_WORDS = 50
 
 
 def lines_of(text: Column) -> Column:
@@ -39,24 +44,34 @@ def computed(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def windows(docs: DataFrame, id_col: str, text_col: str, run: int) -> DataFrame:
-    """One row for each `run` lines in a row: document, number of the first, fingerprint, and two hashes of them all."""
+def windows(docs: DataFrame, id_col: str, text_col: str, run: int, long_words: int | None = None) -> DataFrame:
+    """One row for each `run` lines in a row, and for each long line: document, number of the first line, how many lines,
+    fingerprint, and two hashes of them all."""
     rows = docs.filter(F.col(text_col).isNotNull()).select(*keys(id_col, text_col), F.col(text_col).alias("text"))
-    rows = computed(rows, lines=F.filter(F.transform(lines_of(F.col("text")), F.trim), lambda x: x != "")).filter(F.size("lines") >= run)
-    rows = computed(rows, a=F.transform("lines", lambda x: F.xxhash64(x)), b=F.transform("lines", lambda x: F.xxhash64(x, F.lit(1))))
-
-    def window(i: Column) -> Column:
+    # trim by name would be given the line's number as what to trim
+    rows = computed(rows, lines=F.filter(F.transform(lines_of(F.col("text")), lambda x: F.trim(x)), lambda x: x != "")).filter(F.size("lines") >= (run if long_words is None else 1))
+    more = {}
+    if long_words is not None:  # words are counted where there is room for so many
+        long = F.transform("lines", lambda x, i: F.when((F.octet_length(x) > 2 * long_words) & (F.regexp_count(x, F.lit(r"\S+")) > long_words), i))
+        more = {"long": F.filter(long, lambda i: i.isNotNull())}
+    rows = computed(rows, a=F.transform("lines", lambda x: F.xxhash64(x)), b=F.transform("lines", lambda x: F.xxhash64(x, F.lit(1))), **more)
+
+    def window(i: Column, run: int) -> Column:
         part = lambda c: [F.element_at(c, i + 1 + k) for k in range(run)]
-        least = F.least(*part("a")) if run > 1 else part("a")[0]
-        return F.struct(i.alias("_at"), least.alias("_mark"), F.xxhash64(*part("a")).alias("_w1"), F.xxhash64(*part("b")).alias("_w2"))
-
-    every = F.transform(F.sequence(F.lit(0), F.size("a") - run), window)
+        w1, w2 = F.xxhash64(*part("a")), F.xxhash64(*part("b"))
+        least = F.least(*part("a")) if run > 1 else w1 if more else part("a")[0]
+        return F.struct(i.alias("_at"), F.lit(run).alias("_size"), least.alias("_mark"), w1.alias("_w1"), w2.alias("_w2"))
+
+    every = F.transform(F.sequence(F.lit(0), F.size("a") - run), lambda i: window(i, run))
+    if more:
+        every = F.filter(F.transform("a", lambda x, i: i), lambda i: i <= F.size("a") - run)
+        every = F.concat(F.transform(every, lambda i: window(i, run)), F.transform("long", lambda i: window(i, 1)))
     return rows.select("_halyard_has", "_halyard_id", "_halyard_hash", F.inline(every))
 
 
-def later_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
-    """_halyard_has, _id, _hash of each document that repeats earlier lines, and the numbers at which such runs of min_run begin."""
-    found = materialize(windows(docs, id_col, text_col, min_run), "line-windows")
+def later_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN, long_words: int | None = None) -> DataFrame:
+    """_halyard_has, _id, _hash of each document that repeats earlier lines, and at which number and of how many lines its windows that do are."""
+    found = materialize(windows(docs, id_col, text_col, min_run, long_words), "line-windows")
     # min_run neighbouring windows often pick the same fingerprint, so counting windows keeps every repeated one
     # both lookup tables are written: a join of two exchanges can be split at a hot key, one over an aggregate can't
     repeated = materialize(found.groupBy("_mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_mark"), "line-marks")
@@ -65,18 +80,18 @@ def later_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     earliest = near.groupBy("_w1", "_w2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("_w1", "_w2", "first")
     earliest = materialize(earliest, "line-firsts")
     later = near.join(earliest, ["_w1", "_w2"]).filter(place > F.col("first"))
-    return later.groupBy("_halyard_has", "_halyard_id", "_halyard_hash").agg(F.collect_set("_at").alias("_halyard_runs"))
+    return later.groupBy("_halyard_has", "_halyard_id", "_halyard_hash").agg(F.collect_set(F.struct("_at", "_size")).alias("_halyard_runs"))
 
 
-def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN, removed: str | None = None) -> DataFrame:
+def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN, long_words: int | None = None, removed: str | None = None) -> DataFrame:
     """docs with later repeated runs of lines taken out of their text; `removed` names a column for how many lines went."""
-    runs = later_runs(docs, id_col=id_col, text_col=text_col, min_run=min_run)
+    runs = later_runs(docs, id_col=id_col, text_col=text_col, min_run=min_run, long_words=long_words)
     joined = docs.select("*", *keys(id_col, text_col)).join(runs.hint("shuffle_hash"), ["_halyard_has", "_halyard_id", "_halyard_hash"], "left")  # texts needn't be sorted
     some = lambda c: F.when(F.col("_halyard_runs").isNotNull(), c)
     joined = computed(joined, _halyard_lines=some(lines_of(F.col(text_col))))
     numbers = F.transform("_halyard_lines", lambda x, i: F.when(F.trim(x) != "", i))
     joined = computed(joined, _halyard_full=F.filter(numbers, lambda i: i.isNotNull()))
-    gone = F.array_distinct(F.flatten(F.transform("_halyard_runs", lambda r: F.slice("_halyard_full", r + 1, min_run))))
+    gone = F.array_distinct(F.flatten(F.transform("_halyard_runs", lambda r: F.slice("_halyard_full", r["_at"] + 1, r["_size"]))))
     joined = computed(joined, _halyard_gone=gone)
     left = F.array_except(F.sequence(F.lit(0), F.size("_halyard_lines") - 1), F.col("_halyard_gone"))
     kept = F.array_join(F.transform(left, lambda i: F.element_at("_halyard_lines", i + 1)), "\n")

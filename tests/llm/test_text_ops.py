@@ -142,6 +142,29 @@ def test_line_dedup_of_one_long_text(spark):
     assert rows(got) == [(1, "aa\nbb\ncc", "x", 29_997), (2, "aa\nzz", "y", 0)] and got.columns == [*docs.columns, "gone"]
 
 
+def test_long_single_lines_go(spark):
+    """Between differing neighbours, alone in a document, twice in one; short ones and long ones of too few words stay."""
+    passage = " ".join(f"word{i}" for i in range(51))
+    few, other = " ".join("w" * 9 + str(i) for i in range(50)), " ".join(f"other{i}" for i in range(60))
+    texts = [(1, f"a\n{passage}\nb\n{few}\nshort"), (2, f"c\n  {passage} \nd"), (3, passage), (4, f"e\n{few}\nf\nshort"), (5, f"{other}\ng\n\n{other}\nh"), (None, other), (7, f"p\nq\n{passage}"), (8, f"r\np\nq\n{passage}")]
+    got = line_dedup.line_dedup(spark.createDataFrame(texts, "doc_id long, text string"), long_words=line_dedup.LONG_WORDS, removed="gone")
+    assert rows(got) == sorted([(1, texts[0][1], 0), (2, "c\nd", 1), (3, "", 1), (4, texts[3][1], 0), (5, "g\n\nh", 2), (None, other, 0), (7, "p\nq", 1), (8, "r", 3)], key=repr)
+
+
+def test_the_pipeline_takes_long_single_lines(spark):
+    import corpus_pipeline
+
+    passage = " ".join(f"word{i}" for i in range(80))
+    docs = spark.createDataFrame([(1, f"a\n{passage}\nb"), (2, f"c\n{passage}\nd")], "doc_id long, text string")
+    assert rows(corpus_pipeline.without_repeated_lines(spark, docs, "")) == [(1, f"a\n{passage}\nb"), (2, "c\nd")]
+
+
+def test_lines_are_compared_without_spaces_at_their_ends(spark):
+    """Neither the digits of a line's number nor a line of spaces before it may count."""
+    docs = spark.createDataFrame([(1, "x\nitem 1\nitem 2\ny"), (2, "   \nz\nw\n item 1 \nitem 2\nv")], "doc_id long, text string")
+    assert rows(line_dedup.line_dedup(docs)) == [(1, "x\nitem 1\nitem 2\ny"), (2, "   \nz\nw\nv")]
+
+
 def test_line_dedup_is_native(docs):
     plan = line_dedup.line_dedup(docs.sparkSession.createDataFrame([(1, "a")], "doc_id long, text string").withColumn("text", F.col("text")))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
