@@ -251,12 +251,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicate_classes(prints: DataFrame) -> DataFrame:
-    """fp -> component_id, the smallest doc_id reachable.  prints: doc_id, fp."""
+    """fp -> component_id, the smallest doc_id reachable, and root, which names the component where ids are null or repeated.
+    prints: doc_id, fp."""
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "fingerprints")
     roots = components(links(nodes.select("fp")))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "component_id")
+    return rooted.join(least, "root").select("fp", "component_id", "root")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -276,7 +277,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), row.alias("row"), F.col(text_col).alias("text"))
     prints = materialize(with_fingerprint(ids, "text", "fp"), "prints")
     classes = near_duplicate_classes(prints.select("doc_id", "fp"))
-    best = prints.join(classes, "fp").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"))
+    best = prints.join(classes, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"))
     best = best.select(F.coalesce("best.doc_id", F.lit(0)).alias("_halyard_id"), F.col("best.row").alias("_halyard_row"))
     marked = docs.select("*", F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("_halyard_id"), row.alias("_halyard_row"))
     chosen = marked.join(best, ["_halyard_id", "_halyard_row"], "left_semi")

@@ -286,6 +286,14 @@ def test_keep_one(docs, none, many_tasks):
     assert simhash.keep_one(none).count() == 0
 
 
+def test_keep_one_keeps_every_component(spark):
+    """Unrelated texts without an id, and under one id, are components of their own."""
+    texts = [" ".join(f"{w}{i}" for i in range(40)) for w in ("ant", "bee", "cow", "dog", "eel")]
+    some = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[3]), (9, texts[4]), (None, texts[4])]
+    kept = simhash.keep_one(spark.createDataFrame(some, "doc_id long, text string"))
+    assert rows(kept) == sorted([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (9, texts[4])], key=repr)
+
+
 def test_bucket_links_when_large(monkeypatch):
     rng = np.random.default_rng(4)
     fps = np.unique((rng.integers(0, 1 << 40, 400).astype(np.uint64) & np.uint64(0x0101010101)) << np.uint64(24))
