@@ -1,7 +1,8 @@
 """The index kept up from a stream of catalog rows.
 
 Offsets of the source replace a clock as high-water mark, so rows that arrive during a run are the next run's.  A batch
-is encoded, checked and appended to the store's checkpoints; repeating a batch after a failure changes nothing.
+is encoded, checked and appended to the store's checkpoints; repeating a batch after a failure changes nothing.  Each batch
+leaves out repeats and what the store has, so items may arrive however long after their date.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ def start(catalog: DataFrame, store: IndexStore, load: Callable[[], Encoder], ch
     for q in catalog.sparkSession.streams.active:
         if q.name == name:
             return q
-    writer = catalog.withWatermark("date_added", "1 day").dropDuplicatesWithinWatermark(["uri"]).writeStream.queryName(name).option("checkpointLocation", checkpoint).foreachBatch(index_batch(store, load))
+    writer = catalog.writeStream.queryName(name).option("checkpointLocation", checkpoint).foreachBatch(index_batch(store, load))
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
 
 

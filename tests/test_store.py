@@ -129,6 +129,15 @@ def test_stream_equals_rebuild(spark, tmp_path):
     assert store.snapshot().count() == 31
 
 
+def test_stream_takes_items_of_any_age(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "index"))
+    months = 90 * 86_400
+    for part in ([("new", "a thing", at(0)), ("new", "a thing", at(1))], [("old", "other thing", at(-months)), ("new", "a thing", at(0))], [("older", "third thing", at(-2 * months)), (None, "no uri", at(0))]):
+        spark.createDataFrame(part, CATALOG).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        start(catalog_stream(spark, str(tmp_path / "in"), 1), store, hashing_encoder, str(tmp_path / "ck")).awaitTermination()
+    assert sorted(r["uri"] for r in store.pending().collect()) == ["new", "old", "older"]
+
+
 def test_queue(spark):
     rows = [(1, 2, "PENDING", at(0), 0, at(0)), (2, 0, "PENDING", at(5), 3, at(0)), (3, 0, "PROCESSING", at(1), 0, at(0)), (4, 0, "PROCESSING", at(1), 0, at(900)), (5, 0, "PENDING", at(1), 0, at(0))]
     q = spark.createDataFrame(rows, "media_id long, priority int, status string, created timestamp, retries int, heartbeat timestamp")
