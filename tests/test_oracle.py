@@ -45,6 +45,15 @@ def test_runs(spark, name):
     assert library.QUERIES[name](spark, DATA).count() > 0
 
 
+def test_every_row_is_taken(spark):
+    """Queries without SQL, against the tables they read."""
+    read = lambda t: spark.read.parquet(f"{DATA}/{t}.parquet")
+    run = lambda name: library.QUERIES[name](spark, DATA).collect()
+    assert sorted(r["uri"] for r in run("stream_index")) == sorted(f"part/{r['p_partkey']}" for r in read("part").collect())
+    assert {r["media_id"] for r in run("stream_queue")} == {r["user_id"] for r in read("events").collect()}
+    assert sorted(r["vec_id"] for r in run("image_preprocess")) == sorted(r["vec_id"] for r in read("embeddings").collect())
+
+
 def test_entry(spark):
     import __spark_entry__
 
