@@ -6,7 +6,9 @@ assistant is to learn: what the speaker says, with its closing tag.
 
 A dialogue is rendered in segments of `segment` turn numbers, so no task holds a conversation whole, however long; most
 conversations are one segment.  Where turn numbers repeat so much that a segment has over CROWD times as many rows, it is
-dealt into parts of about that size by content.  Offsets are those in the segment's or part's own text.
+cut into parts of about that size, each a stretch of the dialogue: its rows are dealt to tasks by ranges of their order, and
+counts of ranges give each row its place, so no task sorts a segment whole.  Offsets are those in the segment's or part's
+own text.
 
 Equal rows count once; rows of one turn number stand in order of role and text; null turns come last, in segment -1; a
 null role is the speaker "unknown"; null text is empty; rows of null conv_id are one conversation; a conversation of
@@ -16,15 +18,45 @@ columns besides these four are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from halyard.llm.common import materialize, table
+from halyard.llm.common import WRITTEN, materialize, shared_dir, table
 
 SEGMENT, CROWD = 256, 4
+#: So many characters of a text help to deal its row to a range; samples of that size go to the driver.
+PREFIX = 1000
 OPEN, CLOSE, SYSTEM = "<|im_start|>", "<|im_end|>", "system"
 
 
+def ranged(rows: DataFrame, by: list[Column]) -> DataFrame:
+    """rows with _range, which range of their order each fell into.  Written at once, so that the number is final; not
+    through few_files, as a task that reads several ranges would give them one number."""
+    spark = rows.sparkSession
+    path = f"{shared_dir(spark)}/halyard-chat-ranges-{uuid.uuid4().hex}"
+    dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *by).withColumn("_range", F.spark_partition_id())
+    dealt.write.parquet(path)
+    WRITTEN.append(path)
+    return spark.read.schema(dealt.schema).parquet(path)
+
+
+def cut_crowded(rows: DataFrame, crowded: DataFrame) -> DataFrame:
+    """rows with the part of their segment: 0, or where crowded(_conv, _segment, _n, _parts) has the segment, by place."""
+    marked = rows.join(crowded, rows["conv_id"].eqNullSafe(crowded["_conv"]) & (rows["segment"] == crowded["_segment"]), "left").drop("_conv", "_segment")
+    calm = marked.filter(F.col("_parts").isNull()).select(*rows.columns, F.lit(0).cast("long").alias("part"))
+    hot = ranged(marked.filter(F.col("_parts").isNotNull()), [F.col(c) for c in ("conv_id", "segment", "turn", "role")] + [F.substring("text", 1, PREFIX)])
+    counts = hot.groupBy(F.col("conv_id").alias("_conv"), F.col("segment").alias("_segment"), F.col("_range").alias("_of")).agg(F.count(F.lit(1)).alias("_size"))
+    before = F.sum("_size").over(Window.partitionBy("_conv", "_segment").orderBy("_of")) - F.col("_size")  # a row for each range
+    starts = counts.select("_conv", "_segment", "_of", before.alias("_start"))
+    nth = F.row_number().over(Window.partitionBy("conv_id", "segment", "_range").orderBy("turn", "role", "text")) - 1
+    same = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("segment") == F.col("_segment")) & (F.col("_range") == F.col("_of"))
+    placed = hot.withColumn("_nth", nth).join(starts, same)
+    part = F.floor((F.col("_start") + F.col("_nth")) * F.col("_parts") / F.col("_n")).cast("long")
+    return calm.unionByName(placed.select(*rows.columns, part.alias("part")))
+
+
 def rotate(turns: DataFrame, *, segment: int = SEGMENT) -> DataFrame:
     """conv_id, speaker, segment, part, text, mask (start-end,start-end ... in characters), n_turns, n_own."""
     rows = turns.select(
@@ -35,11 +67,10 @@ def rotate(turns: DataFrame, *, segment: int = SEGMENT) -> DataFrame:
     ).distinct()
     number = F.coalesce(F.floor(F.col("turn") / segment), F.lit(-1)).cast("long")
     rows = rows.withColumn("segment", number)
-    sizes = rows.groupBy(F.col("conv_id").alias("_conv"), F.col("segment").alias("_segment")).agg(F.ceil(F.count(F.lit(1)) / (CROWD * segment)).alias("_parts"))
+    sizes = rows.groupBy(F.col("conv_id").alias("_conv"), F.col("segment").alias("_segment")).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.withColumn("_parts", F.ceil(F.col("_n") / (CROWD * segment)))
     crowded = materialize(sizes.filter("_parts > 1"), "crowded")
-    rows = rows.join(crowded, rows["conv_id"].eqNullSafe(crowded["_conv"]) & (rows["segment"] == crowded["_segment"]), "left")
-    part = F.coalesce(F.pmod(F.xxhash64("turn", "role", "text"), F.col("_parts")), F.lit(0)).cast("long")
-    rows = rows.withColumn("part", part).drop("_conv", "_segment", "_parts")
+    rows = rows.withColumn("part", F.lit(0).cast("long")) if crowded.isEmpty() else cut_crowded(rows, crowded)
     held = rows.groupBy("conv_id", "segment", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     speakers = rows.filter(F.col("role") != SYSTEM).select(F.col("conv_id").alias("_conv"), F.col("role").alias("speaker")).distinct()
     views = held.join(speakers, held["conv_id"].eqNullSafe(speakers["_conv"])).drop("_conv")

@@ -105,6 +105,18 @@ def test_crowded_segments_are_dealt_out(spark):
     assert [(r["part"], r["n_turns"]) for r in out if r["conv_id"] == 2] == [(0, 1)]
 
 
+def test_parts_of_a_crowded_segment_are_stretches_of_it(spark):
+    """Read one after the other, the parts are the dialogue in its order."""
+    some = [(None, i % 3, "ab"[i % 2], f"t{i}", 0) for i in range(3000)] + [(1, None, "a", f"n{i}", 0) for i in range(2500)] + [(2, 0, "a", "x", 0)]
+    some += [(3, i // 5, "ba"[i % 2], f"q{i}", 0) for i in range(1280)] + [(4, 0, "a", "p" * 1200 + str(i), 0) for i in range(1100)]
+    out = chat.rotate(spark.createDataFrame(some, CHAT).repartition(5)).collect()
+    for conv in (None, 1, 2, 3, 4):
+        mine = sorted((r for r in out if r["conv_id"] == conv and r["speaker"] == "a"), key=lambda r: (r["segment"], r["part"]))
+        want = sorted({(t is None, t or 0, role, text) for c, t, role, text, _ in some if c == conv})
+        assert "".join(r["text"] for r in mine) == "".join(f"<|im_start|>{'assistant' if role == 'a' else 'user name=b'}\n{text}<|im_end|>\n" for _, _, role, text in want)
+        assert [r["part"] for r in mine] == list(range(-(-len(want) // 1024))) and max(r["n_turns"] for r in mine) <= 1024
+
+
 def test_xxh64_of_every_length():
     import xxhash
 
