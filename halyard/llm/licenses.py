@@ -61,15 +61,13 @@ class Notice:
             at = text.find(seed)
             while at >= 0:
                 # the notice begins at most `edits` bytes from where the seed puts it; a byte more shows the word end
-                lo, hi = max(0, at - offset - self.edits - 1), at - offset + size + self.edits + 1
-                spans.append((lo, hi))
+                lo, hi = max(0, at - offset - self.edits - 1), min(len(text), at - offset + size + self.edits + 1)
+                # it holds the seed, so the newlines nearest to that bound it, whatever block its document stands in
+                a, b = text.rfind(b"\n", lo, at), text.find(b"\n", at + len(seed), hi)
+                spans.append((a + 1 if a >= 0 else lo, b if b >= 0 else hi))
                 at = text.find(seed, at + 1)
         found = {(a, a + size): 0 for a in exact}
         for lo, hi in sorted(set(spans)):
-            a, b = text.rfind(b"\n", lo, lo + self.edits + 2), 0
-            lo = a + 1 if a >= 0 else lo
-            b = text.find(b"\n", lo, hi)
-            hi = b if b >= 0 else min(hi, len(text))
             if (m := self.fuzzy.search(text, lo, hi)) and (k := sum(m.fuzzy_counts)) and text[m.start() - 1 : m.start()] in (b" ", b"\n", b"") and text[m.end() : m.end() + 1] in (b" ", b"\n", b""):
                 found.setdefault((m.start(), m.end()), k)
         # of overlapping places the one with fewer edits stands; exact ones always do

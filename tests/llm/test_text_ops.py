@@ -339,6 +339,22 @@ def test_license_with_errors(spark):
     assert "apache-2" in out[3]["labels"] and out[4]["labels"] == "" and out[5]["n_words"] == 0
 
 
+def test_license_at_the_edges_of_a_document(spark):
+    """The same label whether the document is first, within or last in its block."""
+    texts = ["der the mit license", "nder the mit license and more", "er the mit license", "say under the mit licen", "che license version 2", "words of others"]
+    notices = [licenses.Notice(p, l, True) for p, l in licenses.BASE] + [licenses.Notice(p, l, False) for p, l in licenses.MORE]
+
+    def labels(texts):
+        raw = [t.encode() for t in texts]
+        return [(r[5], r[7]) for r in licenses.scan(notices, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))]
+
+    assert labels(texts[:1])[0][0] == "mit"
+    alone = [labels([t])[0] for t in texts]
+    assert labels(texts) == alone
+    assert labels(texts[::-1]) == alone[::-1]
+    assert labels(["x", *texts, "x"])[1:-1] == alone
+
+
 def test_sharding(docs, none, many_tasks):
     out = sharding.shard_rows(docs, 24).collect()
     assert Counter((r["doc_id"], r["size"]) for r in out) == Counter((d, len((t or "").encode()) + 8) for d, t in corpus())
