@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm.common import few_files, materialize, prepare, table
+from halyard.llm.common import materialize, prepare, table
 from halyard.llm.decontaminate import decontaminate
 from halyard.llm.line_dedup import LONG_WORDS, line_dedup
 from halyard.llm.packing import pack_documents
@@ -21,32 +21,32 @@ from halyard.llm.toxicity import drop_toxic
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model of op8, learnt from the labels of the input, scores at 0.5 or more go."""
     prepare(spark)
-    return few_files(drop_toxic(docs, table(spark, sf_dir, "labels")))
+    return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of runs of lines, and of single long lines, go; n_chars follows the text."""
     prepare(spark)
     out = line_dedup(docs, long_words=LONG_WORDS)
-    return few_files(out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of the smallest id stays."""
     prepare(spark)
-    return few_files(keep_one(docs))
+    return keep_one(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with enough words in benchmark passages go."""
     prepare(spark)
-    return few_files(decontaminate(docs, table(spark, sf_dir, "benchmark")))
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a document, with its place in a training sequence."""
     prepare(spark)
-    return few_files(pack_documents(docs))
+    return pack_documents(docs)
 
 
 STAGES = [
