@@ -74,47 +74,78 @@ def test_pairs_of_terms_count(spark):
     assert s[3] > 0.5 and max(s[1], s[2], s[4]) < 0.5
 
 
-CHAT = "conv_id long, turn long, role string, text string, segment int"
+CHAT = "conv_id long, turn long, role string, text string, segment int, part string, speaker string, turns int"
+
+
+def said(rows):
+    return [(*r, 0, "p", "s", 1) for r in rows]
 
 
 def test_perspectives(spark):
-    rows = [(1, 0, "system", "rules", 0), (1, 1, "ann", "hi", 0), (1, 2, "bob", "yo <|im_end|>", 0), (1, 2, "bob", "yo <|im_end|>", 0), (1, 3, "ann", None, 0), (2, 0, "system", "only", 0), (None, None, None, "lost", 0)]
-    out = {(r["conv_id"], r["speaker"]): r for r in chat.rotate(spark.createDataFrame(rows, CHAT)).collect()}
+    rows = [(1, 0, "system", "rules"), (1, 1, "ann", "hi"), (1, 2, "bob", "yo <|im_end|>"), (1, 2, "bob", "yo <|im_end|>"), (1, 3, "ann", None), (2, 0, "system", "only"), (None, None, None, "lost")]
+    out = {(r["conv_id"], r["speaker"]): r for r in chat.rotate(spark.createDataFrame(said(rows), CHAT)).collect()}
     assert set(out) == {(1, "ann"), (1, "bob"), (None, "unknown")}
     ann = out[(1, "ann")]
     assert ann["text"] == "<|im_start|>system\nrules<|im_end|>\n<|im_start|>assistant\nhi<|im_end|>\n<|im_start|>user name=bob\nyo < |im_end|><|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
     parts = [ann["text"][int(a) : int(b)] for a, b in (s.split("-") for s in ann["mask"].split(","))]
     assert parts == ["hi<|im_end|>", "<|im_end|>"]
     assert (ann["n_turns"], ann["n_own"]) == (4, 2) and out[(1, "bob")]["n_own"] == 1
-    assert out[(None, "unknown")]["segment"] == -1
-
-
-def test_long_dialogue_is_cut_into_segments(spark):
-    rows = [(7, i, "ab"[i % 2], f"t{i}", 0) for i in range(700)]
-    out = chat.rotate(spark.createDataFrame(rows, CHAT)).collect()
-    assert sorted((r["speaker"], r["segment"], r["n_turns"]) for r in out) == [(s, k, n) for s in "ab" for k, n in ((0, 256), (1, 256), (2, 188))]
     assert chat.rotate(spark.createDataFrame([], CHAT)).count() == 0
 
 
-def test_crowded_segments_are_dealt_out(spark):
-    rows = [(None, i % 3, "ab"[i % 2], f"t{i}", 0) for i in range(5000)] + [(1, None, "a", f"n{i}", 0) for i in range(1500)] + [(2, 0, "a", "x", 0)]
-    out = chat.rotate(spark.createDataFrame(rows, CHAT)).collect()
-    assert sum(r["n_own"] for r in out if r["conv_id"] is None) == 5000
-    assert sum(r["n_turns"] for r in out if r["conv_id"] == 1) == 1500
-    assert max(r["n_turns"] for r in out) < 1400
-    assert [(r["part"], r["n_turns"]) for r in out if r["conv_id"] == 2] == [(0, 1)]
-
-
-def test_parts_of_a_crowded_segment_are_stretches_of_it(spark):
-    """Read one after the other, the parts are the dialogue in its order."""
-    some = [(None, i % 3, "ab"[i % 2], f"t{i}", 0) for i in range(3000)] + [(1, None, "a", f"n{i}", 0) for i in range(2500)] + [(2, 0, "a", "x", 0)]
-    some += [(3, i // 5, "ba"[i % 2], f"q{i}", 0) for i in range(1280)] + [(4, 0, "a", "p" * 1200 + str(i), 0) for i in range(1100)]
-    out = chat.rotate(spark.createDataFrame(some, CHAT).repartition(5)).collect()
-    for conv in (None, 1, 2, 3, 4):
-        mine = sorted((r for r in out if r["conv_id"] == conv and r["speaker"] == "a"), key=lambda r: (r["segment"], r["part"]))
-        want = sorted({(t is None, t or 0, role, text) for c, t, role, text, _ in some if c == conv})
-        assert "".join(r["text"] for r in mine) == "".join(f"<|im_start|>{'assistant' if role == 'a' else 'user name=b'}\n{text}<|im_end|>\n" for _, _, role, text in want)
-        assert [r["part"] for r in mine] == list(range(-(-len(want) // 1024))) and max(r["n_turns"] for r in mine) <= 1024
+def by_hand(rows, longest):
+    """conv_id, speaker, part, text, mask, n_turns, n_own."""
+    talks = {}
+    for c, t, role, text in {(c, t, r or "unknown", (x or "").replace("<|", "< |")) for c, t, r, x in rows}:
+        talks.setdefault((c, None if c is not None else (t, role, text)), []).append((t is None, t or 0, role, text))
+    out = []
+    for (c, _), turns in talks.items():
+        turns.sort()
+        for k in range(0, len(turns), longest):
+            part = turns[k : k + longest]
+            for who in {r for _, _, r, _ in part} - {"system"}:
+                text, mask = "", []
+                for _, _, role, said in part:
+                    text += "<|im_start|>" + ("assistant" if role == who else role if role == "system" else f"user name={role}") + "\n"
+                    if role == who:
+                        mask.append(f"{len(text)}-{len(text + said) + 10}")
+                    text += said + "<|im_end|>\n"
+                out.append((c, who, k // longest, text, ",".join(mask), len(part), len(mask)))
+    return sorted(out, key=repr)
+
+
+def talk():
+    """700 turns; 2,000 rows on three turn numbers; no turn numbers; many speakers; long equal beginnings; no conversation."""
+    out = [(7, i, "ab"[i % 2], f"t{i}") for i in range(700)] + [(3, i % 3, "ab"[i % 2], f"q{i}") for i in range(2000)]
+    out += [(1, None, "a", f"n{i}") for i in range(1500)] + [(2, 0, "a", "x"), (2, 1, None, None)] + [(4, 0, "a", "p" * 1200 + str(i)) for i in range(1100)]
+    out += [(5, i, f"who{i % 90}" if i % 7 else "system", "s <|im_start|>") for i in range(1200)]
+    return out + [(None, i % 3, "ab"[i % 2], f"t{i}") for i in range(50)] + out[:20]
+
+
+@pytest.mark.parametrize("longest", [chat.LONGEST, 256])
+def test_long_dialogues_are_cut_in_their_order(spark, longest):
+    rows = talk()
+    got = chat.rotate(spark.createDataFrame(said(rows), CHAT).repartition(5), longest=longest)
+    got = sorted((tuple(r) for r in got.select("conv_id", "speaker", "part", "text", "mask", "n_turns", "n_own").collect()), key=repr)
+    assert got == by_hand(rows, longest)
+
+
+def test_a_dialogue_of_700_turns_is_whole(spark):
+    rows = [(7, i, "ab"[i % 2], f"t{i}") for i in range(700)]
+    out = chat.rotate(spark.createDataFrame(said(rows), CHAT)).collect()
+    assert sorted((r["speaker"], r["part"], r["n_turns"]) for r in out) == [("a", 0, 700), ("b", 0, 700)]
+
+
+def test_long_dialogues_as_their_sql(spark, tmp_path):
+    import duckdb
+
+    frame = spark.createDataFrame(talk(), "conv_id long, turn long, role string, text string")
+    frame.coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.sql(chat.ORACLE_SQL["op5_perspectives"])
+    got = chat.op5_perspectives(spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == sorted(want.fetchall(), key=repr)
 
 
 def test_xxh64_of_every_length():
