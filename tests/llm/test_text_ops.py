@@ -370,6 +370,50 @@ def test_sharding(docs, none, many_tasks):
     assert sharding.shard_rows(none, 24).count() == 0
 
 
+def drawn(key, shards, base, weights=None):
+    """The shard of a key, its draws made again one by one."""
+    import math
+    import struct
+
+    import xxhash
+
+    leaves = {}  # region, rack, leaf -> shard
+    for s in range(shards):
+        r = s // 12 if s < base else -(-base // 12) + s - base
+        k = s // 4 if s < base else 3 * r
+        leaves[r, k, s if s < base else 12 * r] = s
+    weight = {}
+    for path, s in leaves.items():
+        for level, node in zip(("region", "rack", "shard"), path, strict=True):
+            weight[level, node] = weight.get((level, node), 0) + (weights or {}).get(s, 1.0)
+
+    def draw(level, node):
+        h = xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
+        h = xxhash.xxh64_intdigest(struct.pack("<i", node), xxhash.xxh64_intdigest(level.encode(), h))
+        return -math.log(((h >> 11) + 0.5) / (1 << 53)) / weight[level, node]
+
+    region = min({r for r, _, _ in leaves}, key=lambda n: draw("region", n))
+    rack = min({k for r, k, _ in leaves if r == region}, key=lambda n: draw("rack", n))
+    return min(((draw("shard", leaf), s) for (_, k, leaf), s in leaves.items() if k == rack))[1]
+
+
+@pytest.mark.parametrize(("n", "base", "weights"), [(24, 24, None), (13, 13, None), (25, 24, {3: 2.5}), (27, 5, None), (1, 1, None)])
+def test_draws_made_again(spark, n, base, weights):
+    ids = spark.range(0, 4000, 13).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    for r in sharding.shard_rows(ids, n, base=base, weights=weights).collect():
+        assert (r["shard"], r["grown_shard"]) == (drawn(r["doc_id"], n, base, weights), drawn(r["doc_id"], n + 1, base, weights))
+
+
+@pytest.mark.parametrize("n", [1, 2, 13, 23, 24, 25])
+def test_one_more_shard_takes_rows_only_into_itself(spark, n):
+    ids = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    out = sharding.shard_rows(ids, n).filter("shard != grown_shard").groupBy("grown_shard").count().collect()
+    assert [r["grown_shard"] for r in out] == [n]
+    assert 0.8 < out[0]["count"] * (n + 1) / 20_000 < 1.2
+    with pytest.raises(ValueError, match="laid out"):
+        sharding.shard_rows(ids, n, base=n + 1)
+
+
 def test_sharding_spreads_and_moves_little(spark):
     ids = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     out = sharding.shard_rows(ids, 24).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("shard") != F.col("grown_shard")).alias("moved")).collect()
