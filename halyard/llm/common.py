@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -34,29 +35,34 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "halyard-checkpoints")
+    """The folder that driver and executors share: spark.checkpoint.dir.  Where that is unset, a temporary folder serves a
+    session that runs in one process; on a cluster every executor would write to a disk of its own, so there it is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or os.path.join(tempfile.gettempdir(), "halyard-checkpoints")
 
 
 def prepare(spark: SparkSession) -> None:
-    """This package goes to the Python workers, and rows go there a few MB at a time; at the default, both sides hold ten
+    """For the entry points, the registered queries and the pipeline's stages, not for operators: this package goes to the
+    Python workers, and the session sends them rows a few MB at a time from here on; at the default, both sides hold ten
     times as much."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 2 * BLOCK_BYTES)
 
 
-def few_files(df: DataFrame) -> DataFrame:
-    """df in one task per core, or an eighth of the shuffle partitions where data are large.  Each reads several
-    small partitions one by one and writes one file of them; no rows move, and no task holds more than one partition."""
-    spark = df.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.coalesce(max(spark.sparkContext.defaultParallelism, partitions // 8))
+def fresh(columns: list[str], name: str) -> str:
+    """The name, with underscores behind it as long as a column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read back, so that lost executors or later branches don't repeat its work."""
     path = f"{shared_dir(df.sparkSession)}/halyard-{name}-{uuid.uuid4().hex}"
-    few_files(df).write.parquet(path)
+    df.write.parquet(path)
     WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -65,11 +71,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 WRITTEN: list[str] = []
 
 
-def clean_up(spark: SparkSession) -> None:
-    """Deletes the tables that materialize() has written.  For the end of a job: results that aren't stored need them."""
+def clean_up(spark: SparkSession, keep: int = 0, but: tuple[str, ...] = ()) -> None:
+    """Deletes the tables that materialize() has written, without the first `keep` and those in `but`.  For the end of a
+    job, as results that aren't stored need them, or for what lies behind a table that has been written since."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+    gone = [p for p in WRITTEN[keep:] if p not in but]
+    for p in gone:
+        WRITTEN.remove(p)
+        path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
 
 

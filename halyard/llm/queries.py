@@ -8,19 +8,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from halyard.llm import chat, decontaminate, exact_dedup, licenses, line_dedup, packing, sharding, simhash, suffix_dedup, toxicity
-from halyard.llm.common import few_files, prepare
+from halyard.llm.common import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
 MODULES = (exact_dedup, decontaminate, line_dedup, packing, chat, suffix_dedup, simhash, toxicity, licenses, sharding)
 
 
 def modest(query: Query) -> Query:
-    """The query, read in small batches and its result in few files."""
+    """The query, its rows going to Python in small batches."""
 
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         prepare(spark)
-        return few_files(query(spark, sf_dir))
+        return query(spark, sf_dir)
 
     return run
 
