@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm.common import materialize, prepare, table
+from halyard.llm.common import WRITTEN, clean_up, materialize, prepare, table
 from halyard.llm.decontaminate import decontaminate
 from halyard.llm.line_dedup import LONG_WORDS, line_dedup
 from halyard.llm.packing import pack_documents
@@ -62,7 +62,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other.  Each result is written, and what the stage wrote on its way is deleted then."""
     docs = table(spark, sf_dir, "documents")
+    first = len(WRITTEN)
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        clean_up(spark, first, (WRITTEN[-1],))
     return STAGES[-1][1](spark, docs, sf_dir)
