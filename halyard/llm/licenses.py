@@ -1,8 +1,10 @@
 """License notices by fuzzy search.
 
-A notice of m characters with up to e edits is cut into e + 1 pieces, of which one must occur unchanged.  The pieces are
-looked up in the words of a text, joined by single spaces; around each the `regex` library matches the whole notice with
-bounded errors between word ends and reports span and edits.  Places without an edit are the base places.
+A notice is a phrase of which some words name the license: those must occur unchanged, edits fall on the rest only, and no
+edit puts a digit in, so another version or a neighbouring license isn't taken for it.  A notice of m characters with up to
+e edits is cut into e + 1 pieces, of which one must occur unchanged.  The pieces are looked up in the words of a text,
+joined by single spaces; around each the `regex` library matches the whole notice with bounded errors between word ends
+and reports span and edits.  Places without an edit are the base places.
 
 Null or wordless text has no words, no places and empty labels; notices never span two documents; texts are read whole;
 repeated rows are judged each alone; an empty table gives an empty result; columns besides id and text are ignored.
@@ -19,16 +21,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from halyard.llm.common import Words, table, text_blocks
 
-#: Phrases whose unchanged places are counted, and their labels.
-BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: Further notices that this operator knows, and their labels.
+#: Phrases whose unchanged places are counted, their labels, and the words that name the license.
+BASE = (
+    ("under the mit license", "mit", "mit"),
+    ("apache license version 2", "apache-2", "apache 2"),
+    ("cc by nc", "cc-by-nc", "cc by nc"),
+)
+#: Further notices that this operator knows, their labels, and the words that name the license.
 MORE = (
-    ("gnu general public license version 3", "gpl-3"),
-    ("gnu lesser general public license", "lgpl"),
-    ("mozilla public license version 2", "mpl-2"),
-    ("redistribution and use in source and binary forms", "bsd"),
-    ("permission is hereby granted free of charge", "mit"),
-    ("all rights reserved", "all-rights-reserved"),
+    ("gnu general public license version 3", "gpl-3", "gnu general 3"),
+    ("gnu lesser general public license", "lgpl", "gnu lesser"),
+    ("mozilla public license version 2", "mpl-2", "mozilla 2"),
+    ("redistribution and use in source and binary forms", "bsd", ""),
+    ("permission is hereby granted free of charge", "mit", ""),
 )
 
 
@@ -43,11 +48,24 @@ def pieces(phrase: bytes, n: int) -> list[tuple[int, bytes]]:
 
 
 class Notice:
-    def __init__(self, phrase: str, label: str, base: bool, edits: int | None = None):
+    def __init__(self, phrase: str, label: str, naming: str, base: bool, edits: int | None = None):
         self.phrase, self.label, self.base = phrase.encode(), label, base
-        self.edits = edits_for(phrase) if edits is None else edits
+        named, fuzzy, parts = set(naming.split()), [], []
+        for word in phrase.split():  # what lies between naming words, spaces included, may have edits
+            if word not in named:
+                fuzzy.append(word)
+                continue
+            parts += [(" ".join(["", *fuzzy, ""] if parts else [*fuzzy, ""]), False)] * bool(fuzzy) or [(" ", None)] * bool(parts)
+            parts.append((word, True))
+            fuzzy = []
+        if fuzzy:
+            parts.append((" ".join(["", *fuzzy] if parts else fuzzy), False))
+        room = edits_for(phrase) if edits is None else edits
+        self.edits = room if any(kind is False for _, kind in parts) else 0
         self.seeds = pieces(self.phrase, self.edits + 1)
-        self.fuzzy = regex.compile(rb"(?b)(?<![^ \n])(?:%s){e<=%d}(?![^ \n])" % (regex.escape(self.phrase), self.edits))
+        shapes = {True: rb"(?<![^ \n])%s(?![^ \n])", None: b"%s", False: b"(?:%%s){e<=%d:[^0-9]}" % self.edits}
+        body = b"".join(shapes[kind] % regex.escape(t.encode(), literal_spaces=True) for t, kind in parts)
+        self.fuzzy = regex.compile(rb"(?b)(?<![^ \n])" + body + rb"(?![^ \n])")
 
     def places(self, text: bytes) -> list[tuple[int, int, int]]:
         """Start, end and edits of each place in words joined by spaces, documents ended by newlines."""
@@ -68,7 +86,7 @@ class Notice:
                 at = text.find(seed, at + 1)
         found = {(a, a + size): 0 for a in exact}
         for lo, hi in sorted(set(spans)):
-            if (m := self.fuzzy.search(text, lo, hi)) and (k := sum(m.fuzzy_counts)) and text[m.start() - 1 : m.start()] in (b" ", b"\n", b"") and text[m.end() : m.end() + 1] in (b" ", b"\n", b""):
+            if (m := self.fuzzy.search(text, lo, hi)) and 0 < (k := sum(m.fuzzy_counts)) <= self.edits and text[m.start() - 1 : m.start()] in (b" ", b"\n", b"") and text[m.end() : m.end() + 1] in (b" ", b"\n", b""):
                 found.setdefault((m.start(), m.end()), k)
         # of overlapping places the one with fewer edits stands; exact ones always do
         out: list[tuple[int, int, int]] = [(a, b, 0) for a, b in ((a, a + size) for a in sorted(exact))]
@@ -78,6 +96,10 @@ class Notice:
         return sorted(out)
 
 
+def known(base: tuple = BASE, more: tuple = MORE) -> list[Notice]:
+    return [Notice(*x, True) for x in base] + [Notice(*x, False) for x in more]
+
+
 def joined(words: Words) -> tuple[bytes, np.ndarray]:
     """The block's words, each followed by a space or at its document's end a newline, and where each begins."""
     sizes = words.lengths + 1
@@ -120,7 +142,7 @@ def scan(notices: list[Notice], data: np.ndarray, ends: np.ndarray) -> list[tupl
 
 def kernel(base: tuple, more: tuple) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        notices = [Notice(p, l, True) for p, l in base] + [Notice(p, l, False) for p, l in more]
+        notices = known(base, more)
         for part, data, ends in text_blocks(batches, "text"):
             columns = list(zip(*scan(notices, data, ends), strict=True))
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(OUT)[1:], strict=True))], schema=OUT)

@@ -41,13 +41,65 @@ def licenses(docs, base):
     out = []
     for d, t in docs:
         w, places = words(t), []
-        for phrase, label in base:
+        for phrase, label, _ in base:
             p = phrase.split()
             places += [(k, label) for k in range(len(w)) if w[k : k + len(p)] == p]
         out.append((d, len(w), len(places), min(places)[0] if places else None, max(places)[0] if places else None, ",".join(sorted({x[1] for x in places}))))
     return out
 
 
+def edits(phrase, text):
+    """Least edits from one to the other that put no digit in."""
+    row = list(range(len(phrase) + 1))
+    for c in text:
+        far = 99 if c.isdigit() else 0
+        new = [row[0] + 1 + far]
+        for j, p in enumerate(phrase):
+            new.append(min(row[j] + (0 if p == c else 1 + far), row[j + 1] + 1 + far, new[j] + 1))
+        row = new
+    return row[-1]
+
+
+def notice_edits(phrase, naming, stretch):
+    """Edits that make the words of the stretch from the phrase's, its naming words unchanged; 99 and more: none do."""
+    named = [i for i, w in enumerate(phrase) if w in naming]
+
+    def gap(ws, left, right):
+        return (" " if left else "") + "".join(w + " " for w in ws) if right else (" " if left and ws else "") + " ".join(ws)
+
+    def rest(k, i, at):  # named words before k are placed; phrase from i, stretch from at are left
+        if k == len(named):
+            return edits(gap(phrase[i:], k, False), gap(stretch[at:], k, False))
+        best = 99
+        for b in range(at, len(stretch)):
+            if stretch[b] == phrase[named[k]]:
+                if named[k] == i and k:  # two naming words in a row
+                    cost = 0 if b == at else 99
+                elif named[k] == i:
+                    cost = 0 if b == at else 99
+                else:
+                    cost = edits(gap(phrase[i : named[k]], k, True), gap(stretch[at:b], k, True))
+                if cost < best:
+                    best = min(best, cost + rest(k + 1, named[k] + 1, b + 1))
+        return best
+
+    return rest(0, 0, 0)
+
+
+def notices(text, known, allowed):
+    """label -> {(first word, last word + 1): edits} of every stretch of words that is a notice."""
+    w, out = words(text), {}
+    for phrase, label, naming in known:
+        p, names = phrase.split(), set(naming.split())
+        for a in range(len(w)):
+            for b in range(a + 1, min(len(w), a + len(p) + 4) + 1):
+                if abs(len(" ".join(w[a:b])) - len(phrase)) <= allowed(phrase):
+                    k = notice_edits(p, names, w[a:b])
+                    if k <= (allowed(phrase) if names != set(p) else 0):
+                        out.setdefault((phrase, label), {})[a, b] = k
+    return out
+
+
 def simhash(docs):
     """docs: (doc_id, text) -> doc_id, fingerprint, component_id."""
     import xxhash

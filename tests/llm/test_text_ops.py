@@ -336,17 +336,47 @@ def test_license_with_errors(spark):
     assert out[1]["labels"] == "mit" and out[1]["base_labels"] == "" and 0 < out[1]["score"] < 1 and out[1]["spans"][0]["edits"] == 2
     assert out[1]["spans"][0]["start_word"] == 1 and out[1]["spans"][0]["end_word"] == 5
     assert out[2]["score"] == 1.0 and out[2]["base_labels"] == out[2]["labels"] == "mit"
-    assert "apache-2" in out[3]["labels"] and out[4]["labels"] == "" and out[5]["n_words"] == 0
+    assert out[3]["labels"] == "apache-2" and out[4]["labels"] == "" and out[5]["n_words"] == 0
+
+
+def scan_labels(texts):
+    raw = [t.encode() for t in texts]
+    return licenses.scan(licenses.known(), np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+
+
+def test_neighbouring_licenses_are_not_taken_for_one():
+    texts = ["cc by nd", "cc by sa", "cc-by", "under the mpl license", "under the isc license", "under the amit license", "gnu general public license version 2", "apache license version 1", "apache license version 1.2", "apache license version 22", "mozilla public license version 1", "mozilla public license version 1 2", "gnu affero general public license version 2", "all rights reserved"]
+    assert [r[5] for r in scan_labels(texts)] == [""] * len(texts)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_notices_as_by_every_stretch_of_words(seed):
+    """Labels, score and spans against edit distances of all stretches."""
+    rng = random.Random(seed)
+    every = licenses.BASE + licenses.MORE
+
+    def mangled(phrase):
+        t = list(phrase)
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3, 4])):
+            i = rng.randrange(len(t))
+            t[i : i + 1] = rng.choice([[], [rng.choice("aeilnt 12")], [t[i], rng.choice("aeilnt 12")]])
+        return "".join(t)
+
+    texts = [" ".join(rng.choice(["mit", "the", "x", "license", "2", "cc by", "mozilla"]) if rng.random() < 0.5 else mangled(rng.choice(every)[0]) for _ in range(rng.randint(0, 8))) for _ in range(60)]
+    for text, row in zip(texts, scan_labels(texts), strict=True):
+        found = brute.notices(text, every, licenses.edits_for)
+        assert row[5] == ",".join(sorted({label for _, label in found})), text
+        assert row[6] == pytest.approx(max((1 - k / len(phrase) for (phrase, _), places in found.items() for k in places.values()), default=0.0)), text
+        for span in row[7]:
+            assert any(places.get((span["start_word"], span["end_word"])) == span["edits"] for (_, label), places in found.items() if label == span["label"]), (text, span)
 
 
 def test_license_at_the_edges_of_a_document(spark):
     """The same label whether the document is first, within or last in its block."""
     texts = ["der the mit license", "nder the mit license and more", "er the mit license", "say under the mit licen", "che license version 2", "words of others"]
-    notices = [licenses.Notice(p, l, True) for p, l in licenses.BASE] + [licenses.Notice(p, l, False) for p, l in licenses.MORE]
 
     def labels(texts):
-        raw = [t.encode() for t in texts]
-        return [(r[5], r[7]) for r in licenses.scan(notices, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))]
+        return [(r[5], r[7]) for r in scan_labels(texts)]
 
     assert labels(texts[:1])[0][0] == "mit"
     alone = [labels([t])[0] for t in texts]
