@@ -2,19 +2,22 @@
 
 A document is the sequence of its lines that aren't blank, spaces at their ends ignored.  Of every `min_run` lines in a
 row the one with the least hash (the last of equals) is a fingerprint, so two documents that share a run that long share
-a fingerprint in it.  Fingerprints that occur once are dropped; around the others, the position is joined to the earliest
-occurrence of the same `min_run` lines, and neighbouring joined positions extend each other both ways to the whole run.
-A line goes if it lies in such a run that began earlier, in order of id, text hash and line; the earliest run stays.
+a fingerprint in it.  Only fingerprints' positions are kept, about 2 of `min_run` + 1 lines, and of those only the ones
+whose hash another position has too.  Around these the match is extended both ways, over the windows of `min_run` lines
+that chose the position: their lines are compared with the earliest place that holds the same ones, and neighbouring
+matches make up the whole run.  A line goes if it lies in such a run that began earlier, in order of id, text hash and
+line; the earliest run stays.  Single lines that recur between differing neighbours stay, if they aren't long:
 
-With `long_words`, a line of more words than that is a window of its own beside those of `min_run`, so a long passage on
-one line goes whatever stands around it.  op3 itself goes without, as its SQL knows runs of two lines only.
+With `long_words`, a line of more words than that is a fingerprint and a window of its own, so a long passage on one line
+goes whatever stands around it.
 
 Positions are joined to one earliest occurrence, never to each other, and counts are aggregated before the shuffle, so a
 line that a third of all rows share costs one row for each occurrence.
 
 Null text has no lines and stays null; blank lines are neither compared nor removed; a text shorter than `min_run`
-lines stays; lines are compared whole, by 128 bits of hash; rows with the same id and text count as one document and
-get the same result; a null id comes before others; an empty table gives an empty result; other columns pass through.
+lines stays, but for long ones; lines are compared whole, by 128 bits of hash; rows with the same id and text count as
+one document and get the same result; a null id comes before others; an empty table gives an empty result; other columns
+pass through, but `removed` takes the place of one of that name.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from halyard.llm.common import materialize, table
 MIN_RUN = 2
 #: Of a passage on one line: more words than this make a run of it.
 LONG_WORDS = 50
+#: What counts as a word of a line.
+WORD = r"[^ \t\n\x0B\f\r]+"
 
 
 def lines_of(text: Column) -> Column:
@@ -44,43 +49,53 @@ def computed(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def windows(docs: DataFrame, id_col: str, text_col: str, run: int, long_words: int | None = None) -> DataFrame:
-    """One row for each `run` lines in a row, and for each long line: document, number of the first line, how many lines,
-    fingerprint, and two hashes of them all."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, run: int, long_words: int | None = None) -> DataFrame:
+    """One row for each line that is the fingerprint of some `run` lines in a row, and for each long line: document, the
+    line's hash, and _around, the windows that chose it: number of the first line, how many lines, two hashes of them."""
     rows = docs.filter(F.col(text_col).isNotNull()).select(*keys(id_col, text_col), F.col(text_col).alias("text"))
     # trim by name would be given the line's number as what to trim
     rows = computed(rows, lines=F.filter(F.transform(lines_of(F.col("text")), lambda x: F.trim(x)), lambda x: x != "")).filter(F.size("lines") >= (run if long_words is None else 1))
     more = {}
     if long_words is not None:  # words are counted where there is room for so many
-        long = F.transform("lines", lambda x, i: F.when((F.octet_length(x) > 2 * long_words) & (F.regexp_count(x, F.lit(r"\S+")) > long_words), i))
+        long = F.transform("lines", lambda x, i: F.when((F.octet_length(x) > 2 * long_words) & (F.regexp_count(x, F.lit(WORD)) > long_words), i))
         more = {"long": F.filter(long, lambda i: i.isNotNull())}
     rows = computed(rows, a=F.transform("lines", lambda x: F.xxhash64(x)), b=F.transform("lines", lambda x: F.xxhash64(x, F.lit(1))), **more)
 
     def window(i: Column, run: int) -> Column:
-        part = lambda c: [F.element_at(c, i + 1 + k) for k in range(run)]
-        w1, w2 = F.xxhash64(*part("a")), F.xxhash64(*part("b"))
-        least = F.least(*part("a")) if run > 1 else w1 if more else part("a")[0]
-        return F.struct(i.alias("_at"), F.lit(run).alias("_size"), least.alias("_mark"), w1.alias("_w1"), w2.alias("_w2"))
+        w1, w2 = (F.xxhash64(*[F.get(c, i + k) for k in range(run)]) for c in ("a", "b"))
+        return F.struct(i.alias("_at"), F.lit(run).alias("_size"), w1.alias("_w1"), w2.alias("_w2"))
 
-    every = F.transform(F.sequence(F.lit(0), F.size("a") - run), lambda i: window(i, run))
+    def least(i: Column) -> Column:
+        """Where the least hash of the window at i is."""
+        some = [F.struct(F.get("a", i + k), (-i - k).alias("at")) for k in range(run)]
+        return -(F.least(*some) if run > 1 else some[0])["at"]
+
+    starts = F.filter(F.transform("a", lambda x, i: i), lambda i: i <= F.size("a") - run)
+    rows = computed(rows, chosen=F.transform(starts, least))
+    first = F.filter(starts, lambda i: (i == 0) | (F.get("chosen", i) != F.coalesce(F.get("chosen", i - 1), F.lit(-1))))
+
+    def pick(i: Column) -> Column:
+        around = [F.when(F.get("chosen", i + k) == F.get("chosen", i), window(i + k, run)) for k in range(run)]
+        return F.struct(F.get("a", F.get("chosen", i)).alias("_mark"), F.filter(F.array(*around), lambda w: w.isNotNull()).alias("_around"))
+
+    every = F.transform(first, pick)
     if more:
-        every = F.filter(F.transform("a", lambda x, i: i), lambda i: i <= F.size("a") - run)
-        every = F.concat(F.transform(every, lambda i: window(i, run)), F.transform("long", lambda i: window(i, 1)))
+        every = F.concat(every, F.transform("long", lambda i: F.struct(F.xxhash64(F.get("a", i)).alias("_mark"), F.array(window(i, 1)).alias("_around"))))
     return rows.select("_halyard_has", "_halyard_id", "_halyard_hash", F.inline(every))
 
 
 def later_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN, long_words: int | None = None) -> DataFrame:
     """_halyard_has, _id, _hash of each document that repeats earlier lines, and at which number and of how many lines its windows that do are."""
-    found = materialize(windows(docs, id_col, text_col, min_run, long_words), "line-windows")
-    # min_run neighbouring windows often pick the same fingerprint, so counting windows keeps every repeated one
-    # both lookup tables are written: a join of two exchanges can be split at a hot key, one over an aggregate can't
-    repeated = materialize(found.groupBy("_mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_mark"), "line-marks")
-    near = found.join(repeated, "_mark", "left_semi")
+    found = materialize(fingerprints(docs, id_col, text_col, min_run, long_words), "line-marks")
+    # all lookup tables are written: a join of two exchanges can be split at a hot key, one over an aggregate can't
+    repeated = materialize(found.groupBy("_mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_mark"), "line-repeats")
+    near = found.join(repeated, "_mark", "left_semi").select("_halyard_has", "_halyard_id", "_halyard_hash", F.inline("_around"))
     place = F.struct("_halyard_has", "_halyard_id", "_halyard_hash", "_at")
     earliest = near.groupBy("_w1", "_w2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("_w1", "_w2", "first")
     earliest = materialize(earliest, "line-firsts")
     later = near.join(earliest, ["_w1", "_w2"]).filter(place > F.col("first"))
-    return later.groupBy("_halyard_has", "_halyard_id", "_halyard_hash").agg(F.collect_set(F.struct("_at", "_size")).alias("_halyard_runs"))
+    runs = later.groupBy("_halyard_has", "_halyard_id", "_halyard_hash").agg(F.collect_set(F.struct("_at", "_size")).alias("_halyard_runs"))
+    return materialize(runs, "line-runs")
 
 
 def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN, long_words: int | None = None, removed: str | None = None) -> DataFrame:
@@ -96,14 +111,15 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     left = F.array_except(F.sequence(F.lit(0), F.size("_halyard_lines") - 1), F.col("_halyard_gone"))
     kept = F.array_join(F.transform(left, lambda i: F.element_at("_halyard_lines", i + 1)), "\n")
     text = F.when(F.col("_halyard_runs").isNull(), F.col(text_col)).otherwise(kept)
-    out = [text.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    out = [text.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != removed]
     more = [F.when(F.col("_halyard_runs").isNull(), 0).otherwise(F.size("_halyard_gone")).cast("long").alias(removed)] if removed else []
     return joined.select(*out, *more)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of two lines and more, and single lines of over 50 words, that came before; single shorter lines stay."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.size(lines_of(F.coalesce(F.col("text"), F.lit("")))).cast("long").alias("n_lines"))
-    out = line_dedup(docs, removed="n_removed")
+    out = line_dedup(docs, long_words=LONG_WORDS, removed="n_removed")
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
@@ -113,9 +129,10 @@ ORACLE_SQL = {
 with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
 l as (select doc_id, len(ls) as n_lines, unnest(ls) as line, unnest(range(len(ls))) as i from d),
 f as (select doc_id, i, trim(line, ' ') as line, row_number() over (partition by doc_id order by i) as k from l where trim(line, ' ') <> ''),
-w as (select doc_id, k, line || chr(10) || lead(line) over (partition by doc_id order by k) as body from f),
-m as (select doc_id, k, row_number() over (partition by body order by doc_id, k) as nth from w where body is not null),
-gone as (select distinct f.doc_id, f.i from f join m on f.doc_id = m.doc_id and f.k between m.k and m.k + {MIN_RUN - 1} where m.nth > 1)
+w as (select doc_id, k, {MIN_RUN} as size, line || chr(10) || lead(line) over (partition by doc_id order by k) as body from f
+  union all select doc_id, k, 1, line from f where len(regexp_extract_all(line, '{WORD}')) > {LONG_WORDS}),
+m as (select doc_id, k, size, row_number() over (partition by body order by doc_id, k) as nth from w where body is not null),
+gone as (select distinct f.doc_id, f.i from f join m on f.doc_id = m.doc_id and f.k between m.k and m.k + m.size - 1 where m.nth > 1)
 select l.doc_id, any_value(l.n_lines) as n_lines, count(gone.i) as n_removed,
   sha256(coalesce(string_agg(l.line, chr(10) order by l.i) filter (where gone.i is null), '')) as text_sha256
 from l left join gone on l.doc_id = gone.doc_id and l.i = gone.i group by l.doc_id""",

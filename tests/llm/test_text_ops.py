@@ -165,6 +165,39 @@ def test_lines_are_compared_without_spaces_at_their_ends(spark):
     assert rows(line_dedup.line_dedup(docs)) == [(1, "x\nitem 1\nitem 2\ny"), (2, "   \nz\nw\nv")]
 
 
+def test_fingerprints_are_chosen_lines(spark):
+    """Positions are kept for about 2 of run + 1 lines; equal windows share one, at the same place within."""
+    rng = random.Random(8)
+    texts = ["\n".join(str(rng.randrange(400)) for _ in range(600)) for _ in range(3)] + ["q\nq\nq\nq"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for run in (2, 3):
+        kept = line_dedup.fingerprints(docs, "doc_id", "text", run).collect()
+        n = 3 * (600 - run + 1) + 4 - run + 1
+        assert sum(len(r["_around"]) for r in kept) == n
+        assert 0.9 < len(kept) / (2 / (run + 1) * n) < 1.1
+        marks: dict = {}
+        for r in kept:
+            for w in r["_around"]:
+                marks.setdefault((w["_w1"], w["_w2"]), set()).add(r["_mark"])
+        assert all(len(m) == 1 for m in marks.values())
+
+
+def test_line_dedup_of_a_hot_row(spark, many_tasks):
+    """A third of all rows are one row, and another third share a line and a passage."""
+    hot = [(5, "same one\nsame two\nsame three")] * 300
+    some = [(1000 + i, f"u{i}\ncommon line\nv{i}\np one\np two") for i in range(300)]
+    docs = spark.createDataFrame(hot + some + [(1, "same two\nsame three")], "doc_id long, text string").repartition(7)
+    got = {(r["doc_id"], r["text"], r["gone"]): r["n"] for r in line_dedup.line_dedup(docs, removed="gone").groupBy("doc_id", "text", "gone").agg(F.count(F.lit(1)).alias("n")).collect()}
+    want = {(5, "same one", 2): 300, (1, "same two\nsame three", 0): 1, (1000, some[0][1], 0): 1}
+    want |= {(1000 + i, f"u{i}\ncommon line\nv{i}", 2): 1 for i in range(1, 300)}
+    assert got == want
+
+
+def test_removed_may_be_the_name_of_a_column(spark):
+    docs = spark.createDataFrame([(1, "x", "a\nb\na\nb")], "doc_id long, gone string, text string")
+    assert rows(line_dedup.line_dedup(docs, removed="gone")) == [(1, "a\nb", 2)]
+
+
 def test_line_dedup_is_native(docs):
     plan = line_dedup.line_dedup(docs.sparkSession.createDataFrame([(1, "a")], "doc_id long, text string").withColumn("text", F.col("text")))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
