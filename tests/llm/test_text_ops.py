@@ -287,19 +287,64 @@ def test_suffix_segments(spark, monkeypatch):
     assert rows(got) == sorted(brute.repeats(texts), key=repr)
 
 
+@pytest.mark.parametrize("width", [32, 100, 200, 300, 400])
+def test_suffix_widths(spark, many_tasks, width):
+    """Any width, texts of several MB beside empty ones, nulls inside, and a third of all rows equal."""
+    rng = random.Random(width)
+    base = "".join(rng.choice("ab\0é") for _ in range(4000))
+    texts = [(i, base[(k := rng.randrange(3000)) : k + rng.randrange(1200)] + "c" * rng.randrange(60)) for i in range(25)]
+    texts += [(100, None), (101, ""), (102, "q" * (width - 1)), (103, "q" * (width + 3))] + [(200 + i % 7, base[:900]) for i in range(15)]
+    got = suffix_dedup.repeated_spans(spark.createDataFrame(texts, "doc_id long, text string"), width=width).drop("spans")
+    assert rows(got) == sorted(brute.repeats(texts, width), key=repr)
+    with pytest.raises(ValueError, match="under"):
+        suffix_dedup.repeated_spans(spark.createDataFrame(texts, "doc_id long, text string"), width=31)
+
+
 def test_levels_find_every_repeat():
+    """Records are of two bytes: many collide, and zeros are bytes like any other."""
     rng = np.random.default_rng(2)
     family, found, every = suffix_dedup.Levels(), set(), []
     for b in range(40):
-        fp = rng.integers(0, 3000, 100).astype(np.uint64)
+        key = np.sort(rng.integers(b // 4 - 6, b // 4 - 4, 100))  # most batches go on with the last key
+        data = rng.integers(0, 3, 101).astype(np.uint8)
+        rows_ = suffix_dedup.records(key, data, np.arange(100), 2)
         text, at = np.full(100, b), np.arange(100)
-        every += list(zip(fp.tolist(), text.tolist(), at.tolist(), strict=True))
-        found |= set(zip(*(x.tolist() for x in family.add(fp, text, at)), strict=True))
-    for text, at in family.repeated():
-        found |= set(zip(text.tolist(), at.tolist(), strict=True))
+        every += list(zip(map(bytes, rows_), text.tolist(), at.tolist(), strict=True))
+        found |= set(zip(*(x.tolist() for x in family.add(rows_, text, at)), strict=True))
+        for t, a in family.passed(b // 4 - 6):
+            found |= set(zip(t.tolist(), a.tolist(), strict=True))
+    for t, a in family.passed():
+        found |= set(zip(t.tolist(), a.tolist(), strict=True))
     n = Counter(f for f, _, _ in every)
     assert found == {(t, a) for f, t, a in every if n[f] > 1}
-    assert len(family.levels) < 10
+    assert not family.levels
+
+
+def test_levels_are_suffix_arrays_that_grow_geometrically():
+    rng = np.random.default_rng(5)
+    family = suffix_dedup.Levels()
+    for b in range(40):
+        data = rng.integers(0, 256, 160).astype(np.uint8)
+        family.add(suffix_dedup.records(np.full(100, 7), data, np.arange(100), 60), np.full(100, b), np.arange(100))
+    sizes = [len(level[1]) for level in family.levels]
+    assert sum(sizes) == 4000 and len(sizes) < 8 and sizes == sorted(sizes, reverse=True)
+    for _, held, *_ in family.levels:
+        order = [bytes(r) for r in held]
+        assert order == sorted(order)
+
+
+def test_colliding_hashes_do_not_match(spark, many_tasks, monkeypatch):
+    """Were anchors all of one key, bytes would still decide."""
+    rng = random.Random(9)
+    texts = [(i, "".join(rng.choice("xy") for _ in range(90))) for i in range(30)] + [(50, "z" * 70), (51, "a" + "z" * 70)]
+    block = [(i, 0, t.encode()) for i, (_, t) in enumerate(texts)]
+    text, start, n, _ = suffix_dedup.anchors(block, 60)
+    out = [(5, 0, int(t), int(s), int(m), texts[t][1].encode()[s : s + m + 59]) for t, s, m in zip(text, start, n, strict=True)]
+    got = set()
+    for b in suffix_dedup.match_windows(60)(iter([suffix_dedup.batch(suffix_dedup.CONTEXT, *zip(*out[k : k + 7], strict=True)) for k in range(0, len(out), 7)])):
+        got |= {(t, s + j) for t, s, m in zip(*(c.to_pylist() for c in b.columns), strict=True) for j in range(m)}
+    seen = Counter(t[i : i + 60] for _, t in texts for i in range(len(t) - 59))
+    assert got == {(k, i) for k, (_, t) in enumerate(texts) for i in range(len(t) - 59) if seen[t[i : i + 60]] > 1}
 
 
 def test_simhash(docs, none, many_tasks):
