@@ -1,14 +1,19 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text's terms are its words and their first four and five bytes, each as a 64-bit hash; a term counts once.  From the
-labelled sample the terms that tell the classes apart best are chosen, and over those a factorization machine learns a
-weight for each and, by factors, one for each pair, so that two terms can say more together than their sum.  The whole
-text is scored.
-
-The sample is bounded: at most `sample` labelled rows, those of least hash, none of them held out.  Everything else runs
-over all rows.  Rows of null id or null label teach nothing; an id with several labels is toxic if one says so; null and
-wordless texts get the score of no term; with no label, or only one class, every text gets the smoothed base rate;
-repeated rows are scored each; an empty table gives an empty result; other columns pass through unread.
+A text's terms are its words and their first four and five bytes, each as a 64-bit hash; a term counts once.  Over the
+terms of the labelled sample, all of them, a factorization machine has a weight for each and, by factors, one for each
+pair, so that two terms can say more together than their sum, or the opposite of it.  Both are sparse: a weight stays zero
+unless the term splits the classes better than hardly any would with shuffled labels; factors stay zero unless the
+term belongs to an interaction that what the weights leave over shows, and that chance, measured with that remainder
+shuffled, doesn't.  Interactions are looked for among all pairs of all terms at once, as leading vectors of the pairs'
+gradient, so terms that mean nothing alone are found; they count if a fifth of the sample that they weren't learnt from
+is told apart better with them.  The whole text is scored.
+
+The sample is bounded: at most `sample` labelled ids, those of least hash, none of them held out, and of those at most
+`sample_bytes` of text.  Everything else runs over all rows.  Rows of null id or null label teach nothing; an id with
+several labels is toxic if one says so, one with several texts teaches the least; null and wordless texts get the score
+of no term; with no label, or only one class, every text gets the smoothed base rate; repeated rows are scored each; an
+empty table gives an empty result; other columns pass through unread, but the score takes the place of one of its name.
 """
 
 from __future__ import annotations
@@ -18,17 +23,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from halyard.llm.common import M1, Words, lanes, materialize, mix, slice_hashes, table, text_blocks
+from halyard.llm.common import M1, Words, fresh, lanes, materialize, mix, slice_hashes, table, text_blocks
 
-#: Labelled rows to learn from at most; terms of the model at most; documents a term must occur in; factors.
-SAMPLE, TERMS, MIN_DOCS, FACTORS = 20_000, 2048, 5, 6
-#: What a term's split between the classes must reach on the likelihood-ratio statistic, above what the best of as many
-#: terms would by chance.
-EVIDENCE = 2.0
+#: Labelled ids to learn from at most, bytes of their texts at most, and factors.
+SAMPLE, SAMPLE_BYTES, FACTORS = 10_000, 32 << 20, 6
+#: Of the terms that get weights, the share that shuffled labels would give too; and how far an interaction must stand out
+#: above shuffled remainders.
+BY_CHANCE, STANDS_OUT = 0.01, 1.3
+#: Added to how many texts a term is in, when interactions are looked for.
+RARE = 50
 SKETCH = 2
 PREFIXES = (4, 5)
 #: Out of so many parts of all ids, part 0 is held out.
@@ -74,15 +81,13 @@ def sketch_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([*part.columns, *marks], names=[*part.schema.names, *(f"m{k}" for k in range(SKETCH))])
 
 
-def count_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (text, toxic): term, toxic documents and others that hold it, folded as far as one block reaches."""
+def term_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (text, toxic): toxic and the text's distinct terms."""
     for part, data, ends in text_blocks(batches, "text"):
-        label = part.column(part.schema.get_field_index("toxic")).to_numpy(zero_copy_only=False).astype(np.int64)
         doc, term = distinct(*terms(data, ends))
-        found, where = np.unique(term, return_inverse=True)
-        yes = np.bincount(where, label[doc], len(found)).astype(np.int64)
-        n = np.bincount(where, minlength=len(found)) - yes
-        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(yes), pa.array(n)], names=["term", "yes", "no"])
+        cuts = np.searchsorted(doc, np.arange(part.num_rows + 1))
+        lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(term.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("toxic")), lists], names=["toxic", "terms"])
 
 
 @dataclass
@@ -120,6 +125,139 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+@dataclass
+class Sample:
+    """Labelled texts by their terms, which are numbered; doc ascending."""
+
+    vocabulary: np.ndarray  # sorted hashes
+    doc: np.ndarray
+    term: np.ndarray
+    label: np.ndarray
+
+    def rows(self, which: np.ndarray) -> Sample:
+        keep = which[self.doc]
+        return Sample(self.vocabulary, (np.cumsum(which) - 1)[self.doc[keep]], self.term[keep], self.label[which])
+
+    def of(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Document and place among the chosen terms, sorted numbers, of each that occurs."""
+        place = np.full(len(self.vocabulary), -1)
+        place[chosen] = np.arange(len(chosen))
+        at = place[self.term]
+        return self.doc[at >= 0], at[at >= 0]
+
+
+def evidence(sample: Sample, label: np.ndarray) -> np.ndarray:
+    """The likelihood-ratio statistic of each term's split between the classes."""
+    size = len(sample.vocabulary)
+    n, yes = np.bincount(sample.term, minlength=size), np.bincount(sample.term, label[sample.doc], size)
+    base = label.mean()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        part = lambda k, share: np.where(k > 0, k * np.log(k / (n * share)), 0.0)
+        return 2 * (part(yes, base) + part(n - yes, 1 - base))
+
+
+def telling(sample: Sample, shuffles: int = 5) -> np.ndarray:
+    """Terms that split the classes, as many as keep those that shuffled labels would give to a small share."""
+    found, rng = evidence(sample, sample.label), np.random.default_rng(13)
+    chance = np.sort(np.concatenate([evidence(sample, rng.permutation(sample.label)) for _ in range(shuffles)]))
+    order = np.argsort(-found, kind="stable")
+    false = (len(chance) - np.searchsorted(chance, found[order])) / shuffles
+    good = np.flatnonzero(false <= BY_CHANCE * np.arange(1, len(order) + 1))
+    return np.sort(order[: good[-1] + 1]) if len(good) else order[:0]
+
+
+class PairGradient:
+    """What a remainder says about pairs of terms: the symmetric matrix of each pair's gradient, terms scaled by how often
+    they occur, known by its products with vectors only.  Rare terms are scaled less, as few texts say little of a pair."""
+
+    def __init__(self, sample: Sample, rest: np.ndarray):
+        self.sample, self.rest = sample, rest
+        n = np.bincount(sample.term, minlength=len(sample.vocabulary))
+        self.scale = 1 / np.sqrt(n + RARE)
+        self.own = np.bincount(sample.term, rest[sample.doc], len(n)) * self.scale**2
+
+    def __matmul__(self, v: np.ndarray) -> np.ndarray:
+        s = self.sample
+        sums = np.bincount(s.doc, (self.scale * v)[s.term], len(s.label))
+        return self.scale * np.bincount(s.term, (self.rest * sums)[s.doc], len(v)) - self.own * v
+
+    def leading(self, steps: int = 14) -> tuple[float, np.ndarray]:
+        """The largest eigenvalue and its vector, by Lanczos steps."""
+        size = len(self.scale)
+        q = np.random.default_rng(3).normal(size=size)
+        basis, alpha, beta = [q / np.linalg.norm(q)], [], []
+        for _ in range(min(steps, size)):
+            w = self @ basis[-1]
+            alpha.append(float(w @ basis[-1]))
+            for u in basis:
+                w = w - (w @ u) * u
+            norm = float(np.linalg.norm(w))
+            if norm < 1e-9:
+                break
+            beta.append(norm)
+            basis.append(w / norm)
+        k = len(alpha)
+        values, vectors = np.linalg.eigh(np.diag(alpha) + np.diag(beta[: k - 1], 1) + np.diag(beta[: k - 1], -1))
+        return float(values[-1]), np.sum([c * u for c, u in zip(vectors[:, -1], basis, strict=False)], 0)
+
+
+def interacting(sample: Sample, rest: np.ndarray, shuffles: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Terms of the strongest interaction that the remainder shows and shuffled ones don't, and their sides in it."""
+    none = np.zeros(0, np.int64), np.zeros(0)
+    if not len(sample.vocabulary):
+        return none
+    value, vector = PairGradient(sample, rest).leading()
+    rng, chance, level = np.random.default_rng(11), 0.0, 0.0
+    for _ in range(shuffles):
+        shuffled = PairGradient(sample, rng.permutation(rest))
+        chance = max(chance, shuffled.leading()[0])
+        level = max(level, float(np.abs(shuffled @ vector).max()))
+    if value <= STANDS_OUT * chance:
+        return none
+    found = np.flatnonzero(np.abs(vector) > STANDS_OUT * level / value)
+    return found, vector[found] / np.abs(vector).max()
+
+
+def begin(sample: Sample, chosen: np.ndarray, seeds: list[tuple[np.ndarray, np.ndarray]]) -> Model:
+    """Zero weights; factors small and random, but those of an interaction on their sides of it."""
+    yes = sample.label.sum()
+    factors = np.random.default_rng(7).normal(0, 0.02, (len(chosen), FACTORS))
+    for f, (found, side) in enumerate(seeds):
+        factors[np.searchsorted(chosen, found), f] = 0.3 * side
+    return Model(sample.vocabulary[chosen], float(np.log((yes + 1) / (len(sample.label) - yes + 1))), np.zeros(len(chosen)), factors)
+
+
+def loss(model: Model, sample: Sample, chosen: np.ndarray) -> float:
+    raw, _ = model.raw(len(sample.label), *sample.of(chosen))
+    return float(np.logaddexp(0, np.where(sample.label > 0, -raw, raw)).mean())
+
+
+def learn(sample: Sample) -> Model:
+    """The machine that the sample gives: terms with weights, then interactions as long as unseen rows gain by them."""
+    chosen = telling(sample)
+    unseen = np.arange(len(sample.label)) % 5 == 0  # rows are in order of their hashes
+    part, rest = sample.rows(~unseen), sample.rows(unseen)
+    seeds: list[tuple[np.ndarray, np.ndarray]] = []
+    if 0 < part.label.sum() < len(part.label) and len(rest.label):
+        model = fit(begin(part, chosen, seeds), *part.of(chosen), part.label)
+        best = loss(model, rest, chosen)
+        while len(seeds) < FACTORS:
+            raw, _ = model.raw(len(part.label), *part.of(chosen))
+            found = interacting(part, part.label - sigmoid(raw))
+            more = [*seeds, found]
+            wider = np.union1d(chosen, found[0])
+            if not len(found[0]):
+                break
+            model = fit(begin(part, wider, more), *part.of(wider), part.label)
+            if (now := loss(model, rest, wider)) > 0.95 * best:
+                break
+            chosen, seeds, best = wider, more, now
+    doc, at = sample.of(chosen)
+    model = fit(begin(sample, chosen, seeds), doc, at, sample.label)
+    model.bias -= dividing(model.raw(len(sample.label), doc, at)[0], sample.label)
+    return model
+
+
 def fit(model: Model, doc: np.ndarray, term: np.ndarray, label: np.ndarray, epochs: int = 60, batch: int = 512, rate: float = 0.05, shrink: float = 1e-5) -> Model:
     """Adam on the logistic loss.  doc ascending."""
     n, rng = len(label), np.random.default_rng(7)
@@ -127,7 +265,7 @@ def fit(model: Model, doc: np.ndarray, term: np.ndarray, label: np.ndarray, epoc
     moment = [[np.zeros_like(t), np.zeros_like(t)] for t in theta]
     first = np.searchsorted(doc, np.arange(n + 1))
     step = 0
-    for _ in range(epochs):
+    for _ in range(epochs if len(model.terms) else 0):
         order = rng.permutation(n)
         for at in range(0, n, batch):
             rows, step = order[at : at + batch], step + 1
@@ -148,7 +286,6 @@ def fit(model: Model, doc: np.ndarray, term: np.ndarray, label: np.ndarray, epoc
                 b += 0.001 * (g * g - b)
                 x -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
     model.bias = float(theta[0][0])
-    model.bias -= dividing(model.raw(n, doc, term)[0], label)
     return model
 
 
@@ -166,60 +303,49 @@ def dividing(raw: np.ndarray, label: np.ndarray) -> float:
     return float(0.75 * raw[k] + 0.25 * raw[k + 1])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id: str = "doc_id", sample: int = SAMPLE, n_terms: int = TERMS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id: str = "doc_id", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """The model that a bounded sample of the labels that aren't held out gives."""
     usable = labels.filter(F.col(label_id).isNotNull() & F.col(label_col).isNotNull() & ~held_out(label_id))
     usable = usable.groupBy(F.col(label_id).cast("long").alias("_id")).agg(F.max(label_col).cast("int").alias("toxic"))
     chosen = usable.orderBy(F.xxhash64("_id"), "_id").limit(sample)  # so many rows of 12 bytes are broadcast
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id").select("text", "toxic")
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id")
+    texts = texts.groupBy("_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
     # a text that was copied, edited or not, is one witness
     marks = [f"m{k}" for k in range(SKETCH)]
     marked = texts.mapInArrow(sketch_kernel, ", ".join(["text string, toxic int", *(f"{m} long" for m in marks)]))
-    texts = materialize(marked.groupBy("toxic", *marks).agg(F.min("text").alias("text")).select("text", "toxic"), "labelled")
-    classes = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    yes, no = classes.get(1, 0), classes.get(0, 0)
-    bias = float(np.log((yes + 1) / (no + 1)))
-    if not yes or not no:
-        return Model(np.zeros(0, np.uint64), bias, np.zeros(0), np.zeros((0, FACTORS)))
-    counts = texts.mapInArrow(count_kernel, "term long, yes long, no long").groupBy("term").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-    n, base = F.col("yes") + F.col("no"), yes / (yes + no)
-    part = lambda k, share: F.when(k > 0, k * F.log(k / (n * share))).otherwise(0.0)
-    apart = 2 * (part(F.col("yes"), base) + part(F.col("no"), 1 - base))
-    rated, tried = counts.filter(n >= MIN_DOCS).select("term", apart.alias("apart")), Observation()
-    best = rated.observe(tried, F.count(F.lit(1)).alias("n")).orderBy(F.desc("apart"), "term").limit(n_terms).collect()
-    least = EVIDENCE + 2 * float(np.log(max(1, tried.get["n"])))
-    best = [r for r in best if r["apart"] >= least]
-    found = np.sort(np.array([r["term"] for r in best], np.int64).view(np.uint64))
-    rng = np.random.default_rng(7)
-    model = Model(found, bias, np.zeros(len(found)), rng.normal(0, 0.02, (len(found), FACTORS)))
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, ends in text_blocks(batches, "text"):
-            doc, term = model.find(data, ends)
-            cuts = np.searchsorted(doc, np.arange(part.num_rows + 1))
-            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(term, pa.int32()))
-            yield pa.RecordBatch.from_arrays([lists, part.column(part.schema.get_field_index("toxic"))], names=["terms", "toxic"])
-
-    rows = sorted((r["toxic"], r["terms"]) for r in texts.mapInArrow(pick, "terms array<int>, toxic int").collect())  # `sample` rows at most, in one order
-    doc = np.repeat(np.arange(len(rows)), [len(t) for _, t in rows])
-    term = np.array([x for _, t in rows for x in t], np.int64)
-    return fit(model, doc, term, np.array([y for y, _ in rows], float))
+    texts = marked.groupBy("toxic", *marks).agg(F.min("text").alias("text"))
+    texts = materialize(texts.select("text", "toxic", F.xxhash64("text").alias("h"), F.octet_length("text").cast("long").alias("size")), "labelled")
+    sizes = texts.select("h", "size", "toxic").orderBy("h").collect()  # `sample` rows at most
+    size = np.cumsum([r["size"] or 0 for r in sizes])
+    sizes = sizes[: int(np.searchsorted(size, sample_bytes, "right"))]
+    yes = sum(r["toxic"] for r in sizes)
+    if not 0 < yes < len(sizes):
+        return Model(np.zeros(0, np.uint64), float(np.log((yes + 1) / (len(sizes) - yes + 1))), np.zeros(0), np.zeros((0, FACTORS)))
+    used = texts.filter(F.col("h") <= sizes[-1]["h"]).orderBy("h", "toxic").select("text", "toxic")
+    held = used.mapInArrow(term_kernel, "toxic int, terms array<long>").toArrow()  # a term for each byte at most
+    lists = held.column("terms").combine_chunks()
+    vocabulary, number = np.unique(lists.flatten().to_numpy().view(np.uint64), return_inverse=True)
+    doc = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    return learn(Sample(vocabulary, doc, number, held.column("toxic").to_numpy().astype(float)))
 
 
 def scored(docs: DataFrame, model: Model, *, text_col: str = "text", name: str = "score") -> DataFrame:
-    """docs with a score from 0 to 1."""
+    """docs with a score from 0 to 1, in place of a column of that name."""
+    kept = [f for f in docs.schema.fields if f.name.lower() != name.lower()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, ends in text_blocks(batches, text_col):
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(data, ends))], names=[*part.schema.names, name])
+            columns = [part.column(part.schema.get_field_index(f.name)) for f in kept]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(model.score(data, ends))], names=[*(f.name for f in kept), name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*kept, T.StructField(name, T.DoubleType())]))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", **options: object) -> DataFrame:
     """docs that score below 0.5; columns unchanged."""
-    out = scored(docs, train(docs, labels, text_col=text_col, **options), text_col=text_col, name="_halyard_score")
-    return out.filter("_halyard_score < 0.5").select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = fresh(docs.columns, "_halyard_score")
+    out = scored(docs, train(docs, labels, text_col=text_col, **options), text_col=text_col, name=name)
+    return out.filter(F.col(name) < 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,10 +4,12 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from halyard.llm import chat, queries, simhash, toxicity
+from halyard.llm.common import string_parts
 
 
 def labelled(n: int = 900):
@@ -43,7 +45,9 @@ def test_held_out_accuracy(taught):
 
 def test_odd_rows_get_scores(taught):
     d, _, model = taught
-    out = toxicity.scored(d.drop("score"), model).collect()
+    out = toxicity.scored(d, model)  # which has a column score
+    assert out.columns == d.columns and dict(out.dtypes)["score"] == "double"
+    out = out.collect()
     assert len(out) == 905 and all(0 <= r["score"] <= 1 for r in out)
     by = {r["doc_id"]: r["score"] for r in out}
     assert by[5000] == by[5001] == by[None] and by[5002] > 0.5
@@ -60,18 +64,82 @@ def test_labels_that_are_held_out_teach_nothing(spark):
     assert toxicity.scored(docs.limit(0), model).count() == 0
 
 
-def test_pairs_of_terms_count(spark):
-    """Two terms that are harmless alone: only a learnt interaction tells."""
+def two_words(toxic, n=1500):
+    """Texts of harmless words that hold "people", "awful", both or neither."""
     rng = random.Random(1)
-    rows = []
-    for i in range(1500):
+    out = []
+    for i in range(n):
         a, b = rng.random() < 0.5, rng.random() < 0.5
-        rows.append((i, " ".join(["people"] * a + ["awful"] * b + [f"x{rng.randrange(200)}" for _ in range(6)]), int(a and b)))
+        out.append((i, " ".join(["people"] * a + ["awful"] * b + [f"x{rng.randrange(200)}" for _ in range(6)]), int(toxic(a, b))))
+    return out
+
+
+@pytest.mark.parametrize("toxic", [lambda a, b: a != b, lambda a, b: a and b, lambda a, b: a == b], ids=["one", "both", "same"])
+def test_pairs_of_terms_count(spark, toxic):
+    """Words that mean something only by each other: without the factors, "one" and "same" are told by chance."""
+    rows = two_words(toxic)
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     model = toxicity.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
-    texts = spark.createDataFrame([(1, "people x q"), (2, "awful x q"), (3, "people awful x q"), (4, "x q")], "doc_id long, text string")
-    s = {r["doc_id"]: r["score"] for r in toxicity.scored(texts, model).collect()}
-    assert s[3] > 0.5 and max(s[1], s[2], s[4]) < 0.5
+    texts = [(a + b, " ".join(["people"] * a + ["awful"] * b + ["x", "q"]), bool(toxic(a, b))) for a in (0, 1) for b in (0, 1)]
+    got = [r["score"] >= 0.5 for r in toxicity.scored(spark.createDataFrame(texts, "n int, text string, toxic boolean"), model).orderBy("text").collect()]
+    assert got == [bool(y) for _, _, y in sorted(texts, key=lambda r: r[1])]
+
+    def right(m):
+        data, ends = string_parts(pa.array([t for _, t, _ in rows]))
+        return np.mean([(s >= 0.5) == bool(y) for s, (_, _, y) in zip(m.score(data, ends), rows, strict=True)])
+
+    flat = toxicity.Model(model.terms, model.bias, model.weights, np.zeros_like(model.factors))
+    assert right(model) == 1.0 and (toxic(1, 1) and not toxic(0, 0) or right(flat) < 0.8)
+
+
+def test_no_pair_is_made_of_chance():
+    rng = np.random.default_rng(4)
+    doc = np.repeat(np.arange(800), 12)
+    sample = toxicity.Sample(np.arange(300, dtype=np.uint64), doc, rng.integers(0, 300, len(doc)), (rng.random(800) < 0.2).astype(float))
+    assert not len(toxicity.learn(sample).terms)
+
+
+def test_pair_gradient_as_a_matrix():
+    rng = np.random.default_rng(6)
+    x = rng.random((40, 9)) < 0.4
+    rest, (doc, term) = rng.normal(size=40), np.nonzero(x)
+    g = toxicity.PairGradient(toxicity.Sample(np.arange(9, dtype=np.uint64), doc, term, np.zeros(40)), rest)
+    scaled = x / np.sqrt(x.sum(0) + toxicity.RARE)
+    whole = scaled.T @ (rest[:, None] * scaled)
+    np.fill_diagonal(whole, 0)
+    assert np.allclose(np.stack([g @ e for e in np.eye(9)], 1), whole)
+    value, vector = g.leading()
+    assert np.isclose(value, np.linalg.eigvalsh(whole)[-1]) and np.allclose(whole @ vector, value * vector, atol=1e-7)
+
+
+def test_scores_as_by_every_pair():
+    """The machine's formula, with a loop over pairs, and terms told apart by their spelling."""
+    texts = ["", "Vermin vermin, vermins!", "a bb ccc dddd eeeee ffffff", "eeeee'ffffff2 éé x" * 3, "ffffffg " * 5000, None]
+    spelled = lambda t: {w for x in brute.words(t) for w in [(x.encode(), 0), *((x.encode()[:n], n) for n in (4, 5) if len(x.encode()) > n)]}
+    rng = np.random.default_rng(0)
+    known = sorted(set.union(*map(spelled, texts)))[::2]
+
+    def hashed(w, n):
+        data, ends = string_parts(pa.array([w if not n else w + b"zz"]))
+        return toxicity.terms(data, ends)[1][0 if not n else n - 3]
+
+    terms = np.array([hashed(*w) for w in known], np.uint64)
+    order = np.argsort(terms)
+    model = toxicity.Model(terms[order], 0.3, rng.normal(size=len(known)), rng.normal(size=(len(known), 6)))
+    data, ends = string_parts(pa.array(texts))
+    for t, s in zip(texts, model.score(data, ends), strict=True):
+        held = [k for k, i in enumerate(order) if known[i] in spelled(t)]
+        raw = 0.3 + sum(model.weights[k] for k in held) + sum(model.factors[a] @ model.factors[b] for a in held for b in held if a < b)
+        assert np.isclose(s, 1 / (1 + np.exp(-raw)))
+
+
+def test_an_id_with_many_texts_is_one_row_to_learn_from(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(i, "vermin" if i % 2 else "fine") for i in range(2, 60)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("text") == "vermin").cast("int").alias("toxic"))
+    held = toxicity.train(docs, labels, sample_bytes=10)
+    assert not len(held.terms)  # a byte bound this small leaves one class at most, or a text or two
+    out = toxicity.scored(docs, toxicity.train(docs, labels)).collect()
+    assert len(out) == 108 and all(0 <= r["score"] <= 1 for r in out)
 
 
 CHAT = "conv_id long, turn long, role string, text string, segment int, part string, speaker string, turns int"
