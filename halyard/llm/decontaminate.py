@@ -2,12 +2,17 @@
 
 Documents are shards of a few MB.  A shard's suffix array orders its word suffixes by their first 13 words; suffixes that
 share no opening trigram (or shorter whole item) with the benchmark can match nothing and are left out before sorting.
-Every suffix of every benchmark item that is long enough is binary-searched in it, which gives all places of each window,
-the longest verbatim match and where it lies.  Nothing is shuffled: a shard needs only the benchmark, which is shipped in
-blocks of a stated size, one pass over the documents for each.
+Every suffix of every benchmark item that is long enough and opens like one of the shard's is binary-searched in it, which
+gives all places of each window, the longest verbatim match and where it lies.  Nothing is shuffled: a shard needs only
+the benchmark.  That is shipped in blocks of a stated size; with more than one, each has a pass over the documents of its
+own, and what the passes before found is written in between.
+
+Items are cut into pieces of a stated number of words that overlap by a window less a word, so no window is lost, however
+long an item, and a block holds pieces, so equal or long items don't fill one; the longest match is told within a piece.
 
 Null or wordless text has no words and no hits; a null item id counts hits but is no item; repeated rows are judged each
-alone; an empty benchmark hits nothing; an empty table gives an empty result; all columns of docs pass through unread.
+alone, repeated items count once; an empty benchmark hits nothing; an empty table gives an empty result; all columns of
+docs pass through unread, but what is found takes the place of one of that name.
 """
 
 from __future__ import annotations
@@ -20,11 +25,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from halyard.llm.common import LOWER, M1, M2, M3, UPPER, Words, mix, string_parts, table, text_blocks
+from halyard.llm.common import LOWER, M1, M2, M3, UPPER, Words, fresh, materialize, mix, string_parts, table, text_blocks
 
 WINDOW = 13
-#: Benchmark text shipped to the executors at once; its windows take some 20 times as much there.
-ITEM_BYTES = 4 << 20
+#: Benchmark text shipped to the executors at once; there it takes some 6 times as much.
+ITEM_BYTES = 16 << 20
+#: Words of a piece of an item at most.
+PIECE = 1 << 17
 #: A document is contaminated when at least one word in so many is hit.
 RATIO = 20
 
@@ -59,8 +66,8 @@ class Items:
         data, ends = string_parts(pa.array(texts, pa.string()))
         words = Words(data, ends)
         h = words.hashes()
-        self.ids, self.window = ids, window
-        self.queries: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # length, hashes, item, start, opening
+        self.ids, self.window, self.words = ids, window, h
+        self.queries: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # length, word, item, start, opening
         self.openings: dict[int, np.ndarray] = {}
         size = np.minimum(words.counts, window)
         for n in np.unique(size[size > 0]).tolist():
@@ -68,10 +75,10 @@ class Items:
             spans = np.where(n == window, words.counts[items] - window + 1, 1)
             item = np.repeat(items, spans)
             start = np.arange(len(item)) - np.repeat(np.cumsum(spans) - spans, spans)
-            rows = h[(words.first[item] + start)[:, None] + np.arange(n)]
+            word = words.first[item] + start
             k = min(n, 3)
-            head = opening([rows[:, j] for j in range(k)])
-            self.queries.append((n, rows, item, start, head))
+            head = opening([h[word + j] for j in range(k)])
+            self.queries.append((n, word, item.astype(np.int32), start.astype(np.int32), head))
             heads = np.unique(head)
             self.openings[k] = np.union1d(self.openings.get(k, heads), heads)
         self.sieve = {}
@@ -105,12 +112,13 @@ class Items:
         order = np.argsort(keys, kind="stable")
         suffixes = keys[order]
         out = []
-        for n, rows, item, start, head in self.queries:
+        for n, word, item, start, head in self.queries:
             heads = seen[min(n, 3)]
             if not len(heads):
                 continue
             here = np.flatnonzero(heads[np.minimum(np.searchsorted(heads, head), len(heads) - 1)] == head)
-            rows, item, start = rows[here], item[here], start[here]
+            item, start = item[here], start[here]
+            rows = self.words[word[here][:, None] + np.arange(n)]
             low = np.zeros((len(rows), depth), ">u8")
             low[:, :n] = rows
             high = np.full((len(rows), depth), 0xFFFFFFFFFFFFFFFF, ">u8")
@@ -182,32 +190,53 @@ def merged(a: dict, b: dict) -> dict:
     return best | {"hits": hits, "items": a["items"] + b["items"]}
 
 
-def kernel(ids: list[str | None], texts: list[str | None], window: int, text_col: str, found: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def kernel(ids: list[str | None], texts: list[str | None], window: int, text_col: str, found: str, first: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds the column `found`, or if this isn't the first block adds to it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(ids, texts, window)
         for part, data, ends in text_blocks(batches, text_col):
             rows, names, columns = items.judge(data, ends), part.schema.names, list(part.columns)
-            if found in names:
+            if first:
+                names, columns = [*names, found], [*columns, pa.array(rows, ARROW_FOUND)]
+            else:
                 rows = [merged(a, b) for a, b in zip(part.column(names.index(found)).to_pylist(), rows, strict=True)]
                 columns[names.index(found)] = pa.array(rows, ARROW_FOUND)
-            else:
-                names, columns = [*names, found], [*columns, pa.array(rows, ARROW_FOUND)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, item_bytes: int = ITEM_BYTES, found: str = "_found") -> DataFrame:
+def pieces(window: int, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From (id, text): items cut into pieces of `size` words and as many more as a window begun in them needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, ends in text_blocks(batches, "text"):
+            words, out = Words(data, ends), []
+            for d, (i, n) in enumerate(zip(part.column(part.schema.get_field_index("id")).to_pylist(), words.counts.tolist(), strict=True)):
+                first = int(words.first[d])
+                for k in range(0, max(1, n - window + 1) if n else 0, size):
+                    a, b = first + k, first + min(n, k + size + window - 1) - 1
+                    out.append((i, data[words.starts[a] : words.starts[b] + words.lengths[b]].tobytes().decode()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], names=["id", "text"])
+
+    return run
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, item_bytes: int = ITEM_BYTES, piece: int = PIECE, found: str = "_found") -> DataFrame:
     """docs with a struct column `found`: words, hit spans, items, the longest verbatim match."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(item_text).cast("string").alias("text")).filter(F.col("text").isNotNull())
+    items = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(item_text).cast("string").alias("text"))
+    items = materialize(items.mapInArrow(pieces(window, piece), "id string, text string").distinct(), "items")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
-    blocks = max(1, -(-2 * size // item_bytes)) if size > item_bytes else 1
-    schema = T.StructType([*docs.schema.fields, T.StructField(found, FOUND)])
-    out = docs
+    blocks = -(-2 * size // item_bytes) if size > item_bytes else 1  # half full as a rule, as pieces are dealt by hash
+    out = docs.drop(*[c for c in docs.columns if c.lower() == found.lower()])
+    schema = T.StructType([*out.schema.fields, T.StructField(found, FOUND)])
     for b in range(blocks):
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b)
-        rows = part.collect()  # item_bytes at most
-        out = out.mapInArrow(kernel([r["id"] for r in rows], [r["text"] for r in rows], window, text_col, found), schema)
+        rows = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).collect()  # a block
+        if b:
+            out = materialize(out, "contamination")
+        out = out.mapInArrow(kernel([r["id"] for r in rows], [r["text"] for r in rows], window, text_col, found, not b), schema)
     return out
 
 
@@ -221,8 +250,9 @@ def contaminated(found: str = "_found", ratio: int = RATIO) -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame:
     """docs without those that benchmark passages make up enough of; columns unchanged."""
-    found = find_contamination(docs, benchmark, found="_halyard_found", **options)
-    return found.filter(~contaminated("_halyard_found")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = fresh(docs.columns, "_halyard_found")
+    found = find_contamination(docs, benchmark, found=name, **options)
+    return found.filter(~contaminated(name)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

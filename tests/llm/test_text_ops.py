@@ -101,6 +101,30 @@ def test_decontaminate(spark, docs, none):
     assert decontaminate.decontaminate(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_long_items_are_cut_without_loss(spark, docs):
+    """Pieces of a few words, each in some block: the same windows; and a benchmark that is one item many times is one."""
+    w = brute.words(corpus()[12][1] + " " + corpus()[16][1])
+    some = [(8, " ".join(w)), (9, " ".join(w[5:17])), (10, "a b c"), (None, " ".join(w[3:40]))]
+    bench = spark.createDataFrame(some * 5, "item_id long, text string")
+    for piece, size in ((1, 400), (7, 300), (1 << 17, 1 << 20)):
+        found = decontaminate.find_contamination(docs, bench, item_bytes=size, piece=piece)
+        got = found.select("doc_id", "_found.n_words", decontaminate.n_hit().alias("n_hit"), F.size(F.array_distinct("_found.items")).alias("n"), F.sha2(F.concat_ws(",", F.array_sort(F.array_distinct("_found.items"))), 256).alias("s"), decontaminate.contaminated().alias("c"))
+        assert rows(got) == sorted(brute.contamination(corpus(), some), key=repr)
+
+
+def test_contamination_of_long_and_hot_texts(spark):
+    """A text of 300,000 words with a passage at its end, and a third of all rows the same contaminated row."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = [(1, "x y z " * 100_000 + passage), (2, "clean text " * 20)] + [(3, passage)] * 40 + [(i, f"text {i}") for i in range(10, 80)]
+    bench = spark.createDataFrame([(5, passage)], "item_id long, text string")
+    frame = spark.createDataFrame([(d, t, "c") for d, t in texts], "doc_id long, text string, _found string")
+    out = decontaminate.find_contamination(frame, bench)
+    assert out.columns == ["doc_id", "text", "_found"]
+    got = Counter((r["doc_id"], r["n"], r["c"]) for r in out.select("doc_id", decontaminate.n_hit().alias("n"), decontaminate.contaminated().alias("c")).collect())
+    assert got[1, 30, False] == 1 and got[3, 30, True] == 40 and got[2, 0, False] == 1
+    assert decontaminate.decontaminate(frame, bench).count() == 72
+
+
 def test_longest_match(spark):
     words = [f"w{i}" for i in range(60)]
     bench = spark.createDataFrame([(9, " ".join(words))], "item_id long, text string")
@@ -372,6 +396,20 @@ def test_keep_one_keeps_every_component(spark):
     assert rows(kept) == sorted([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (9, texts[4])], key=repr)
 
 
+def test_keep_one_of_a_hot_row(spark, many_tasks):
+    """A third of all rows are one row, another third copies of one text under other ids."""
+    texts = [" ".join(f"{w}{i}" for i in range(30)) for w in ("ant", "bee", "cow")]
+    some = [(4, texts[0], "x")] * 200 + [(10 + i, texts[1], "y") for i in range(200)] + [(4, texts[2], None)] * 3 + [(None, None, None)] * 5
+    frame = spark.createDataFrame(some, "doc_id long, text string, _halyard_all string").repartition(6)
+    assert rows(simhash.keep_one(frame)) == sorted([(4, texts[0], "x"), (10, texts[1], "y"), (4, texts[2], None), (None, None, None)], key=repr)
+
+
+def test_components_of_a_hub(spark, many_tasks):
+    edges = spark.createDataFrame([(i, 5000) for i in range(900)] + [(5000, 6000), (7000, 6000)], "u long, v long")
+    got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
+    assert got == {k: 0 for k in [*range(1, 900), 5000, 6000, 7000]}
+
+
 def test_bucket_links_when_large(monkeypatch):
     rng = np.random.default_rng(4)
     fps = np.unique((rng.integers(0, 1 << 40, 400).astype(np.uint64) & np.uint64(0x0101010101)) << np.uint64(24))
