@@ -20,11 +20,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from halyard.llm.common import LOWER_BYTE, MASKS, lanes, materialize, table, text_blocks
+from halyard.llm.common import LOWER_BYTE, MASKS, WRITTEN, clean_up, lanes, materialize, table, text_blocks
 
 SHINGLE, SEED, BITS = 3, 42, 3
 #: A bucket of more distinct fingerprints is split by two more bytes, in the same task.
@@ -231,20 +231,23 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges(u, v), root being the component's least node.
 
     Large-star and small-star in turn: each node's neighbours are hung on the least of them.  Rounds grow with the
-    logarithm of the longest chain.  Least neighbours are pre-aggregated, and joined back by a join that Spark can split.
+    logarithm of the longest chain.  Least neighbours are pre-aggregated and written, so that the join back is one of two
+    exchanges and a hub's part of it can be split.  Of the rounds' tables only the last stays.
     """
+    spark, first = edges.sparkSession, len(WRITTEN)
     edges, seen = materialize(edges.distinct(), "links"), None
     while True:
         # large-star
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         big = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        big = big.filter("u != v").distinct()
+        big = materialize(big.filter("u != v").distinct(), "large-stars")
         # small-star: edges (u, v) run from larger to smaller now
-        least = big.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialize(big.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = big.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = materialize(small.select("e.u", "e.v").filter("u != v").distinct(), "stars")
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        clean_up(spark, first, (WRITTEN[-1],))
         if state == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = state
@@ -271,18 +274,24 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group of near-duplicates, that of the smallest id; columns unchanged.
 
-    Of repeated rows that share that id the one of the least content hash stays; of wholly equal ones, one.
+    Of repeated rows that share that id the one of the least content hash stays; of wholly equal ones, one: where there
+    are such, each task folds its own before they meet, so a row that a third of the table repeats is one row a task.
     """
     row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), row.alias("row"), F.col(text_col).alias("text"))
     prints = materialize(with_fingerprint(ids, "text", "fp"), "prints")
+    equal = prints.groupBy("fp", "doc_id", "row").agg(F.count(F.lit(1)).alias("n"))
     classes = near_duplicate_classes(prints.select("doc_id", "fp"))
-    best = prints.join(classes, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"))
-    best = best.select(F.coalesce("best.doc_id", F.lit(0)).alias("_halyard_id"), F.col("best.row").alias("_halyard_row"))
+    best = equal.join(classes, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "n")).alias("best"))
+    best = materialize(best.select(F.coalesce("best.doc_id", F.lit(0)).alias("_halyard_id"), F.col("best.row").alias("_halyard_row"), F.col("best.n").alias("n")), "kept")
+    key, columns = ["_halyard_id", "_halyard_row"], [F.col(f"`{c}`") for c in docs.columns]
     marked = docs.select("*", F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("_halyard_id"), row.alias("_halyard_row"))
-    chosen = marked.join(best, ["_halyard_id", "_halyard_row"], "left_semi")
-    nth = F.row_number().over(Window.partitionBy("_halyard_id", "_halyard_row").orderBy("_halyard_row"))  # wholly equal rows; sorted so by the join
-    return chosen.withColumn("_halyard_nth", nth).filter("_halyard_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    chosen = marked.join(best.filter("n = 1").select(*key), key, "left_semi").select(*columns)
+    several = best.filter("n > 1").select(*key)
+    if several.isEmpty():
+        return chosen
+    folded = marked.join(several, key, "left_semi").groupBy(*key).agg(F.first(F.struct(*columns)).alias("_halyard_all"))
+    return chosen.unionByName(folded.select("_halyard_all.*"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
