@@ -28,3 +28,5 @@ ENCODE_BATCH, CHECKPOINT_EVERY = 4, 20
 MAX_URI, MAX_VECTOR = 4096, 4096
 #: Vectors whose elements are all smaller are treated as zero.
 TINY = 1e-8
+#: Scores below this are noise.
+NOISE = 0.18

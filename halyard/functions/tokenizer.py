@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -21,6 +22,9 @@ def byte_alphabet() -> list[str]:
     return [chr(b if b in prints else next(spare)) for b in range(256)]
 
 
+ALPHABET = byte_alphabet()
+
+
 @dataclass
 class Merges:
     """Vocabulary and merge ranks.  Words are remembered, up to `memory` of them."""
@@ -36,6 +40,12 @@ class Merges:
         parts = [line.split(" ") for line in lines]
         return cls(vocab, {(p[0], p[1]): i for i, p in enumerate(parts) if len(p) == 2})
 
+    @classmethod
+    def from_json(cls, text: str) -> Merges:
+        """Of a tokenizer file, whose merges are lines or pairs."""
+        model = json.loads(text)["model"]
+        return cls.from_lines(model["vocab"], [m if isinstance(m, str) else " ".join(m) for m in model["merges"]])
+
     def __getstate__(self) -> dict:
         return {"vocab": self.vocab, "ranks": self.ranks, "memory": self.memory, "seen": {}}
 
@@ -55,12 +65,12 @@ class Merges:
         return symbols
 
     def ids(self, text: str) -> list[int]:
-        alphabet, unknown, out = byte_alphabet(), self.vocab.get("<|endoftext|>", EOS), []
+        unknown, out = self.vocab.get("<|endoftext|>", EOS), []
         for token in regex.findall(PRETOKEN, text.lower()):
             if token not in self.seen:
                 if len(self.seen) >= self.memory:
                     self.seen.clear()
-                word = token if token in ("<|startoftext|>", "<|endoftext|>") else "".join(alphabet[b] for b in token.encode())
+                word = token if token in ("<|startoftext|>", "<|endoftext|>") else "".join(ALPHABET[b] for b in token.encode())
                 symbols = [word] if word in self.vocab and word.startswith("<|") else self.pieces(word)
                 self.seen[token] = [self.vocab.get(s, unknown) for s in symbols]
             out += self.seen[token]
@@ -72,7 +82,9 @@ def token_ids(merges: Merges) -> Callable:
 
     @F.pandas_udf("array<long>")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else merges.ids(t))
+        which, distinct = pd.factorize(texts)  # each distinct text of a batch once; a null is -1
+        found = [merges.ids(t) for t in distinct]
+        return pd.Series([found[i] if i >= 0 else None for i in which], dtype=object)
 
     return run
 

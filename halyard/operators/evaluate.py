@@ -38,24 +38,26 @@ def macro(metrics: DataFrame, by: Iterable[str] = ()) -> DataFrame:
     return metrics.groupBy(*by).agg(*[F.avg(c).alias(f"mean_{c}") for c in names])
 
 
-def overlap(results: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs(a, b) of queries with the sizes of their result sets and of the intersection."""
-    sizes = results.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    a, b = results.select(F.col("query_id").alias("a"), "id"), results.select(F.col("query_id").alias("b"), "id")
-    common = pairs.join(a, "a").join(b, ["b", "id"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
-    size = lambda c: sizes.select(F.col("query_id").alias(c), F.col("n").alias(f"n_{c}"))
-    out = pairs.join(common, ["a", "b"], "left").join(size("a"), "a", "left").join(size("b"), "b", "left")
-    return out.select("a", "b", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("common", "n_a", "n_b")])
-
-
-def containment(results: DataFrame, pairs: DataFrame) -> DataFrame:
+def overlap(results: DataFrame, pairs: DataFrame, by: Iterable[str] = ()) -> DataFrame:
+    """pairs(a, b) of queries with the sizes of their result sets and of the intersection (per column of `by`, which
+    results and pairs have)."""
+    by = list(by)
+    sizes = results.groupBy(*by, "query_id").agg(F.count(F.lit(1)).alias("n"))
+    a, b = (results.select(*by, F.col("query_id").alias(c), "id") for c in ("a", "b"))
+    common = pairs.join(a, [*by, "a"]).join(b, [*by, "b", "id"]).groupBy(*by, "a", "b").agg(F.count(F.lit(1)).alias("common"))
+    size = lambda c: sizes.select(*by, F.col("query_id").alias(c), F.col("n").alias(f"n_{c}"))
+    out = pairs.join(common, [*by, "a", "b"], "left").join(size("a"), [*by, "a"], "left").join(size("b"), [*by, "b"], "left")
+    return out.select(*by, "a", "b", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("common", "n_a", "n_b")])
+
+
+def containment(results: DataFrame, pairs: DataFrame, by: Iterable[str] = ()) -> DataFrame:
     """How much of a specific query's results its head query has too; an empty result contains nothing."""
-    return overlap(results, pairs).select(F.col("a").alias("specific"), F.col("b").alias("head"), ratio(F.col("common"), F.col("n_a")).alias("containment"))
+    return overlap(results, pairs, by).select(*by, F.col("a").alias("specific"), F.col("b").alias("head"), ratio(F.col("common"), F.col("n_a")).alias("containment"))
 
 
-def plural_overlap(results: DataFrame, pairs: DataFrame) -> DataFrame:
+def plural_overlap(results: DataFrame, pairs: DataFrame, by: Iterable[str] = ()) -> DataFrame:
     """Intersection over the smaller of two result sets; zero if one is empty."""
-    return overlap(results, pairs).select("a", "b", ratio(F.col("common"), F.least("n_a", "n_b")).alias("overlap"))
+    return overlap(results, pairs, by).select(*by, "a", "b", ratio(F.col("common"), F.least("n_a", "n_b")).alias("overlap"))
 
 
 def false_positives(results: DataFrame, distractors: DataFrame) -> DataFrame:
@@ -86,51 +88,59 @@ def diagonal(table: DataFrame) -> DataFrame:
     return table.agg((F.sum(F.when(F.col("expected") == F.col("predicted"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"))
 
 
-def distribution(scores: DataFrame, by: str = "relevant", quantiles: Iterable[float] = (0.1, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
-    q = [F.percentile("score", F.lit(x)).alias(f"p{round(100 * x)}") for x in quantiles]
-    return scores.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean"), F.stddev("score").alias("std"), *q)
+#: Grid that curves and quantiles are taken on: cosines have two million places on it, however many pairs there are.
+GRID = 1e-6
 
 
-def _steps(scores: DataFrame) -> DataFrame:
-    """Positives and negatives at each distinct score, and their sums from the highest score down."""
-    steps = scores.groupBy("score").agg(F.count_if("relevant").alias("pos"), F.count_if(~F.col("relevant")).alias("neg"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return steps.select("score", "pos", "neg", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"))
+def binned(scores: DataFrame, width: float = GRID, column: str = "score") -> DataFrame:
+    """The column's values on a grid."""
+    return scores.withColumn(column, F.round(F.col(column) / width) * width)
+
 
+def distribution(scores: DataFrame, by: str = "relevant", quantiles: Iterable[float] = (0.1, 0.25, 0.5, 0.75, 0.95), width: float = GRID) -> DataFrame:
+    """Count, mean, deviation and quantiles; the latter of one buffer of counts, which the grid bounds."""
+    quantiles = list(quantiles)
+    rows = scores.withColumn("_at", F.round(F.col("score") / width) * width)
+    out = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean"), F.stddev("score").alias("std"), F.percentile("_at", F.array(*[F.lit(x) for x in quantiles])).alias("_q"))
+    return out.select(by, "n", "mean", "std", *[F.col("_q")[i].alias(f"p{round(100 * x)}") for i, x in enumerate(quantiles)])
 
-def binned(scores: DataFrame, width: float = 1e-6) -> DataFrame:
-    """Scores on a grid, so that curves have as many steps as the grid however many pairs there are: cosines at the
-    default width make two million, which one ordered task sums up."""
-    return scores.withColumn("score", F.round(F.col("score") / width) * width)
+
+def _steps(scores: DataFrame, width: float) -> DataFrame:
+    """Positives and negatives at each place of the grid, and their sums from the highest score down; one task orders the
+    grid's places, not the scores."""
+    steps = binned(scores, width).groupBy("score").agg(F.count_if("relevant").alias("pos"), F.count_if(~F.col("relevant")).alias("neg"))
+    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    return steps.select("score", "pos", "neg", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"))
 
 
-def roc_auc(scores: DataFrame) -> DataFrame:
-    """Chance that a relevant pair outscores another, ties counting half."""
-    s = _steps(scores)
+def roc_auc(scores: DataFrame, width: float = GRID) -> DataFrame:
+    """Chance that a relevant pair outscores another, ties on the grid counting half."""
+    s = _steps(scores, width)
     total = s.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.sum(F.col("pos") * F.col("neg") * 0.5 + F.col("neg") * (F.col("tp") - F.col("pos"))).alias("area"))
     return total.select((F.col("area") / (F.col("p") * F.col("n"))).alias("auc"))
 
 
-def _rates(scores: DataFrame) -> DataFrame:
+def _rates(scores: DataFrame, width: float) -> DataFrame:
     every = Window.partitionBy()
-    s = _steps(scores)
+    s = _steps(scores, width)
     return s.select("score", (F.col("tp") / F.sum("pos").over(every)).alias("tpr"), (F.col("fp") / F.sum("neg").over(every)).alias("fpr"))
 
 
-def youden(scores: DataFrame) -> DataFrame:
+def youden(scores: DataFrame, width: float = GRID) -> DataFrame:
     """The cut with the largest tpr - fpr, the highest of equals."""
-    return _rates(scores).withColumn("j", F.col("tpr") - F.col("fpr")).orderBy(F.desc(F.round("j", 12)), F.desc("score")).limit(1)
+    return _rates(scores, width).withColumn("j", F.col("tpr") - F.col("fpr")).orderBy(F.desc(F.round("j", 12)), F.desc("score")).limit(1)
 
 
-def cut_at_tpr(scores: DataFrame, target: float) -> DataFrame:
+def cut_at_tpr(scores: DataFrame, target: float, width: float = GRID) -> DataFrame:
     """The highest cut whose tpr is at least target."""
-    return _rates(scores).filter(F.col("tpr") >= target).orderBy(F.desc("score")).limit(1)
+    return _rates(scores, width).filter(F.col("tpr") >= target).orderBy(F.desc("score")).limit(1)
 
 
-def best_ratios(ranks: DataFrame, first: int = 20) -> DataFrame:
-    """score / best over the first ranks of each query, by relevance."""
+def best_ratios(ranks: DataFrame, first: int = 20, width: float = GRID) -> DataFrame:
+    """score / best over the first ranks of each query, by relevance; the median on the grid."""
     rows = ranks.filter(F.col("rank") <= first).withColumn("r", F.col("score") / F.max("score").over(Window.partitionBy("query_id")))
-    return rows.groupBy("relevant").agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("mean_ratio"), F.percentile("r", F.lit(0.5)).alias("median_ratio"))
+    at = F.round(F.col("r") / width) * width
+    return rows.groupBy("relevant").agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("mean_ratio"), F.percentile(at, F.lit(0.5)).alias("median_ratio"))
 
 
 def knob_grid(thresholds: Iterable[float], ratios: Iterable[float], top_ks: Iterable[int], fallbacks: Iterable[int]) -> list[Knobs]:
@@ -138,16 +148,22 @@ def knob_grid(thresholds: Iterable[float], ratios: Iterable[float], top_ks: Iter
 
 
 def sweep(scores: DataFrame, grid: list[Knobs]) -> DataFrame:
-    """config, query_id, id of what each setting returns.  Scores are ranked once; a setting is then a filter on rank,
-    score, best and how many rows pass, so the grid multiplies rows only on the way out."""
+    """config, query_id, id of what each setting returns.  Scores are ranked once, and where every setting has a top_k only
+    ranks that one of them may return are kept; a setting is then a filter on rank, score and best, so the grid multiplies
+    those few rows, in one projection."""
     w = Window.partitionBy("query_id")
-    base = scores.withColumns({"best": F.max("score").over(w), "rank": F.row_number().over(w.orderBy(F.desc("score"), "id"))})
-    settings = F.array(*[F.struct(F.lit(i).alias("config"), F.lit(k.threshold).alias("threshold"), F.lit(k.ratio).alias("ratio"), F.lit(k.top_k or (1 << 31) - 1).alias("top_k"), F.lit(k.fallback).alias("fallback")) for i, k in enumerate(grid)])
-    near = lambda s: F.col("score") >= F.col("best") * s["ratio"]
+    ranks = scores.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "id")))
+    if all(k.top_k for k in grid):
+        ranks = ranks.filter(F.col("rank") <= max(max(k.top_k, k.fallback) for k in grid))
+    base = ranks.withColumn("best", F.max("score").over(w))
+    knob = lambda values: F.element_at(F.lit(values), F.col("config") + 1)
+    threshold, share = knob([float(k.threshold) for k in grid]), knob([float(k.ratio) for k in grid])
+    top_k, fallback = knob([k.top_k or (1 << 31) - 1 for k in grid]), knob([k.fallback for k in grid])
+    rows = base.select("query_id", "id", "score", "best", "rank", F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))).alias("config"))
     # the best row passes if any does, so whether a query falls back shows in every row of it
-    some = lambda s: (F.col("best") >= s["threshold"]) & (F.col("best") >= F.col("best") * s["ratio"])
-    passes = lambda s: near(s) & F.when(some(s), (F.col("score") >= s["threshold"]) & (F.col("rank") <= s["top_k"])).otherwise(F.col("rank") <= s["fallback"])
-    return base.select("query_id", "id", F.explode(F.filter(settings, passes)).alias("s")).select("s.config", "query_id", "id")
+    some = (F.col("best") >= threshold) & (F.col("best") >= F.col("best") * share)
+    passes = F.when(some, (F.col("score") >= threshold) & (F.col("rank") <= top_k)).otherwise(F.col("rank") <= fallback)
+    return rows.filter((F.col("score") >= F.col("best") * share) & passes).select("config", "query_id", "id")
 
 
 def objective(per_config: DataFrame) -> DataFrame:
@@ -156,17 +172,46 @@ def objective(per_config: DataFrame) -> DataFrame:
     return per_config.withColumn("objective", value).orderBy(F.desc(F.round("objective", 9)), "config").limit(10)
 
 
-def latency(events: DataFrame, *, key: str, ts: str, value: str, last: int = 50) -> DataFrame:
-    """Median and 95th percentile of the `last` values up to each event."""
-    w = Window.partitionBy(key).orderBy(ts, "event_id").rowsBetween(-(last - 1), 0)
-    return events.select("event_id", key, F.percentile(value, F.lit(0.5)).over(w).alias("p50"), F.percentile(value, F.lit(0.95)).over(w).alias("p95"))
+#: Rows of a key that a latency window's task orders at once.
+STRETCH = 10_000
 
 
-def needs_ann(events: DataFrame, cohort: int, *, rows_over: int = 30_000, p95_over: float = 150.0, days: int = 7, ts: str = "ts", value: str = "value") -> DataFrame:
-    """Whether the last `days` justify an approximate index: a cohort larger than rows_over, and slow at the 95th percentile."""
+def placed(rows: DataFrame, key: str, by: list[str], parts: int = 200, name: str = "nth") -> DataFrame:
+    """rows with their place from 0 within their key, in order of `by`, times or numbers first.
+
+    Quantiles of the first column, taken once, deal a key's rows to parts; counts of parts give each its start, so no task
+    orders a key whole.  Rows that are equal in that column share a part.
+    """
+    first = F.col(by[0]).cast("timestamp").cast("double") if dict(rows.dtypes)[by[0]].startswith("timestamp") else F.col(by[0]).cast("double")
+    bounds = rows.agg(F.percentile_approx(first, F.lit([i / parts for i in range(1, parts)]), F.lit(10_000))).first()[0]
+    part = F.greatest(F.size(F.filter(F.lit(sorted(set(bounds or [0.0]))), lambda b: b < first)), F.lit(0))  # a null is first
+    rows = rows.withColumn("_part", part)
+    counts = rows.groupBy(F.col(key).alias("_key"), F.col("_part").alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_key").orderBy("_of")) - F.col("_n")  # `parts` rows a key
+    starts = counts.select("_key", "_of", before.alias("_start"))
+    local = F.row_number().over(Window.partitionBy(key, "_part").orderBy(*by)) - 1
+    out = rows.withColumn("_local", local).join(starts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_of")))
+    return out.withColumn(name, F.col("_start") + F.col("_local")).drop("_part", "_local", "_key", "_of", "_start", "_n")
+
+
+def latency(events: DataFrame, *, key: str, ts: str, value: str, last: int = 50, stretch: int = STRETCH) -> DataFrame:
+    """Median and 95th percentile of the `last` values up to each event.  A key's events are numbered and cut into
+    stretches, each with the events before it that its first windows reach back to, so few keys still make many tasks."""
+    rows = placed(events.select("event_id", key, ts, value), key, [ts, "event_id"])
+    own, back = F.floor(F.col("nth") / stretch).cast("long"), F.floor((F.col("nth") + last - 1) / stretch).cast("long")
+    rows = rows.withColumn("_own", own).withColumn("_in", F.explode(F.sequence("_own", back)))  # `last` is less than a stretch
+    w = Window.partitionBy(key, "_in").orderBy("nth").rowsBetween(-(last - 1), 0)
+    both = rows.withColumn("_q", F.percentile(value, F.array(F.lit(0.5), F.lit(0.95))).over(w)).filter(F.col("_own") == F.col("_in"))
+    return both.select("event_id", key, F.col("_q")[0].alias("p50"), F.col("_q")[1].alias("p95"))
+
+
+def needs_ann(events: DataFrame, cohort: int, *, rows_over: int = 30_000, p95_over: float = 150.0, days: int = 7, ts: str = "ts", value: str = "value", width: float = 1e-3) -> DataFrame:
+    """Whether the last `days` justify an approximate index: a cohort larger than rows_over, and slow at the 95th
+    percentile, which is taken on a grid, of milliseconds as a rule."""
     end = events.agg(F.max(ts).alias("end"))
-    recent = events.join(F.broadcast(end)).filter(F.col(ts) > F.col("end") - F.expr(f"INTERVAL {days} DAYS"))
-    return recent.agg(F.percentile(value, F.lit(0.95)).alias("p95")).select("p95", (F.lit(cohort > rows_over) & (F.col("p95") > p95_over)).alias("migrate"))
+    recent = events.join(F.broadcast(end)).filter(F.col(ts) > F.col("end") - F.expr(f"INTERVAL {days} DAYS"))  # one row
+    at = F.round(F.col(value) / width) * width
+    return recent.agg(F.percentile(at, F.lit(0.95)).alias("p95")).select("p95", (F.lit(cohort > rows_over) & (F.col("p95") > p95_over)).alias("migrate"))
 
 
 def fastest(runs: DataFrame) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from halyard.config import PAGE_SIZE, PREFETCH, Knobs
+from halyard.config import NOISE, PAGE_SIZE, PREFETCH, Knobs
 from halyard.functions.vectors import dot, is_valid, l2_normalize
 
 #: Bytes of query vectors that go to the executors at once; more queries take more passes over the index.
@@ -25,12 +27,15 @@ def dense(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def score(index: DataFrame, queries: DataFrame, *, key: str = "vec_id", vector: str = "embedding", query: str = "query_id", query_vector: str = "embedding", at_least: float | None = None, exclude_self: bool = False, query_bytes: int = QUERY_BYTES) -> DataFrame:
+def score(index: DataFrame, queries: DataFrame, *, key: str = "vec_id", vector: str = "embedding", query: str = "query_id", query_vector: str = "embedding", at_least: float | None = None, first: int | None = None, near: float | None = None, exclude_self: bool = False, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query, key, score): of every query and index row the best dot product over the query's variants.
 
     Query rows that share `query` are its variants.  The index is scanned once for each block of queries and never
-    shuffled; fusion and the floor `at_least` happen where the row is read, so only what can be a result leaves the
-    scan.  Invalid vectors on either side match nothing, and so does one of another length than the queries of its block.
+    shuffled; fusion happens where the row is read.  Rows that can't be results stay there: with `at_least` those that
+    score less, but with `first` the best so many of each batch leave the scan whatever they score, and without
+    `at_least` only they do; with `near` those below that share of the batch's best go too, if that isn't negative.  So
+    the best row of a query always comes along where `first` is given.  Equal scores at the end of `first` all come.
+    Invalid vectors on either side match nothing, and so does one of another length than the queries of its block.
     """
     q = queries.select(F.col(query).alias("q"), F.col(query_vector).cast("array<double>").alias("v")).filter(is_valid("v"))
     size = q.agg(F.coalesce(F.sum(F.size("v") * 8 + 16), F.lit(0))).first()[0]
@@ -42,12 +47,37 @@ def score(index: DataFrame, queries: DataFrame, *, key: str = "vec_id", vector:
     for b in range(blocks):
         part = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)
         held = sorted(((r["q"], r["v"]) for r in part.collect()), key=lambda x: str(x[0]))  # query_bytes at most
-        found = rows.mapInArrow(scorer([x for x, _ in held], [v for _, v in held], query, key, at_least, exclude_self, schema), schema)
+        prune = Prune(at_least, first, near, exclude_self)
+        found = rows.mapInArrow(scorer([x for x, _ in held], [v for _, v in held], query, key, prune, schema), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def scorer(names: list, vectors: list, query: str, key: str, at_least: float | None, exclude_self: bool, schema: T.StructType):  # noqa: ANN201
+@dataclass(frozen=True)
+class Prune:
+    """What of a batch's scores, rows by queries, may be a result."""
+
+    at_least: float | None
+    first: int | None
+    near: float | None
+    exclude_self: bool
+
+    def keep(self, best: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """other: False where a row is the query itself."""
+        if not best.size:
+            return other
+        best = np.where(other, best, -np.inf)
+        keep = np.full(best.shape, self.first is None) if self.at_least is None else best >= self.at_least
+        if self.first is not None:
+            n = min(self.first, len(best))
+            keep |= best >= (np.partition(best, len(best) - n, axis=0)[len(best) - n] if n else np.inf)
+        if self.near is not None:
+            top = best.max(axis=0)
+            keep &= (best >= top * self.near) | (top < 0)
+        return keep & other
+
+
+def scorer(names: list, vectors: list, query: str, key: str, prune: Prune, schema: T.StructType):  # noqa: ANN201
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
     arrow = pa.schema([pa.field(f.name, kinds.get(f.dataType.simpleString(), pa.float64())) for f in schema])
     by_length: dict[int, list[int]] = {}
@@ -65,12 +95,14 @@ def scorer(names: list, vectors: list, query: str, key: str, at_least: float | N
                 matrix, owners = blocks[n]
                 first = np.flatnonzero([i == 0 or owners[i] != owners[i - 1] for i in range(len(owners))])
                 best = np.maximum.reduceat(dense(part.column(1)) @ matrix.T, first, axis=1)
-                keep = np.ones(best.shape, bool) if at_least is None else best >= at_least
-                if exclude_self:
-                    ids = part.column(0).to_pylist()
-                    keep &= np.array([[owners[f] != i for f in first] for i in ids], bool).reshape(keep.shape)
-                r, c = np.nonzero(keep)
                 named = [owners[f] for f in first]
+                other = np.ones(best.shape, bool)
+                if prune.exclude_self:
+                    place = {q: j for j, q in enumerate(named)}
+                    for i, x in enumerate(part.column(0).to_pylist()):
+                        if x in place:
+                            other[i, place[x]] = False
+                r, c = np.nonzero(prune.keep(best, other))
                 yield pa.RecordBatch.from_arrays([pa.array([named[i] for i in c], arrow.field(0).type), part.column(0).take(pa.array(r)), pa.array(best[r, c])], schema=arrow)
 
     return run
@@ -101,10 +133,11 @@ def cut(scores: DataFrame, knobs: Knobs = Knobs(), *, query: str = "query_id", k
 
 
 def search(index: DataFrame, queries: DataFrame, knobs: Knobs = Knobs(), **options: object) -> DataFrame:
-    """query, key, score, best, rank.  Without a fallback no row under the threshold can be a result, so it is the floor."""
-    floor = knobs.threshold if not knobs.fallback and knobs.threshold > 0 else None
+    """query, key, score, best, rank.  A result passes the threshold or is among the first `fallback`, and is near the best,
+    so nothing else need leave the scan."""
     names = {k: options[k] for k in ("query", "key") if k in options}
-    return cut(score(index, queries, at_least=floor, **options), knobs, **names)
+    few = knobs.fallback or None
+    return cut(score(index, queries, at_least=knobs.threshold, first=few, near=knobs.ratio, **options), knobs, **names)
 
 
 def top_k(scores: DataFrame, k: int = 20, *, query: str = "query_id", key: str = "vec_id") -> DataFrame:
@@ -112,46 +145,102 @@ def top_k(scores: DataFrame, k: int = 20, *, query: str = "query_id", key: str =
     return ranked(scores, query=query, key=key).filter(F.col("rank") <= k)
 
 
+def nearest(index: DataFrame, queries: DataFrame, k: int = 20, *, query: str = "query_id", key: str = "vec_id", **options: object) -> DataFrame:
+    """The first k rows of the index for each query; no more of a batch leave the scan."""
+    return top_k(score(index, queries, query=query, key=key, first=k, **options), k, query=query, key=key)
+
+
 def image_to_image(index: DataFrame, probes: DataFrame, knobs: Knobs = Knobs(), *, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Stored vectors as queries; a row is no result of its own."""
+    """Stored vectors as queries; a row is no result of its own.  Every QUERY_BYTES of probes are one more scan of the
+    index, so work grows with probes times rows."""
     queries = probes.select(F.col(key).alias("query_id"), vector)
     return search(index, queries, knobs, key=key, vector=vector, query_vector=vector, exclude_self=True)
 
 
-def two_stage(index: DataFrame, heads: DataFrame, queries: DataFrame, knobs: Knobs = Knobs(), *, candidates: int = 200, key: str = "vec_id") -> DataFrame:
+def two_stage(index: DataFrame, heads: DataFrame, queries: DataFrame, knobs: Knobs = Knobs(), *, candidates: int = 200, key: str = "vec_id", exclude_self: bool = False) -> DataFrame:
     """Candidates are the first rows of each query's head scores, and its full scores rank them.  A query without a head
-    is its own."""
+    is its own.  Only candidates get full scores: they are joined to the index and their query's variants."""
     orphans = queries.join(heads.select("query_id").distinct(), "query_id", "left_anti").select(*heads.columns)
-    pool = top_k(score(index, heads.unionByName(orphans), key=key), candidates, key=key).select("query_id", key)
-    return cut(score(index, queries, key=key).join(pool, ["query_id", key], "left_semi"), knobs, key=key)
+    pool = nearest(index, heads.unionByName(orphans), candidates, key=key, exclude_self=exclude_self).select("query_id", key)
+    rows = pool.join(index.select(key, F.col("embedding").cast("array<double>").alias("_row")), key)
+    asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("_asked")).filter(is_valid("_asked"))
+    scores = rows.join(asked, "query_id").filter(F.size("_row") == F.size("_asked")).groupBy("query_id", key).agg(F.max(dot("_row", "_asked")).alias("score"))
+    return cut(scores, knobs, key=key)
 
 
 #: Vectors of a cell that a task holds while all that may be near them stream by.
 HOME_ROWS = 1024
 
 
-def near_duplicates(index: DataFrame, at_least: float = 0.97, *, key: str = "vec_id", vector: str = "embedding", pivots: int = 2) -> DataFrame:
-    """(a, b, score) of unit vectors, a < b, with dot product at_least.
+def near_duplicates(index: DataFrame, at_least: float = 0.97, *, key: str = "vec_id", vector: str = "embedding", pivots: int = 2, recall: float | None = None) -> DataFrame:
+    """(a, b, score) of unit vectors, a < b, with dot product at_least.  Equal vectors are one: each links to the least
+    key that has it, and only that one to others, so a group of copies costs a row for each.
+
+    Exact without `recall`: such vectors are at most r = sqrt(2 - 2 at_least) apart, and so are their projections on any
+    unit vector.  Rows live in cells of width r along `pivots` coordinate directions and visit the neighbouring ones, so
+    near vectors meet.  That prunes where coordinates spread wider than r; in hundreds of dimensions they don't, few cells
+    remain, and the work tends to all pairs, as it must for low thresholds.
 
-    Such vectors are at most r = sqrt(2 - 2 at_least) apart, and so are their projections on any unit vector.  Rows live
-    in cells of width r along `pivots` coordinate directions and visit the neighbouring ones, so near vectors meet.  A
-    cell's inhabitants are dealt into blocks of about HOME_ROWS by its counted size; a task holds a block and multiplies
-    it with the visitors as they stream by, so a crowded cell costs more tasks, not more memory.  For thresholds near 1
-    cells are small; for low ones few cells remain and the join tends to all pairs, which is then what is asked for.
+    With `recall`, that share of the pairs is found at least, on average: vectors meet that lie on the same sides of some
+    random planes.  A band has as many planes as deal the counted rows to groups of HOME_ROWS, and there are as many
+    bands as a pair right at the threshold needs to meet in one.
+
+    In either way a cell's inhabitants are dealt into blocks of about HOME_ROWS by its counted size; a task holds a block
+    and multiplies it with the visitors as they stream by, so a crowded cell costs more tasks, not more memory.
     """
-    r = max((2 - 2 * at_least) ** 0.5, 1e-6) * (1 + 1e-9)
     key_type = index.schema[key].dataType
-    rows = index.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(is_valid("v"))
-    at = [F.floor(F.element_at("v", i + 1) / r).cast("long") for i in range(pivots)]
-    homes = rows.withColumn("cell", F.array(*at))
+    every = index.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(is_valid("v"))
+    rows = every.groupBy("v").agg(F.min("id").alias("id")).select("id", "v")
+    copies = every.join(rows.select(F.col("id").alias("a"), "v"), "v").filter(F.col("id") != F.col("a"))
+    copies = copies.select("a", F.col("id").alias("b"), dot("v", "v").alias("score")).filter(F.col("score") >= at_least)
+    if recall is None:
+        r = max((2 - 2 * at_least) ** 0.5, 1e-6) * (1 + 1e-9)
+        at = [F.floor(F.element_at("v", i + 1) / r).cast("long") for i in range(pivots)]
+        homes = rows.withColumn("cell", F.array(*at))
+        around = F.array(*[F.array(*[c + d for c, d in zip(at, step, strict=True)]) for step in itertools.product((-1, 0, 1), repeat=pivots)])
+        guests = rows.select(F.explode(around).alias("cell"), "id", "v")
+    else:
+        homes = guests = banded(rows, at_least, recall)
     sizes = homes.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / HOME_ROWS).cast("int").alias("blocks"))
     homes = homes.join(sizes, "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("visits"), "id", "v")
-    around = F.array(*[F.array(*[c + d for c, d in zip(at, step, strict=True)]) for step in itertools.product((-1, 0, 1), repeat=pivots)])
-    guests = rows.select(F.explode(around).alias("cell"), "id", "v").join(sizes, "cell")
-    guests = guests.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("visits"), "id", "v")
+    guests = guests.join(sizes, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("visits"), "id", "v")
     met = homes.unionByName(guests).repartition("cell", "block").sortWithinPartitions("cell", "block", "visits")
     schema = T.StructType([T.StructField("a", key_type), T.StructField("b", key_type), T.StructField("score", T.DoubleType())])
-    return met.select(F.xxhash64("cell", "block").alias("group"), "visits", "id", "v").mapInArrow(pair_kernel(at_least), schema)
+    found = met.select(F.xxhash64("cell", "block").alias("group"), "visits", "id", "v").mapInArrow(pair_kernel(at_least), schema)
+    if recall is not None:  # a pair may meet in several bands
+        found = found.groupBy("a", "b").agg(F.max("score").alias("score"))
+    return found.unionByName(copies)
+
+
+def band_plan(rows: int, at_least: float, recall: float) -> tuple[int, int]:
+    """Planes of a band, and how many bands."""
+    agree = 1 - math.acos(max(-1.0, min(1.0, at_least))) / math.pi  # that a plane has a pair on one side
+    planes = min(30, max(1, math.ceil(math.log2(max(2, rows / HOME_ROWS)))))
+    miss = 1 - agree**planes
+    return planes, max(1, math.ceil(math.log(1 - recall) / math.log(miss))) if miss > 0 else 1
+
+
+def banded(rows: DataFrame, at_least: float, recall: float) -> DataFrame:
+    """rows once for each band, with the cell (length, band, sides of its planes)."""
+    planes, bands = band_plan(rows.count(), at_least, recall)
+    schema = T.StructType([T.StructField("cell", T.ArrayType(T.LongType())), *rows.schema.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drawn: dict[int, np.ndarray] = {}
+        for batch in batches:
+            size = batch.column(1).value_lengths().to_numpy()
+            for n in np.unique(size).tolist():
+                part = batch.filter(pa.array(size == n))
+                if n not in drawn:
+                    drawn[n] = np.random.default_rng(n).normal(size=(n, planes * bands))
+                sides = ((dense(part.column(1)) @ drawn[n]) > 0).reshape(part.num_rows, bands, planes)
+                marks = sides.astype(np.int64) @ (1 << np.arange(planes, dtype=np.int64))
+                for b in range(bands):
+                    flat = np.stack([np.full(part.num_rows, n), np.full(part.num_rows, b), marks[:, b]], 1).ravel()
+                    cells = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 3), pa.int32()), pa.array(flat))
+                    yield pa.RecordBatch.from_arrays([cells, *part.columns], names=["cell", *part.schema.names])
+
+    return rows.mapInArrow(run, schema)
 
 
 def pair_kernel(at_least: float):  # noqa: ANN201
@@ -206,21 +295,24 @@ def ensemble(queries: DataFrame, *, query: str = "query_id", vector: str = "embe
     return means.groupBy(query).agg(mean.alias("m")).select(query, l2_normalize("m").alias(vector))
 
 
-def strategy(name: str, index: DataFrame, queries: DataFrame, heads: DataFrame, *, key: str = "vec_id") -> DataFrame:
+def strategy(name: str, index: DataFrame, queries: DataFrame, heads: DataFrame, *, key: str = "vec_id", exclude_self: bool = False) -> DataFrame:
     """One of STRATEGIES: maximum over variants, the same with loose knobs, the mean of variants, or that in two stages."""
     knobs = STRATEGIES[name]
     if name in ("S1_current", "S2_loose"):
-        return cut(score(index, queries, key=key), knobs, key=key)
+        return search(index, queries, knobs, key=key, exclude_self=exclude_self)
     if name == "S3_ensemble":
-        return cut(score(index, ensemble(queries), key=key), knobs, key=key)
-    return two_stage(index, ensemble(heads), ensemble(queries), knobs, key=key)
+        return search(index, ensemble(queries), knobs, key=key, exclude_self=exclude_self)
+    return two_stage(index, ensemble(heads), ensemble(queries), knobs, key=key, exclude_self=exclude_self)
+
+
+def is_noise(score: Column | str, below: float = NOISE) -> Column:
+    """Whether a score tells nothing."""
+    return (F.col(score) if isinstance(score, str) else score) < below
 
 
 def score_matrix(texts: DataFrame, images: DataFrame, *, text: str = "query", name: str = "name") -> DataFrame:
-    """(query, name, score) of every text with every image by plain expressions, for small labelled sets."""
-    a = texts.select(F.col(text), F.col("embedding").alias("_a"))
-    b = images.select(F.col(name), F.col("embedding").alias("_b"))
-    return a.crossJoin(b).select(text, name, dot("_a", "_b").alias("score"))
+    """(query, name, score) of every text with every image; texts go out in blocks, images are scanned."""
+    return score(images, texts, key=name, query=text)
 
 
 def score_report(scores: DataFrame, *, text: str = "query", name: str = "name") -> DataFrame:

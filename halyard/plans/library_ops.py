@@ -14,8 +14,9 @@ from halyard.operators import index as N
 from halyard.operators import quant as Q
 from halyard.operators import search as S
 from halyard.plans.retrieval import rounded
-from halyard.plans.tables import CATALOG, catalog, table, vectors
+from halyard.plans.tables import CATALOG, catalog, shared, table, vectors
 from halyard.sources import files, state
+from halyard.sources.index_store import put_bytes, read_files, write_files
 from halyard.streaming import progress as P
 from halyard.streaming import queue as W
 
@@ -56,7 +57,7 @@ def selection_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunks_of_four(spark: SparkSession, d: str) -> DataFrame:
-    return C.numbered(catalog(spark, d).filter("id < 2000").select("id", "date_added"), ["date_added", "id"], 4).select("id", "chunk")
+    return C.numbered(catalog(spark, d).select("id", "date_added"), ["date_added", "id"], 4).select("id", "chunk")
 
 
 def list_diff(spark: SparkSession, d: str) -> DataFrame:
@@ -64,39 +65,68 @@ def list_diff(spark: SparkSession, d: str) -> DataFrame:
     return C.change_set(c.filter("id % 3 = 0"), c.filter("id % 5 = 0"))
 
 
+TAKEN = ("ECONOMY", "ECONOMY_2", "STANDARD_1", "STANDARD_2", "PROMO_7", "SMALL_01")
+
+
 def unique_names(spark: SparkSession, d: str) -> DataFrame:
-    wanted = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("name")).filter("id < 50")
-    return C.unique_names(wanted, spark.createDataFrame([("ECONOMY",)], "name string")).select("id", "unique_name")
+    wanted = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("name"))
+    return C.unique_names(wanted, spark.createDataFrame([(x,) for x in TAKEN], "name string")).select("id", "unique_name")
+
+
+def unique_names_mixed(spark: SparkSession, d: str) -> DataFrame:
+    """Some rows want what numbering would make of others' names."""
+    k = F.col("p_partkey")
+    name = F.concat("p_type", F.when(k % 7 == 0, "_1").when(k % 11 == 0, "_1_2").when(k % 13 == 0, "_3").otherwise(""))
+    wanted = table(spark, d, "part").select(k.alias("id"), name.alias("name"))
+    return C.unique_names(wanted, spark.createDataFrame([(x,) for x in TAKEN], "name string"))
 
 
-def items(spark: SparkSession, d: str, where: str) -> DataFrame:
-    return vectors(spark, d).filter(where).select(F.concat(F.lit("item/"), F.col("vec_id").cast("string")).alias("uri"), "embedding", F.col("label").cast("long").alias("version"))
+def scan_backfill(spark: SparkSession, d: str) -> DataFrame:
+    """After a mark within the events there are new rows; after one behind them all, nothing is, and all are scanned."""
+    c = catalog(spark, d)
+    parts = [C.scan_new_or_all(c, ["view", "error"], since).select(F.lit(name).alias("mark"), "id") for name, since in (("within", MARK_MS), ("behind", 4_000_000_000_000))]
+    return parts[0].unionByName(parts[1])
+
 
+def items(spark: SparkSession, d: str) -> DataFrame:
+    return vectors(spark, d).select(F.concat(F.lit("item/"), F.col("vec_id").cast("string")).alias("uri"), "embedding", F.col("label").cast("long").alias("version"))
 
-def names(spark: SparkSession, d: str, where: str) -> DataFrame:
+
+def names(spark: SparkSession, d: str, where: str = "true") -> DataFrame:
     return catalog(spark, d).filter(where).select(F.concat(F.lit("item/"), F.col("id").cast("string")).alias("uri"))
 
 
 def unindexed_images(spark: SparkSession, d: str) -> DataFrame:
-    return N.unindexed(names(spark, d, "id < 1000"), items(spark, d, "vec_id % 2 = 0"))
+    return N.unindexed(names(spark, d), items(spark, d))
 
 
 def cached_index(spark: SparkSession, d: str) -> DataFrame:
-    return N.cached(items(spark, d, "vec_id >= 0"), names(spark, d, "bucket_id = 'view'")).select("uri", "version")
+    return N.cached(items(spark, d), names(spark, d, "bucket_id = 'view'")).select("uri", "version")
 
 
 def deletion_reconcile(spark: SparkSession, d: str) -> DataFrame:
-    return N.gone(items(spark, d, "vec_id >= 0"), names(spark, d, "bucket_id is not null")).select("uri")
+    return N.gone(items(spark, d), names(spark, d, "bucket_id is not null")).select("uri")
 
 
 def index_upsert(spark: SparkSession, d: str) -> DataFrame:
-    fresh = items(spark, d, "vec_id % 3 = 0").withColumn("version", F.lit(5).cast("long")).withColumn("embedding", F.reverse("embedding"))
-    out = N.build(items(spark, d, "vec_id < 300"), fresh)
+    """Every vector has a new one of version 5; labels are the old versions."""
+    fresh = items(spark, d).withColumn("version", F.lit(5).cast("long")).withColumn("embedding", F.reverse("embedding"))
+    out = N.build(items(spark, d), fresh)
     return out.select("uri", "version", F.round(F.element_at("embedding", 1).cast("double"), 5).alias("first"))
 
 
+def index_file(spark: SparkSession, d: str) -> DataFrame:
+    """All vectors written in the single-file format, a file for each label, and read back; one file is damaged."""
+    folder = shared(spark, "index-file")
+    rows = vectors(spark, d).select(F.col("label").alias("file"), F.concat(F.lit("item/"), F.col("vec_id").cast("string")).alias("uri"), "embedding")
+    write_files(rows.filter("embedding is not null"), folder)
+    put_bytes(spark, f"{folder}/damaged.bin", b"GSIX and no more")
+    back = read_files(spark, folder)
+    return back.select("uri", F.size("embedding").cast("long").alias("n"), F.round(V.total(F.transform("embedding", lambda x: x.cast("double"))), 5).alias("total"))
+
+
 def edit_detection(spark: SparkSession, d: str) -> DataFrame:
-    c = catalog(spark, d).filter("id < 3000")
+    c = catalog(spark, d)
     old = c.select("id", F.unix_micros("date_added").alias("modified"))
     now = c.select("id", (F.unix_micros("date_added") + F.when(F.col("id") % 10 == 0, 5).otherwise(0)).alias("modified"))
     return N.edited(old, now, "id")
@@ -108,9 +138,10 @@ def record_bounds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vocab_lookup(spark: SparkSession, d: str) -> DataFrame:
-    vocab = table(spark, d, "part").filter("p_partkey < 40").groupBy(F.col("p_brand").alias("token")).agg(F.min("p_partkey").alias("id"))
-    rows = table(spark, d, "part").filter("p_partkey < 400").select("p_partkey", F.col("p_brand").alias("token"))
-    return N.with_default(rows, vocab, "token", "id", F.lit(49407).cast("long")).select("p_partkey", "token", "id")
+    """Brands on an even number of parts are the vocabulary."""
+    parts = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("token"))
+    vocab = parts.groupBy("token").agg(F.min("p_partkey").alias("id"), F.count(F.lit(1)).alias("n")).filter("n % 2 = 0")
+    return N.with_default(parts, vocab, "token", "id", F.lit(49407).cast("long")).select("p_partkey", "token", "id")
 
 
 def l2_normalize(spark: SparkSession, d: str) -> DataFrame:
@@ -174,6 +205,13 @@ def quantization_targets(spark: SparkSession, d: str) -> DataFrame:
     return Q.targets(graph(spark, d), weights, sensitive="ring|gemm")
 
 
+def model_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Graphs exported as JSON lists, one for each brand, read as nodes."""
+    g = graph(spark, d).join(table(spark, d, "part").select(F.concat("p_name", F.lit("/"), F.col("p_partkey").cast("string")).alias("node"), "p_brand"), "node")
+    exported = g.groupBy("p_brand").agg(F.to_json(F.collect_list(F.struct("node", "op_type", "inputs"))).alias("value"))
+    return files.model_graph(exported).select("node", "op_type", F.array_join("inputs", ",").alias("inputs"))
+
+
 def provider_selection(spark: SparkSession, d: str) -> DataFrame:
     from halyard.functions.encode import agreeing
 
@@ -239,6 +277,15 @@ def image_listing(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", name.alias("path")).filter(files.is_image("path")).orderBy("path", "page_id").limit(25).select("page_id")
 
 
+def find_images(spark: SparkSession, d: str) -> DataFrame:
+    """A folder tree of files, some of them images by their names."""
+    folder = shared(spark, "images")
+    for i, name in enumerate(("a.jpg", "b.JPEG", "c.txt", "deep/er/d.png", "deep/e.webp", "deep/f.jpg.bak", "g.gif", "h.PnG")):
+        put_bytes(spark, f"{folder}/{name}", b"x" * (i + 1))
+    found = files.find_images(spark, folder, limit=4)
+    return found.select(F.substring_index("path", "/", -1).alias("name"), "length")
+
+
 def state_defaults(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("at"), F.when(F.col("event_type") == "view", F.array("event_type", F.col("user_id").cast("string"))).alias("selected_albums"), F.when(F.col("event_type") == "click", F.col("event_id")).alias("last_indexed_ms"), F.lit(None).cast("int").alias("threads"))
     s = state.with_defaults(e)
@@ -288,15 +335,9 @@ def adaptive_batch(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", W.batch_size(F.col("event_id") % 5, F.col("user_id") % 2 == 0, F.col("event_id") % 100).cast("long").alias("batch"))
 
 
-def noise_flag(spark: SparkSession, d: str) -> DataFrame:
-    v = vectors(spark, d)
-    s = S.score(v.filter("vec_id >= 1"), v.filter("vec_id = 0").select(F.col("vec_id").alias("query_id"), "embedding"))
-    return s.select("vec_id", (F.col("score") < 0.18).alias("is_noise"))
-
-
 QUERIES = {
     f.__name__: f
-    for f in (full_scan, album_scan, incremental_scan, album_rollup, album_selection, selection_summary, chunks_of_four, list_diff, unique_names, unindexed_images, cached_index, deletion_reconcile, index_upsert, edit_detection, record_bounds, vocab_lookup, l2_normalize, embedding_validity, cosines, quantize_int8, channel_scales, model_agreement, op_histogram, op_report, quantization_targets, provider_selection, thread_argmin, image_geometry, job_progress, stage_timers, flatten_output, split_batches, adjacent_pairs, json_config, tokenizer_file, image_listing, state_defaults, work_queue, queue_failures, orphan_reclaim, debounce, latency_p95, ann_trigger, adaptive_batch, noise_flag)
+    for f in (full_scan, album_scan, incremental_scan, album_rollup, album_selection, selection_summary, chunks_of_four, list_diff, unique_names, unique_names_mixed, scan_backfill, index_file, model_graph, find_images, unindexed_images, cached_index, deletion_reconcile, index_upsert, edit_detection, record_bounds, vocab_lookup, l2_normalize, embedding_validity, cosines, quantize_int8, channel_scales, model_agreement, op_histogram, op_report, quantization_targets, provider_selection, thread_argmin, image_geometry, job_progress, stage_timers, flatten_output, split_batches, adjacent_pairs, json_config, tokenizer_file, image_listing, state_defaults, work_queue, queue_failures, orphan_reclaim, debounce, latency_p95, ann_trigger, adaptive_batch)
 }
 
 WORK = """w as (select o_orderkey as media_id, left(o_orderpriority, 1)::int as priority, case o_orderstatus when 'P' then 'PROCESSING' else 'PENDING' end as status, o_orderdate as created, (o_custkey % 5)::int as retries from orders)"""
@@ -313,18 +354,24 @@ ORACLE_SQL = {
 select bucket_id, 'Ready - ' || n || ' indexed (' || case when bucket_id is null then 'All albums' else '1 albums' end || ')' as summary,
   case n % 3 when 0 then 'No photos found' when 1 then '1 photo' else (n % 3) || ' photos' end as visible,
   case when n % 60 = 0 then 'No results found' when n % 60 <= 30 then 'Found ' || (n % 60) || ' photos' else 'Found ' || (n % 60) || ' photos — scroll to see more' end as found from g""",
-    "chunks_of_four": f"with {CATALOG} select id, (row_number() over (order by date_added, id) - 1) // 4 as chunk from c where id < 2000",
+    "chunks_of_four": f"with {CATALOG} select id, (row_number() over (order by date_added, id) - 1) // 4 as chunk from c",
     "list_diff": f"with {CATALOG} select id, case when id % 5 = 0 then 'insert' else 'remove' end as change from c where (id % 3 = 0) <> (id % 5 = 0)",
-    "unique_names": "with r as (select p_partkey as id, p_type as name, row_number() over (partition by p_type order by p_partkey) - 1 + case when p_type = 'ECONOMY' then 1 else 0 end as n from part where p_partkey < 50) select id, case when n = 0 then name else name || '_' || n end as unique_name from r",
-    "unindexed_images": "select 'item/' || event_id as uri from events where event_id < 1000 and event_id not in (select vec_id from embeddings where vec_id % 2 = 0)",
+    "unique_names": f"""with t(name) as (values {", ".join(f"('{x}')" for x in TAKEN)}), r as (select p_partkey as id, p_type as name, row_number() over (partition by p_type order by p_partkey) as nth from part),
+c as (select name, k, case when k = 0 then name else name || '_' || k end as made from (select name, unnest(range(0, count(*) + 10)) as k from r group by name)),
+f as (select name, made, row_number() over (partition by name order by k) as nth from c where made not in (select name from t)) select id, made as unique_name from r join f using (name, nth)""",
+    "unindexed_images": "select 'item/' || event_id as uri from events where event_id not in (select vec_id from embeddings)",
     "cached_index": f"with {CATALOG} select 'item/' || vec_id as uri, cast(label as bigint) as version from embeddings where vec_id in (select id from c where bucket_id = 'view')",
     "deletion_reconcile": f"with {CATALOG} select 'item/' || vec_id as uri from embeddings where vec_id not in (select id from c where bucket_id is not null)",
-    "index_upsert": """with o as (select vec_id, cast(label as bigint) as version, 0 as fresh, embedding[1]::double as first from embeddings where vec_id < 300),
-f as (select vec_id, cast(5 as bigint) as version, 1 as fresh, embedding[64]::double / sqrt(list_dot_product(embedding::double[], embedding::double[])) as first from embeddings where vec_id % 3 = 0),
+    "index_upsert": """with o as (select vec_id, cast(label as bigint) as version, 0 as fresh, embedding[1]::double as first from embeddings),
+f as (select vec_id, cast(5 as bigint) as version, 1 as fresh, embedding[64]::double / sqrt(list_dot_product(embedding::double[], embedding::double[])) as first from embeddings),
 u as (select * from o union all select * from f) select 'item/' || vec_id as uri, version, round(first::float::double, 5) as first from u qualify row_number() over (partition by vec_id order by version desc, fresh desc) = 1""",
-    "edit_detection": f"with {CATALOG} select id, epoch_us(date_added) as indexed, epoch_us(date_added) + 5 as current from c where id < 3000 and id % 10 = 0",
+    "edit_detection": f"with {CATALOG} select id, epoch_us(date_added) as indexed, epoch_us(date_added) + 5 as current from c where id % 10 = 0",
     "record_bounds": "select vec_id, vec_id * 20 between 1 and 4096 and vec_id % 9 <> 0 as in_bounds from embeddings",
-    "vocab_lookup": "with v as (select p_brand as token, min(p_partkey) as id from part where p_partkey < 40 group by p_brand) select p_partkey, p_brand as token, coalesce(v.id, 49407) as id from part left join v on v.token = p_brand where p_partkey < 400",
+    "vocab_lookup": "with v as (select p_brand as token, min(p_partkey) as id from part group by p_brand having count(*) % 2 = 0) select p_partkey, p_brand as token, coalesce(v.id, 49407) as id from part left join v on v.token = p_brand",
+    "scan_backfill": f"with {CATALOG} select 'within' as mark, id from c where bucket_id in ('view', 'error') and epoch_us(date_added) // 1000000 > {MARK_MS} // 1000 union all select 'behind', id from c where bucket_id in ('view', 'error')",
+    "index_file": "select 'item/' || vec_id as uri, len(embedding) as n, round(list_sum(embedding::double[]), 5) as total from embeddings union all select null, null, null",
+    "model_graph": "select p_name || '/' || p_partkey as node, ['Conv', 'MatMul', 'Gemm', 'Softmax', 'LayerNorm'][p_partkey % 5 + 1] as op_type, 'x,w' || (p_partkey % 97) as inputs from part",
+    "find_images": "select * from (values ('a.jpg', 1::bigint), ('b.JPEG', 2), ('d.png', 4), ('e.webp', 5)) t(name, length)",
     "l2_normalize": """with v as (select vec_id, list_transform(embedding::double[], lambda x: x * case when vec_id % 11 = 0 then 1e-10 else 3.0 end) as v from embeddings),
 n as (select vec_id, v, sqrt(list_dot_product(v, v)) as n from v), u as (select vec_id, n, case when n < 1e-8 then v else list_transform(v, lambda x: x / n) end as v from n)
 select vec_id, round(n, 6) as before, round(sqrt(list_dot_product(v, v)), 6) as after, round(v[1], 6) as first from u""",
@@ -363,7 +410,6 @@ select p_partkey, string_agg(pair, ',' order by i) as pairs from q group by p_pa
 s as (select *, sum(new) over (partition by event_type order by ts, event_id) as burst from l) select event_type, count(*) as n, epoch_us(max(ts)) as last_us from s group by event_type, burst""",
     "latency_p95": """with r as (select event_id, event_type, list(value) over (partition by event_type order by ts, event_id rows between 49 preceding and current row) as v from events)
 select event_id, event_type, round(list_aggregate(v, 'quantile_cont', 0.5), 6) as p50, round(list_aggregate(v, 'quantile_cont', 0.95), 6) as p95 from r""",
-    "ann_trigger": "select round(quantile_cont(value, 0.95), 6) as p95, quantile_cont(value, 0.95) > 20.0 as migrate from events where ts > (select max(ts) from events) - interval 7 days",
+    "ann_trigger": "select round(quantile_cont(round(value / 1e-3) * 1e-3, 0.95), 6) as p95, quantile_cont(round(value / 1e-3) * 1e-3, 0.95) > 20.0 as migrate from events where ts > (select max(ts) from events) - interval 7 days",
     "adaptive_batch": "select event_id, cast(case when event_id % 5 >= 3 then 2 when event_id % 100 < 20 and user_id % 2 <> 0 then 4 when user_id % 2 = 0 then 32 else 16 end as bigint) as batch from events",
-    "noise_flag": "select e.vec_id, list_dot_product(q.embedding::double[], e.embedding::double[]) < 0.18 as is_noise from embeddings e join embeddings q on q.vec_id = 0 and e.vec_id >= 1",
 }

@@ -4,86 +4,104 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from halyard.config import Knobs
+from halyard.functions.vectors import l2_normalize
 from halyard.operators import evaluate as E
 from halyard.operators import search as S
 from halyard.plans.tables import table, vectors
 
-#: So many vectors are the queries of the evaluation.
-PROBES = 20
+#: Queries are the rows whose id is divisible by this, against all rows; a row is no result of its own.
+EVERY = 20
+#: Of the queries' ids, by 100: 0 are heads, 20 and 40 specific to the head before, 60 its plural, 80 off-domain.
+SPECIFIC, PLURAL, OFF = (20, 40), 60, 80
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 6) for n in names})
 
 
-def four_variants(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Vectors 0 to 3 as variants of one query, and the rest as index."""
-    v = vectors(spark, d)
-    return v.filter("vec_id >= 4"), v.filter("vec_id < 4").select(F.lit(0).cast("long").alias("query_id"), "embedding")
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    return vectors(spark, d).filter(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "embedding", "label")
+
+
+def with_variants(spark: SparkSession, d: str, first: int = 0, period: int = EVERY) -> DataFrame:
+    """Four vectors each as variants of a query: those from `first` on behind an id divisible by `period`."""
+    at = F.col("vec_id") % period
+    v = vectors(spark, d).filter(at.between(first, first + 3))
+    return v.select((F.col("vec_id") - at).alias("query_id"), "embedding")
 
 
 def vector_search(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(S.search(*four_variants(spark, d)), "score", "best")
+    return rounded(S.search(vectors(spark, d), with_variants(spark, d), exclude_self=True), "score", "best")
 
 
 def vector_search_topk(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(S.top_k(S.score(*four_variants(spark, d)), 20), "score")
+    return rounded(S.nearest(vectors(spark, d), with_variants(spark, d), 20, exclude_self=True), "score")
 
 
 def search_fallback(spark: SparkSession, d: str) -> DataFrame:
-    v = vectors(spark, d)
-    out = S.search(v.filter("vec_id >= 20"), v.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"), Knobs(0.37, 0.75, 3, 2, False))
-    return rounded(out, "score", "best")
+    return rounded(S.search(vectors(spark, d), asked(spark, d), Knobs(0.37, 0.75, 3, 2, False), exclude_self=True), "score", "best")
 
 
 def image_to_image(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d)
-    return rounded(S.image_to_image(v, v.filter("vec_id % 50 = 0"), Knobs(0.3, 0.75)), "score", "best")
+    return rounded(S.image_to_image(v, v.filter(F.col("vec_id") % EVERY == 0), Knobs(0.3, 0.75)), "score", "best")
 
 
 def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return rounded(S.near_duplicates(vectors(spark, d), 0.4), "score")
 
 
+def near_duplicates_banded(spark: SparkSession, d: str) -> DataFrame:
+    """Each vector beside a copy with a little of its neighbour's order mixed in; at least 95 of 100 such pairs are found."""
+    v = vectors(spark, d).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    mixed = F.zip_with("embedding", F.reverse("embedding"), lambda x, y: x + y * 0.15)
+    twins = v.select((-F.col("vec_id") - 1).alias("vec_id"), l2_normalize(mixed).alias("embedding"))
+    return rounded(S.near_duplicates(v.unionByName(twins), 0.97, recall=0.95), "score")
+
+
 def two_stage_search(spark: SparkSession, d: str) -> DataFrame:
-    v = vectors(spark, d)
-    probe = v.filter("vec_id < 10")
-    queries = probe.select(F.col("vec_id").alias("query_id"), "embedding")
-    heads = probe.filter("vec_id < 6").select(((F.col("vec_id") + 1) % 6).alias("query_id"), "embedding")
-    return rounded(S.two_stage(v.filter("vec_id >= 10"), heads, queries, Knobs(0.1, 0.5, 15, 2), candidates=200), "score", "best")
+    """Every second query has a head of its own, the vector behind it."""
+    heads = vectors(spark, d).filter(F.col("vec_id") % (2 * EVERY) == 1).select((F.col("vec_id") - 1).alias("query_id"), "embedding")
+    out = S.two_stage(vectors(spark, d), heads, asked(spark, d).drop("label"), Knobs(0.1, 0.5, 15, 2), candidates=200, exclude_self=True)
+    return rounded(out, "score", "best")
 
 
 def result_page(spark: SparkSession, d: str) -> DataFrame:
-    index, query = four_variants(spark, d)
-    results = S.with_page(S.ranked(S.score(index, query, at_least=0.15)))
-    return S.page(results, 1).select("vec_id", "rank", "page", "is_last_page")
+    results = S.with_page(S.ranked(S.score(vectors(spark, d), with_variants(spark, d), at_least=0.15, exclude_self=True)))
+    return S.page(results, 1).select("query_id", "vec_id", "rank", "page", "is_last_page")
 
 
 def scores(spark: SparkSession, d: str) -> DataFrame:
-    """query_id, id, score, relevant: the first vectors against the rest; same label is relevant."""
-    v = vectors(spark, d)
-    q = v.filter(F.col("vec_id") < PROBES)
-    s = S.score(v.filter(F.col("vec_id") >= PROBES).withColumnRenamed("vec_id", "id"), q.select(F.col("vec_id").alias("query_id"), "embedding"), key="id")
-    labels = v.select(F.col("vec_id").alias("id"), F.col("label").alias("l"))
-    asked = q.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
-    return s.join(labels, "id").join(asked, "query_id").select("query_id", "id", "score", (F.col("l") == F.col("ql")).alias("relevant"), F.col("l").alias("label"), F.col("ql").alias("expected"))
+    """query_id, id, score, relevant: queries against all other rows; same label is relevant."""
+    v = vectors(spark, d).withColumnRenamed("vec_id", "id")
+    s = S.score(v, asked(spark, d), key="id", exclude_self=True)
+    named = asked(spark, d).select("query_id", F.col("label").alias("expected"))
+    s = s.join(v.select("id", "label"), "id").join(named, "query_id")
+    return s.select("query_id", "id", "score", (F.col("label") == F.col("expected")).alias("relevant"), "label", "expected")
 
 
 def results(spark: SparkSession, d: str, knobs: Knobs = Knobs(0.19, 0.6)) -> DataFrame:
-    return S.cut(scores(spark, d), knobs, key="id").select("query_id", "id")
+    v = vectors(spark, d).withColumnRenamed("vec_id", "id")
+    return S.search(v, asked(spark, d), knobs, key="id", exclude_self=True).select("query_id", "id")
+
+
+def in_domain(column: str = "query_id") -> Column:
+    return F.col(column) % 100 != OFF
 
 
 def truth(spark: SparkSession, d: str) -> DataFrame:
-    """Same label; queries 18 and 19 count as off-domain and have none."""
-    return scores(spark, d).filter("relevant and query_id < 18").select("query_id", "id")
+    """The other rows of the query's label; none if it is off-domain."""
+    q = asked(spark, d).filter(in_domain()).select("query_id", "label")
+    v = vectors(spark, d).select(F.col("vec_id").alias("id"), "label")
+    return q.join(v, "label").filter("id <> query_id").select("query_id", "id")
 
 
 def probes(spark: SparkSession, d: str) -> DataFrame:
-    return vectors(spark, d).filter(F.col("vec_id") < PROBES).select(F.col("vec_id").alias("query_id"))
+    return asked(spark, d).select("query_id")
 
 
 def precision_recall_f1(spark: SparkSession, d: str) -> DataFrame:
@@ -91,7 +109,7 @@ def precision_recall_f1(spark: SparkSession, d: str) -> DataFrame:
 
 
 def macro_metrics(spark: SparkSession, d: str) -> DataFrame:
-    m = E.set_metrics(results(spark, d), truth(spark, d), probes(spark, d)).filter("query_id < 18")
+    m = E.set_metrics(results(spark, d), truth(spark, d), probes(spark, d).filter(in_domain()))
     return rounded(E.macro(m), "mean_f1", "mean_precision", "mean_recall", "mean_returned")
 
 
@@ -114,9 +132,10 @@ def diagonal_rate(spark: SparkSession, d: str) -> DataFrame:
     return rounded(E.diagonal(E.confusion(s)), "accuracy")
 
 
-def pairs(spark: SparkSession, d: str) -> DataFrame:
-    p = probes(spark, d)
-    return p.select(F.col("query_id").alias("a"), (F.col("query_id") % 4).alias("b")).filter("a <> b")
+def pairs(spark: SparkSession, d: str, *kinds: int) -> DataFrame:
+    """Queries of these kinds, or of all but heads, with their heads."""
+    at = F.col("query_id") % 100
+    return probes(spark, d).filter(at.isin(*kinds) if kinds else at != 0).select(F.col("query_id").alias("a"), (F.col("query_id") - at).alias("b"))
 
 
 def containment(spark: SparkSession, d: str) -> DataFrame:
@@ -128,7 +147,7 @@ def plural_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def distractor_fp(spark: SparkSession, d: str) -> DataFrame:
-    return E.false_positives(results(spark, d, Knobs(0.33, 0.75)), probes(spark, d).filter("query_id >= 10"))
+    return E.false_positives(results(spark, d, Knobs(0.28, 0.75)), probes(spark, d).filter(~in_domain()))
 
 
 def score_distribution(spark: SparkSession, d: str) -> DataFrame:
@@ -136,48 +155,55 @@ def score_distribution(spark: SparkSession, d: str) -> DataFrame:
 
 
 def roc_auc(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(E.roc_auc(E.binned(scores(spark, d))), "auc")
+    return rounded(E.roc_auc(scores(spark, d)), "auc")
 
 
 def youden_cut(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(E.youden(E.binned(scores(spark, d))), "score", "tpr", "fpr", "j")
+    return rounded(E.youden(scores(spark, d)), "score", "tpr", "fpr", "j")
 
 
 def threshold_at_tpr(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(E.cut_at_tpr(E.binned(scores(spark, d)), 0.9), "score", "tpr", "fpr")
+    return rounded(E.cut_at_tpr(scores(spark, d), 0.9), "score", "tpr", "fpr")
 
 
 def score_ratio(spark: SparkSession, d: str) -> DataFrame:
     return rounded(E.best_ratios(S.ranked(scores(spark, d), key="id")), "mean_ratio", "median_ratio")
 
 
-GRID = E.knob_grid((0.16, 0.19, 0.22, 0.3), (0.6, 0.75, 0.9), (5, 10), (0, 3))
+# The two grids of settings.
+GRID = E.knob_grid([i / 100 for i in range(15, 31)], [i / 100 for i in range(55, 91, 5)], (10, 15, 20, 25, 30), (3, 5, 8))
+SMALL_GRID = E.knob_grid((0.13, 0.15, 0.17, 0.19, 0.21), (0.45, 0.55, 0.6, 0.7, 0.75), (20, 50, 80, 120), (0, 10))
+
+
+def settings(spark: SparkSession, grid: list[Knobs]) -> DataFrame:
+    return F.broadcast(spark.range(len(grid)).select(F.col("id").cast("int").alias("config")))  # a row for each setting
 
 
 def knob_sweep(spark: SparkSession, d: str) -> DataFrame:
     returned = E.sweep(scores(spark, d), GRID)
-    configs = spark.range(len(GRID)).select(F.col("id").cast("int").alias("config"))
-    asked = F.broadcast(configs).crossJoin(probes(spark, d))  # settings by queries, no data
-    m = E.set_metrics(returned, truth(spark, d), asked, by=["config"])
+    every = settings(spark, GRID).crossJoin(probes(spark, d))  # settings by queries, no data
+    m = E.set_metrics(returned, truth(spark, d), every, by=["config"])
     return rounded(E.macro(m, by=["config"]), "mean_f1", "mean_precision", "mean_recall", "mean_returned").withColumn("config", F.col("config").cast("long"))
 
 
 def sweep_objective(spark: SparkSession, d: str) -> DataFrame:
-    returned = E.sweep(scores(spark, d), GRID)
-    configs = spark.range(len(GRID)).select(F.col("id").cast("int").alias("config"))
-    m = E.macro(E.set_metrics(returned, truth(spark, d), F.broadcast(configs).crossJoin(probes(spark, d).filter("query_id < 18")), by=["config"]), by=["config"])
-    fp = returned.filter("query_id >= 18").groupBy("config").agg(F.countDistinct("query_id").alias("distractor_fp"))
-    rows = m.join(fp, "config", "left").select("config", F.col("mean_f1").alias("f1"), F.col("mean_precision").alias("sub"), F.col("mean_recall").alias("plural"), F.coalesce("distractor_fp", F.lit(0)).alias("distractor_fp"))
-    out = E.objective(rows)
+    returned = E.sweep(scores(spark, d), SMALL_GRID)
+    grid = settings(spark, SMALL_GRID)
+    by = ["config"]
+    m = E.macro(E.set_metrics(returned, truth(spark, d), grid.crossJoin(probes(spark, d).filter(in_domain())), by=by), by=by)
+    sub = E.containment(returned, grid.crossJoin(pairs(spark, d, *SPECIFIC)), by).groupBy("config").agg(F.avg("containment").alias("sub"))
+    plural = E.plural_overlap(returned, grid.crossJoin(pairs(spark, d, PLURAL)), by).groupBy("config").agg(F.avg("overlap").alias("plural"))
+    fp = returned.filter(~in_domain()).groupBy("config").agg(F.countDistinct("query_id").alias("distractor_fp"))
+    rows = m.join(sub, "config").join(plural, "config").join(fp, "config", "left")
+    out = E.objective(rows.select("config", F.col("mean_f1").alias("f1"), "sub", "plural", F.coalesce("distractor_fp", F.lit(0)).alias("distractor_fp")))
     return rounded(out, "f1", "sub", "plural", "objective").withColumn("config", F.col("config").cast("long"))
 
 
 def score_report(spark: SparkSession, d: str) -> DataFrame:
-    v = vectors(spark, d)
-    q = v.filter("vec_id < 7").select(F.concat(F.lit("q"), F.col("vec_id").cast("string")).alias("query"), "embedding")
-    i = v.filter("vec_id between 100 and 104").select(F.concat(F.lit("i"), F.col("vec_id").cast("string")).alias("name"), "embedding")
-    s = S.score_matrix(q, i)
-    r = S.score_report(s)
+    named = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    q = asked(spark, d).select(named("q", "query_id").alias("query"), "embedding")
+    i = vectors(spark, d).select(named("i", "vec_id").alias("name"), "embedding")
+    r = S.score_report(S.score_matrix(q, i))
     listed = F.transform(F.map_entries("matches"), lambda e: F.concat(e["key"], F.lit("="), F.format_number(e["value"], 4)))
     return rounded(r.select("query", "best_score", "best_name", F.array_join(listed, ",").alias("matches")), "best_score")
 
@@ -192,21 +218,13 @@ def hybrid_rank(spark: SparkSession, d: str) -> DataFrame:
 
 def ensemble_mean(spark: SparkSession, d: str) -> DataFrame:
     """The mean of four variants' vectors, at length one, against the index."""
-    index, query = four_variants(spark, d)
-    parts = query.select(F.posexplode("embedding").alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    mean = parts.agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("p")).select(F.lit(0).cast("long").alias("query_id"), F.transform("p", lambda e: e["x"]).alias("m"))
-    from halyard.functions.vectors import l2_normalize
-
-    return rounded(S.top_k(S.score(index, mean.select("query_id", l2_normalize("m").alias("embedding"))), 25), "score")
+    return rounded(S.nearest(vectors(spark, d), S.ensemble(with_variants(spark, d)), 25, exclude_self=True), "score")
 
 
 def strategies(spark: SparkSession, d: str) -> DataFrame:
-    """Results of each strategy for five queries of four variants; two queries have a head of their own."""
-    v = vectors(spark, d)
-    variants = v.filter("vec_id < 20").select(F.floor(F.col("vec_id") / 4).alias("query_id"), "embedding")
-    heads = v.filter("vec_id between 20 and 27").select(F.floor((F.col("vec_id") - 20) / 4).alias("query_id"), "embedding")
-    index = v.filter("vec_id >= 30")
-    out = [S.strategy(n, index, variants, heads).select(F.lit(n).alias("strategy"), "query_id", "vec_id", "score", "rank") for n in S.STRATEGIES]
+    """Results of each strategy for queries of four variants; every second query has a head of its own."""
+    index, variants, heads = vectors(spark, d), with_variants(spark, d), with_variants(spark, d, 4, 2 * EVERY)
+    out = [S.strategy(n, index, variants, heads, exclude_self=True).select(F.lit(n).alias("strategy"), "query_id", "vec_id", "score", "rank") for n in S.STRATEGIES]
     return rounded(functools.reduce(DataFrame.unionByName, out), "score")
 
 
@@ -214,75 +232,91 @@ def page_prefetch(spark: SparkSession, d: str) -> DataFrame:
     return vectors(spark, d).select("vec_id", S.needs_next_page(F.col("vec_id") % 30, F.lit(30)).alias("wants_next"))
 
 
-def live_best(spark: SparkSession, d: str) -> DataFrame:
-    """Best score of each query over the index as it grew, at every hundredth vector."""
-    s = scores(spark, d)
-    w = Window.partitionBy("query_id").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    return rounded(s.withColumn("best", F.max("score").over(w)).filter("id % 100 = 0").select("query_id", "id", "best"), "best")
+def live_best(spark: SparkSession, d: str, stretch: int = 1000) -> DataFrame:
+    """Best score of each query over the index as it grew.  A query's rows are taken in stretches of ids: the best of the
+    stretches before, and a running best within one."""
+    s = scores(spark, d).select("query_id", "id", "score", F.floor(F.col("id") / stretch).alias("_in"))
+    tops = s.groupBy(F.col("query_id").alias("_query"), F.col("_in").alias("_of")).agg(F.max("score").alias("_top"))
+    before = F.max("_top").over(Window.partitionBy("_query").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1))
+    tops = tops.select("_query", "_of", before.alias("_before"))
+    running = F.max("score").over(Window.partitionBy("query_id", "_in").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = s.withColumn("_running", running).join(tops, (F.col("query_id") == F.col("_query")) & (F.col("_in") == F.col("_of")))
+    return rounded(rows.select("query_id", "id", F.greatest("_running", "_before").alias("best")), "best")
 
 
-QUERIES = {f.__name__: f for f in (vector_search, vector_search_topk, search_fallback, image_to_image, near_duplicates, two_stage_search, result_page, precision_recall_f1, macro_metrics, recall_at_k, outcome_rates, confusion_diagonal, diagonal_rate, containment, plural_overlap, distractor_fp, score_distribution, roc_auc, youden_cut, threshold_at_tpr, score_ratio, knob_sweep, sweep_objective, score_report, hybrid_rank, live_best, strategies, page_prefetch)} | {"prompt_ensemble_mean": ensemble_mean}
+def noise_flag(spark: SparkSession, d: str) -> DataFrame:
+    s = S.score(vectors(spark, d), asked(spark, d), exclude_self=True)
+    return s.select("query_id", "vec_id", S.is_noise("score").alias("is_noise"))
+
+
+QUERIES = {f.__name__: f for f in (vector_search, vector_search_topk, search_fallback, image_to_image, near_duplicates, near_duplicates_banded, two_stage_search, result_page, precision_recall_f1, macro_metrics, recall_at_k, outcome_rates, confusion_diagonal, diagonal_rate, containment, plural_overlap, distractor_fp, score_distribution, roc_auc, youden_cut, threshold_at_tpr, score_ratio, knob_sweep, sweep_objective, score_report, hybrid_rank, live_best, strategies, page_prefetch, noise_flag)} | {"prompt_ensemble_mean": ensemble_mean}
 
 DOT = "list_dot_product(q.embedding::double[], e.embedding::double[])"
-FOUR = f"v as (select 0 as query_id, e.vec_id, max({DOT}) as score from embeddings e join embeddings q on q.vec_id < 4 and e.vec_id >= 4 group by e.vec_id)"
-SCORED = f"s as (select q.vec_id as query_id, e.vec_id as id, {DOT} as score, q.label = e.label as relevant, e.label as label, q.label as expected from embeddings e join embeddings q on q.vec_id < {PROBES} and e.vec_id >= {PROBES})"
+FOUR = f"v as (select q.vec_id - q.vec_id % {EVERY} as query_id, e.vec_id, max({DOT}) as score from embeddings e join embeddings q on q.vec_id % {EVERY} < 4 and e.vec_id <> q.vec_id - q.vec_id % {EVERY} group by all)"
+SCORED = f"s as (select q.vec_id as query_id, e.vec_id as id, {DOT} as score, q.label = e.label as relevant, e.label as label, q.label as expected from embeddings e join embeddings q on q.vec_id % {EVERY} = 0 and e.vec_id <> q.vec_id)"
 
 
 def cut_sql(threshold: float, ratio: float, name: str = "r") -> str:
     return f"{name} as (select query_id, id from (select *, max(score) over (partition by query_id) as best from s) where score >= best * {ratio} and score >= {threshold})"
 
 
-METRICS = """t as (select query_id, id from s where relevant and query_id < 18),
-p as (select vec_id as query_id from embeddings where vec_id < 20),
+METRICS = f"""t as (select query_id, id from s where relevant and query_id % 100 <> {OFF}),
+p as (select vec_id as query_id from embeddings where vec_id % {EVERY} = 0),
 n as (select p.query_id, count(r.id) as returned, count(t.id) as tp from p left join r using (query_id) left join t on t.query_id = r.query_id and t.id = r.id group by p.query_id),
 w as (select p.query_id, count(t.id) as wanted from p left join t using (query_id) group by p.query_id),
 a as (select query_id, returned, case when returned = 0 and wanted = 0 then 1.0 when returned = 0 then 0.0 else tp::double / returned end as precision,
   case when returned = 0 and wanted = 0 then 1.0 when wanted = 0 then 0.0 else tp::double / wanted end as recall from n join w using (query_id)),
 m as (select *, case when precision + recall = 0 then 0.0 else 2 * precision * recall / (precision + recall) end as f1 from a)"""
-OVERLAP = """p as (select vec_id as a, vec_id % 4 as b from embeddings where vec_id < 20 and vec_id <> vec_id % 4),
+OVERLAP = f"""p as (select vec_id as a, vec_id - vec_id % 100 as b from embeddings where vec_id % {EVERY} = 0 and vec_id % 100 <> 0),
 o as (select a, b, (select count(*) from r where query_id = a) as n_a, (select count(*) from r where query_id = b) as n_b,
   (select count(*) from r x join r y on x.id = y.id where x.query_id = a and y.query_id = b) as common from p)"""
 STEPS = """b as (select round(score / 1e-6) * 1e-6 as score, relevant from s),
 st as (select score, count(*) filter (where relevant) as pos, count(*) filter (where not relevant) as neg from b group by score),
 cu as (select *, sum(pos) over w as tp, sum(neg) over w as fp, sum(pos) over () as p, sum(neg) over () as n from st window w as (order by score desc rows unbounded preceding))"""
-CONFIGS = ", ".join(f"({i}, {k.threshold}, {k.ratio}, {k.top_k}, {k.fallback})" for i, k in enumerate(GRID))
-SWEEP = f"""k(config, threshold, ratio, top_k, fallback) as (values {CONFIGS}),
-b as (select *, max(score) over w as best, row_number() over (partition by query_id order by score desc, id) as rank from s window w as (partition by query_id)),
+
+
+def sweep_sql(grid: list[Knobs]) -> str:
+    configs = ", ".join(f"({i}, {k.threshold}, {k.ratio}, {k.top_k}, {k.fallback})" for i, k in enumerate(grid))
+    most = max(max(k.top_k, k.fallback) for k in grid)
+    return f"""k(config, threshold, ratio, top_k, fallback) as (values {configs}),
+b as (select * from (select *, max(score) over w as best, row_number() over (partition by query_id order by score desc, id) as rank from s window w as (partition by query_id)) where rank <= {most}),
 g as (select k.*, b.query_id, b.id, b.rank, b.score >= k.threshold and b.rank <= k.top_k as passes, max(case when b.score >= k.threshold then 1 else 0 end) over (partition by config, query_id) as any_passes
   from b join k on b.score >= b.best * k.ratio),
 r as (select config, query_id, id from g where case when any_passes = 1 then passes else rank <= fallback end),
-t as (select query_id, id from s where relevant and query_id < 18),
+t as (select query_id, id from s where relevant and query_id % 100 <> {OFF}),
 n as (select config, r.query_id, count(*) as returned, count(t.id) as tp from r left join t on t.query_id = r.query_id and t.id = r.id group by config, r.query_id),
 w as (select query_id, count(*) as wanted from t group by query_id),
 a as (select k.config, p.vec_id as query_id, coalesce(returned, 0) as returned, coalesce(tp, 0) as tp, coalesce(wanted, 0) as wanted
-  from k join embeddings p on p.vec_id < 20 left join n on n.config = k.config and n.query_id = p.vec_id left join w on w.query_id = p.vec_id),
+  from k join embeddings p on p.vec_id % {EVERY} = 0 left join n on n.config = k.config and n.query_id = p.vec_id left join w on w.query_id = p.vec_id),
 x as (select config, query_id, returned, case when returned = 0 and wanted = 0 then 1.0 when returned = 0 then 0.0 else tp::double / returned end as precision,
   case when returned = 0 and wanted = 0 then 1.0 when wanted = 0 then 0.0 else tp::double / wanted end as recall from a),
 m as (select *, case when precision + recall = 0 then 0.0 else 2 * precision * recall / (precision + recall) end as f1 from x)"""
 
+
 ORACLE_SQL = {
-    "vector_search": f"""with {FOUR}, b as (select *, max(score) over () as best from v)
-select cast(query_id as bigint) as query_id, vec_id, round(score, 6) as score, round(best, 6) as best, row_number() over (order by score desc, vec_id) as rank from b where score >= best * 0.75 and score >= 0.19""",
-    "vector_search_topk": f"""with {FOUR}, r as (select *, row_number() over (order by score desc, vec_id) as rank from v)
-select cast(query_id as bigint) as query_id, vec_id, round(score, 6) as score, rank from r where rank <= 20""",
+    "vector_search": f"""with {FOUR}, b as (select *, max(score) over (partition by query_id) as best from v)
+select query_id, vec_id, round(score, 6) as score, round(best, 6) as best, row_number() over (partition by query_id order by score desc, vec_id) as rank from b where score >= best * 0.75 and score >= 0.19""",
+    "vector_search_topk": f"""with {FOUR}, r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from v)
+select query_id, vec_id, round(score, 6) as score, rank from r where rank <= 20""",
     "search_fallback": f"""with {SCORED}, n as (select *, max(score) over (partition by query_id) as best from s),
 r as (select *, row_number() over (partition by query_id order by score desc, id) as rank, max(case when score > 0.37 then 1 else 0 end) over (partition by query_id) as any_passes from n where score >= best * 0.75)
 select query_id, id as vec_id, round(score, 6) as score, round(best, 6) as best, rank from r where case when any_passes = 1 then score > 0.37 and rank <= 3 else rank <= 2 end""",
-    "image_to_image": f"""with s as (select q.vec_id as query_id, e.vec_id, {DOT} as score from embeddings e join embeddings q on q.vec_id % 50 = 0 and e.vec_id <> q.vec_id),
-b as (select *, max(score) over (partition by query_id) as best from s), r as (select * from b where score >= best * 0.75 and score >= 0.3)
-select query_id, vec_id, round(score, 6) as score, round(best, 6) as best, row_number() over (partition by query_id order by score desc, vec_id) as rank from r""",
-    "near_duplicates": f"""select q.vec_id as a, e.vec_id as b, round({DOT}, 6) as score from embeddings q join embeddings e on q.vec_id < e.vec_id where {DOT} >= 0.4""",
-    "two_stage_search": f"""with h as (select (vec_id + 1) % 6 as query_id, embedding from embeddings where vec_id < 6 union all select vec_id, embedding from embeddings where vec_id between 6 and 9),
-hs as (select q.query_id, e.vec_id, {DOT} as score from h q join embeddings e on e.vec_id >= 10),
+    "image_to_image": f"""with {SCORED}, b as (select *, max(score) over (partition by query_id) as best from s), r as (select * from b where score >= best * 0.75 and score >= 0.3)
+select query_id, id as vec_id, round(score, 6) as score, round(best, 6) as best, row_number() over (partition by query_id order by score desc, id) as rank from r""",
+    "near_duplicates": f"""with c as (select min(vec_id) as vec_id, embedding from embeddings group by embedding)
+select q.vec_id as a, e.vec_id as b, round({DOT}, 6) as score from c q join c e on q.vec_id < e.vec_id where {DOT} >= 0.4
+union all select q.vec_id, e.vec_id, round({DOT}, 6) from c q join embeddings e on q.embedding = e.embedding and q.vec_id <> e.vec_id""",
+    "two_stage_search": f"""with h as (select vec_id - 1 as query_id, embedding from embeddings where vec_id % {2 * EVERY} = 1 union all select vec_id, embedding from embeddings where vec_id % {2 * EVERY} = {EVERY} or (vec_id % {2 * EVERY} = 0 and vec_id + 1 not in (select vec_id from embeddings))),
+hs as (select q.query_id, e.vec_id, {DOT} as score from h q join embeddings e on e.vec_id <> q.query_id),
 pool as (select query_id, vec_id from hs qualify row_number() over (partition by query_id order by score desc, vec_id) <= 200),
-f as (select q.vec_id as query_id, e.vec_id, {DOT} as score from embeddings q join embeddings e on q.vec_id < 10 and e.vec_id >= 10),
+f as (select q.vec_id as query_id, e.vec_id, {DOT} as score from embeddings q join embeddings e on q.vec_id % {EVERY} = 0),
 b as (select f.*, max(score) over (partition by query_id) as best from f join pool using (query_id, vec_id)),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank, max(case when score >= 0.1 then 1 else 0 end) over (partition by query_id) as any_passes from b where score >= best * 0.5)
 select query_id, vec_id, round(score, 6) as score, round(best, 6) as best, rank from r where case when any_passes = 1 then score >= 0.1 and rank <= 15 else rank <= 2 end""",
-    "result_page": f"""with {FOUR}, r as (select *, row_number() over (order by score desc, vec_id) as rank, count(*) over () as n from v where score >= 0.15)
-select vec_id, rank, (rank - 1) // 30 as page, ((rank - 1) // 30 + 1) * 30 >= n as is_last_page from r where rank between 31 and 60""",
+    "result_page": f"""with {FOUR}, r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank, count(*) over (partition by query_id) as n from v where score >= 0.15)
+select query_id, vec_id, rank, (rank - 1) // 30 as page, ((rank - 1) // 30 + 1) * 30 >= n as is_last_page from r where rank between 31 and 60""",
     "precision_recall_f1": f"with {SCORED}, {cut_sql(0.19, 0.6)}, {METRICS} select query_id, returned, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1 from m",
-    "macro_metrics": f"with {SCORED}, {cut_sql(0.19, 0.6)}, {METRICS} select round(avg(f1), 6) as mean_f1, round(avg(precision), 6) as mean_precision, round(avg(recall), 6) as mean_recall, round(avg(returned), 6) as mean_returned from m where query_id < 18",
+    "macro_metrics": f"with {SCORED}, {cut_sql(0.19, 0.6)}, {METRICS} select round(avg(f1), 6) as mean_f1, round(avg(precision), 6) as mean_precision, round(avg(recall), 6) as mean_recall, round(avg(returned), 6) as mean_returned from m where query_id % 100 <> {OFF}",
     "recall_at_k": f"""with {SCORED}, r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from s), b as (select query_id, min(rank) filter (where relevant) as best from r group by query_id)
 select count(*) as n_queries, {", ".join(f"round(avg(case when best <= {k} then 1.0 else 0.0 end), 6) as recall_at_{k}" for k in (1, 5, 10))} from b""",
     "outcome_rates": f"""with {SCORED}, o as (select query_id, count(*) filter (where score >= 0.35) as a, count(*) filter (where score >= 0.33) as b from s group by query_id)
@@ -293,19 +327,25 @@ select expected, predicted, count(*) as n, expected = predicted as is_diagonal f
 select round(avg(case when expected = predicted then 1.0 else 0.0 end), 6) as accuracy from b""",
     "containment": f"with {SCORED}, {cut_sql(0.05, 0.1)}, {OVERLAP} select a as specific, b as head, round(case when n_a = 0 then 0.0 else common::double / n_a end, 6) as containment from o",
     "plural_overlap": f"with {SCORED}, {cut_sql(0.05, 0.1)}, {OVERLAP} select a, b, round(case when least(n_a, n_b) = 0 then 0.0 else common::double / least(n_a, n_b) end, 6) as overlap from o",
-    "distractor_fp": f"with {SCORED}, {cut_sql(0.33, 0.75)} select count(distinct query_id) as distractor_fp from r where query_id >= 10",
-    "score_distribution": f"with {SCORED} select relevant, count(*) as n, round(avg(score), 6) as mean, round(stddev_samp(score), 6) as std, {', '.join(f'round(quantile_cont(score, {q}), 6) as p{round(100 * q)}' for q in (0.1, 0.25, 0.5, 0.75, 0.95))} from s group by relevant",
+    "distractor_fp": f"with {SCORED}, {cut_sql(0.28, 0.75)} select count(distinct query_id) as distractor_fp from r where query_id % 100 = {OFF}",
+    "score_distribution": f"with {SCORED} select relevant, count(*) as n, round(avg(score), 6) as mean, round(stddev_samp(score), 6) as std, {', '.join(f'round(quantile_cont(round(score / 1e-6) * 1e-6, {q}), 6) as p{round(100 * q)}' for q in (0.1, 0.25, 0.5, 0.75, 0.95))} from s group by relevant",
     "roc_auc": f"with {SCORED}, {STEPS} select round(sum(pos * neg * 0.5 + neg * (tp - pos)) / (max(p) * max(n)), 6) as auc from cu",
     "youden_cut": f"with {SCORED}, {STEPS} select round(score, 6) as score, round(tp / p, 6) as tpr, round(fp / n, 6) as fpr, round(tp / p - fp / n, 6) as j from cu order by round(tp / p - fp / n, 12) desc, cu.score desc limit 1",
     "threshold_at_tpr": f"with {SCORED}, {STEPS} select round(score, 6) as score, round(tp / p, 6) as tpr, round(fp / n, 6) as fpr from cu where tp / p >= 0.9 order by cu.score desc limit 1",
     "score_ratio": f"""with {SCORED}, r as (select *, row_number() over (partition by query_id order by score desc, id) as rank, score / max(score) over (partition by query_id) as x from s)
-select relevant, count(*) as n, round(avg(x), 6) as mean_ratio, round(median(x), 6) as median_ratio from r where rank <= 20 group by relevant""",
-    "knob_sweep": f"with {SCORED}, {SWEEP} select cast(config as bigint) as config, round(avg(f1), 6) as mean_f1, round(avg(precision), 6) as mean_precision, round(avg(recall), 6) as mean_recall, round(avg(returned), 6) as mean_returned from m group by config",
-    "sweep_objective": f"""with {SCORED}, {SWEEP}, i as (select config, avg(f1) as f1, avg(precision) as sub, avg(recall) as plural from m where query_id < 18 group by config),
-z as (select config, count(distinct query_id) as fp from r where query_id >= 18 group by config),
-y as (select i.*, coalesce(fp, 0) as distractor_fp, f1 + 0.8 * sub + 0.6 * plural - 0.2 * coalesce(fp, 0) as objective from i left join z using (config))
+select relevant, count(*) as n, round(avg(x), 6) as mean_ratio, round(median(round(x / 1e-6) * 1e-6), 6) as median_ratio from r where rank <= 20 group by relevant""",
+    "knob_sweep": f"with {SCORED}, {sweep_sql(GRID)} select cast(config as bigint) as config, round(avg(f1), 6) as mean_f1, round(avg(precision), 6) as mean_precision, round(avg(recall), 6) as mean_recall, round(avg(returned), 6) as mean_returned from m group by config",
+    "sweep_objective": f"""with {SCORED}, {sweep_sql(SMALL_GRID)}, i as (select config, avg(f1) as f1 from m where query_id % 100 <> {OFF} group by config),
+z as (select config, count(distinct query_id) as fp from r where query_id % 100 = {OFF} group by config),
+pr as (select k.config, vec_id as a, vec_id - vec_id % 100 as b from k, embeddings where vec_id % {EVERY} = 0 and vec_id % 100 in ({SPECIFIC[0]}, {SPECIFIC[1]}, {PLURAL})),
+sz as (select config, query_id, count(*) as n from r group by all),
+co as (select x.config, x.query_id as a, y.query_id as b, count(*) as common from r x join r y on x.config = y.config and x.id = y.id and y.query_id = x.query_id - x.query_id % 100 group by all),
+ov as (select pr.config, pr.a % 100 = {PLURAL} as plural, coalesce(common, 0)::double as c, coalesce(na.n, 0) as na, coalesce(nb.n, 0) as nb from pr left join co on co.config = pr.config and co.a = pr.a
+  left join sz na on na.config = pr.config and na.query_id = pr.a left join sz nb on nb.config = pr.config and nb.query_id = pr.b),
+sp as (select config, avg(case when na = 0 then 0.0 else c / na end) filter (where not plural) as sub, avg(case when least(na, nb) = 0 then 0.0 else c / least(na, nb) end) filter (where plural) as plural from ov group by config),
+y as (select i.*, sub, plural, coalesce(fp, 0) as distractor_fp, f1 + 0.8 * sub + 0.6 * plural - 0.2 * coalesce(fp, 0) as objective from i join sp using (config) left join z using (config))
 select cast(config as bigint) as config, round(f1, 6) as f1, round(sub, 6) as sub, round(plural, 6) as plural, distractor_fp, round(objective, 6) as objective from y order by round(y.objective, 9) desc, config limit 10""",
-    "score_report": f"""with s as (select 'q' || q.vec_id as query, 'i' || e.vec_id as name, {DOT} as score from embeddings q join embeddings e on q.vec_id < 7 and e.vec_id between 100 and 104)
+    "score_report": f"""with s as (select 'q' || q.vec_id as query, 'i' || e.vec_id as name, {DOT} as score from embeddings q join embeddings e on q.vec_id % {EVERY} = 0)
 select query, round(max(score), 6) as best_score, max_by(name, score) as best_name, string_agg(name || '=' || printf('%.4f', score), ',' order by name) as matches from s group by query""",
     "hybrid_rank": """with d as (select item_id as doc_id, regexp_extract_all(lower(text), '[a-z]+') as words from benchmark),
 q(query_id, word) as (values (0, 'the'), (0, 'thing'), (0, 'ation'), (1, 'ndst'), (1, 'la'), (1, 'que')),
@@ -314,17 +354,16 @@ f as (select doc_id, length, word, count(*) as tf from u where word in (select w
 b as (select query_id, doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * length / l))) as bm25 from f join df using (word) join q using (word), st group by query_id, doc_id),
 h as (select query_id, doc_id, round(case when doc_id % 3 <> 0 then (doc_id % 10) / 10.0 else 0.0 end * 0.7 + bm25 * 0.3, 9) as score from b)
 select cast(query_id as bigint) as query_id, doc_id, round(score, 6) as score, row_number() over (partition by query_id order by h.score desc, doc_id) as rank from h""",
-    "live_best": f"with {SCORED}, b as (select query_id, id, max(score) over (partition by query_id order by id) as best from s) select query_id, id, round(best, 6) as best from b where id % 100 = 0",
+    "live_best": f"with {SCORED} select query_id, id, round(max(score) over (partition by query_id order by id), 6) as best from s",
     "page_prefetch": "select vec_id, vec_id % 30 >= 24 as wants_next from embeddings",
-    "strategies": f"""with va as (select vec_id // 4 as query_id, embedding::double[] as embedding from embeddings where vec_id < 20),
-he as (select (vec_id - 20) // 4 as query_id, embedding::double[] as embedding from embeddings where vec_id between 20 and 27),
+    "strategies": f"""with va as (select vec_id - vec_id % {EVERY} as query_id, embedding::double[] as embedding from embeddings where vec_id % {EVERY} < 4),
+he as (select vec_id - vec_id % {2 * EVERY} as query_id, embedding::double[] as embedding from embeddings where vec_id % {2 * EVERY} between 4 and 7),
 mean(kind, query_id, v) as (select kind, query_id, list(x order by i) from (select kind, query_id, i, avg(x) as x from
   (select 'full' as kind, query_id, unnest(embedding) as x, generate_subscripts(embedding, 1) as i from va union all select 'head', query_id, unnest(embedding), generate_subscripts(embedding, 1) from he) group by all) group by all),
 unit as (select kind, query_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as embedding from mean),
-e as (select vec_id, embedding from embeddings where vec_id >= 30),
-mx as (select q.query_id, e.vec_id, max({DOT}) as score from va q, e group by all),
-en as (select q.query_id, e.vec_id, {DOT} as score from unit q, e where kind = 'full'),
-hd as (select q.query_id, e.vec_id, {DOT} as score from unit q, e where kind = 'head' or (kind = 'full' and query_id not in (select query_id from he))),
+mx as (select q.query_id, e.vec_id, max({DOT}) as score from va q join embeddings e on e.vec_id <> q.query_id group by all),
+en as (select q.query_id, e.vec_id, {DOT} as score from unit q join embeddings e on e.vec_id <> q.query_id where kind = 'full'),
+hd as (select q.query_id, e.vec_id, {DOT} as score from unit q join embeddings e on e.vec_id <> q.query_id where kind = 'head' or (kind = 'full' and query_id not in (select query_id from he))),
 pool as (select query_id, vec_id from hd qualify row_number() over (partition by query_id order by score desc, vec_id) <= 200),
 al(strategy, query_id, vec_id, score, threshold, ratio, top_k, fallback, inclusive) as (select 'S1_current', *, 0.19, 0.75, 10, 0, true from mx union all select 'S2_loose', *, 0.15, 0.55, 50, 10, false from mx
   union all select 'S3_ensemble', *, 0.15, 0.55, 50, 10, false from en union all select 'S4_twostage', en.*, 0.15, 0.55, 50, 10, false from en join pool using (query_id, vec_id)),
@@ -332,8 +371,9 @@ b as (select *, max(score) over (partition by strategy, query_id) as best from a
 n as (select *, case when inclusive then score >= threshold else score > threshold end as passes, row_number() over w as rank from b where score >= best * ratio window w as (partition by strategy, query_id order by score desc, vec_id)),
 f as (select *, bool_or(passes) over (partition by strategy, query_id) as any_passes from n)
 select strategy, query_id, vec_id, round(score, 6) as score, rank from f where case when any_passes then passes and rank <= top_k else rank <= fallback end""",
-    "prompt_ensemble_mean": """with u as (select i, avg(x::double) as x from (select unnest(embedding) as x, generate_subscripts(embedding, 1) as i from embeddings where vec_id < 4) group by i),
-m as (select list(x order by i) as v from u), n as (select list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as v from m),
-s as (select vec_id, list_dot_product(e.embedding::double[], n.v) as score from embeddings e, n where vec_id >= 4), r as (select *, row_number() over (order by score desc, vec_id) as rank from s)
-select cast(0 as bigint) as query_id, vec_id, round(score, 6) as score, rank from r where rank <= 25""",
+    "prompt_ensemble_mean": f"""with u as (select query_id, i, avg(x::double) as x from (select vec_id - vec_id % {EVERY} as query_id, unnest(embedding) as x, generate_subscripts(embedding, 1) as i from embeddings where vec_id % {EVERY} < 4) group by all),
+m as (select query_id, list(x order by i) as v from u group by query_id), n as (select query_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as v from m),
+s as (select query_id, vec_id, list_dot_product(e.embedding::double[], n.v) as score from embeddings e join n on vec_id <> query_id), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, vec_id, round(score, 6) as score, rank from r where rank <= 25""",
+    "noise_flag": f"with {SCORED} select query_id, id as vec_id, score < 0.18 as is_noise from s",
 }

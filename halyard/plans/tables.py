@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,3 +40,11 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def messy(c: str = "text") -> str:
     """SQL for a text with the troubles of typed queries, by id."""
     return f"case id % 5 when 0 then concat('  ', upper({c}), chr(9), ' ') when 1 then concat(chr(10), replace({c}, ' ', '   ')) when 2 then concat('a photo of ', {c}) when 3 then concat(' ', chr(9)) else {c} end"
+
+
+def shared(spark: SparkSession, name: str) -> str:
+    """A new folder where the session's shared one is; a temporary one where all runs in one process."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{top or tempfile.gettempdir() + '/halyard-checkpoints'}/halyard-{name}-{uuid.uuid4().hex}"

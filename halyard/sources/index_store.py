@@ -24,6 +24,11 @@ SCHEMA = T.StructType([T.StructField("uri", T.StringType()), T.StructField("embe
 MARKER = T.StructType([T.StructField("name", T.StringType()), T.StructField("seq", T.LongType())])
 
 
+def absent(error: AnalysisException) -> bool:
+    """Whether a table isn't there yet; anything else that is wrong with it is no empty table."""
+    return error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 class IndexStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -31,7 +36,9 @@ class IndexStore:
     def _markers(self) -> DataFrame:
         try:
             return self.spark.read.schema(MARKER).parquet(f"{self.path}/current")
-        except AnalysisException:  # no version yet
+        except AnalysisException as e:
+            if not absent(e):
+                raise
             return self.spark.createDataFrame([], MARKER)
 
     def current(self) -> tuple[str, int] | None:
@@ -58,13 +65,21 @@ class IndexStore:
     def pending(self) -> DataFrame:
         try:
             return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/pending")
-        except AnalysisException:
+        except AnalysisException as e:
+            if not absent(e):
+                raise
             return self.spark.createDataFrame([], SCHEMA)
 
     def snapshot(self) -> DataFrame:
         """The current version with all checkpoints."""
         return upsert(self.load(), self.pending())
 
+    def replace(self, rows: DataFrame) -> None:
+        """A version of just these rows; what checkpoints have appended up to now counts no longer."""
+        self.save(rows)
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/pending")
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
     def compact(self) -> None:
         """A version that holds what checkpoints appended; reading them again later changes nothing."""
         self.save(self.snapshot())
@@ -105,6 +120,27 @@ def format_file(rows: list[tuple[str, list[float]]]) -> bytes:
     return b"".join(parts)
 
 
+def put_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """A file, through the file system that Spark has for the path."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    out.write(content)
+    out.close()
+
+
+def write_files(rows: DataFrame, folder: str) -> None:
+    """Single-file indexes of rows(file, uri, embedding), one for each `file`.  A file is one record here and passes the
+    driver, one after the other: the format is for a device's index, and large ones belong in an IndexStore."""
+
+    def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("uri")
+        return pd.DataFrame([(str(key[0]), format_file(list(zip(frame["uri"], frame["embedding"], strict=True))))], columns=["file", "content"])
+
+    packed = rows.groupBy("file").applyInPandas(pack, "file string, content binary")
+    for r in packed.toLocalIterator():
+        put_bytes(rows.sparkSession, f"{folder}/{r['file']}.bin", bytes(r["content"]))
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, uri, embedding) of single-file indexes; a damaged file gives one row with a null uri, so it can be seen
     and re-indexed.  Nothing is deleted."""

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from halyard.sources.index_store import absent
+
 SCHEMA = T.StructType([
     T.StructField("at", T.TimestampType()),
     T.StructField("selected_albums", T.ArrayType(T.StringType())),
@@ -34,7 +36,9 @@ class State:
     def read(self) -> DataFrame:
         try:
             rows = self.spark.read.schema(SCHEMA).parquet(self.path)
-        except AnalysisException:
+        except AnalysisException as e:
+            if not absent(e):
+                raise
             rows = self.spark.createDataFrame([], SCHEMA)
         return with_defaults(rows)
 

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from halyard.functions.encode import Encoder, encode_batches
-from halyard.operators.index import unindexed
+from halyard.operators.index import cached, edited, unindexed
 from halyard.sources.index_store import IndexStore
 
 CATALOG = T.StructType([T.StructField("uri", T.StringType()), T.StructField("item", T.StringType()), T.StructField("date_added", T.TimestampType())])
@@ -52,3 +52,22 @@ def restart(catalog: DataFrame, *args: object, name: str = "index", **options: o
             q.stop()
             q.awaitTermination()
     return start(catalog, *args, name=name, **options)
+
+
+def reconcile(store: IndexStore, alive: DataFrame, stamps: DataFrame | None = None) -> None:
+    """What a periodic run does beside indexing: vectors of items that are gone leave the index, and with stamps(uri,
+    modified, indexed) those of items that were edited since, so that they are encoded anew when they come by again."""
+    kept = cached(store.snapshot(), alive.select("uri").distinct())
+    if stamps is not None:
+        old = stamps.select("uri", F.col("indexed").alias("modified"))
+        kept = unindexed(kept, edited(old, stamps.select("uri", "modified")))
+    store.replace(kept)
+
+
+def cancel(spark: SparkSession, name: str = "index") -> bool:
+    """Stops the running query of the name after its current batch's jobs are cancelled; whether there was one."""
+    running = [q for q in spark.streams.active if q.name == name]
+    for q in running:
+        spark.sparkContext.cancelJobGroup(str(q.runId))
+        q.stop()
+    return bool(running)
