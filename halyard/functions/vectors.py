@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -34,10 +36,14 @@ def norm(v: Column | str) -> Column:
     return F.sqrt(total(F.transform(doubles(v), lambda x: x * x)))
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once a row; named plainly, it would be computed for each element of a lambda."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def l2_normalize(v: Column | str) -> Column:
     """v at length one; a vector shorter than TINY stays as it is."""
-    n = norm(v)
-    return F.when(n < TINY, doubles(v)).otherwise(F.transform(doubles(v), lambda x: x / n))
+    return once(doubles(v), lambda d: once(norm(d), lambda n: F.when(n < TINY, d).otherwise(F.transform(d, lambda x: x / n))))
 
 
 def cosine(a: Column | str, b: Column | str, epsilon: float = TINY) -> Column:
@@ -67,11 +73,11 @@ def quantize_scale(v: Column | str) -> Column:
 
 
 def quantize(v: Column | str, scale: Column) -> Column:
-    return F.transform(doubles(v), lambda x: F.greatest(F.lit(-128), F.least(F.lit(127), F.bround(x / scale).cast("int"))).cast("tinyint"))
+    return once(scale, lambda s: F.transform(doubles(v), lambda x: F.greatest(F.lit(-128), F.least(F.lit(127), F.bround(x / s).cast("int"))).cast("tinyint")))
 
 
 def dequantize(q: Column | str, scale: Column) -> Column:
-    return F.transform(F.col(q) if isinstance(q, str) else q, lambda x: x.cast("double") * scale)
+    return once(scale, lambda s: F.transform(F.col(q) if isinstance(q, str) else q, lambda x: x.cast("double") * s))
 
 
 def mean_vector(vectors: list[Column]) -> Column:

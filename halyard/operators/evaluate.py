@@ -92,15 +92,20 @@ def diagonal(table: DataFrame) -> DataFrame:
 GRID = 1e-6
 
 
+def on_grid(value: Column, width: float) -> Column:
+    """The nearest place of the grid, divided rather than multiplied, so that decimals stay what they are."""
+    return F.round(value / width) / F.lit(float(round(1 / width)))
+
+
 def binned(scores: DataFrame, width: float = GRID, column: str = "score") -> DataFrame:
-    """The column's values on a grid."""
-    return scores.withColumn(column, F.round(F.col(column) / width) * width)
+    """The column's values on a grid of one part in a whole number."""
+    return scores.withColumn(column, on_grid(F.col(column), width))
 
 
 def distribution(scores: DataFrame, by: str = "relevant", quantiles: Iterable[float] = (0.1, 0.25, 0.5, 0.75, 0.95), width: float = GRID) -> DataFrame:
     """Count, mean, deviation and quantiles; the latter of one buffer of counts, which the grid bounds."""
     quantiles = list(quantiles)
-    rows = scores.withColumn("_at", F.round(F.col("score") / width) * width)
+    rows = scores.withColumn("_at", on_grid(F.col("score"), width))
     out = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean"), F.stddev("score").alias("std"), F.percentile("_at", F.array(*[F.lit(x) for x in quantiles])).alias("_q"))
     return out.select(by, "n", "mean", "std", *[F.col("_q")[i].alias(f"p{round(100 * x)}") for i, x in enumerate(quantiles)])
 
@@ -139,7 +144,7 @@ def cut_at_tpr(scores: DataFrame, target: float, width: float = GRID) -> DataFra
 def best_ratios(ranks: DataFrame, first: int = 20, width: float = GRID) -> DataFrame:
     """score / best over the first ranks of each query, by relevance; the median on the grid."""
     rows = ranks.filter(F.col("rank") <= first).withColumn("r", F.col("score") / F.max("score").over(Window.partitionBy("query_id")))
-    at = F.round(F.col("r") / width) * width
+    at = on_grid(F.col("r"), width)
     return rows.groupBy("relevant").agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("mean_ratio"), F.percentile(at, F.lit(0.5)).alias("median_ratio"))
 
 
@@ -210,7 +215,7 @@ def needs_ann(events: DataFrame, cohort: int, *, rows_over: int = 30_000, p95_ov
     percentile, which is taken on a grid, of milliseconds as a rule."""
     end = events.agg(F.max(ts).alias("end"))
     recent = events.join(F.broadcast(end)).filter(F.col(ts) > F.col("end") - F.expr(f"INTERVAL {days} DAYS"))  # one row
-    at = F.round(F.col(value) / width) * width
+    at = on_grid(F.col(value), width)
     return recent.agg(F.percentile(at, F.lit(0.95)).alias("p95")).select("p95", (F.lit(cohort > rows_over) & (F.col("p95") > p95_over)).alias("migrate"))
 
 

@@ -410,6 +410,6 @@ select p_partkey, string_agg(pair, ',' order by i) as pairs from q group by p_pa
 s as (select *, sum(new) over (partition by event_type order by ts, event_id) as burst from l) select event_type, count(*) as n, epoch_us(max(ts)) as last_us from s group by event_type, burst""",
     "latency_p95": """with r as (select event_id, event_type, list(value) over (partition by event_type order by ts, event_id rows between 49 preceding and current row) as v from events)
 select event_id, event_type, round(list_aggregate(v, 'quantile_cont', 0.5), 6) as p50, round(list_aggregate(v, 'quantile_cont', 0.95), 6) as p95 from r""",
-    "ann_trigger": "select round(quantile_cont(round(value / 1e-3) * 1e-3, 0.95), 6) as p95, quantile_cont(round(value / 1e-3) * 1e-3, 0.95) > 20.0 as migrate from events where ts > (select max(ts) from events) - interval 7 days",
+    "ann_trigger": "select round(quantile_cont(round(value / 1e-3) / 1e3, 0.95), 6) as p95, quantile_cont(round(value / 1e-3) / 1e3, 0.95) > 20.0 as migrate from events where ts > (select max(ts) from events) - interval 7 days",
     "adaptive_batch": "select event_id, cast(case when event_id % 5 >= 3 then 2 when event_id % 100 < 20 and user_id % 2 <> 0 then 4 when user_id % 2 = 0 then 32 else 16 end as bigint) as batch from events",
 }

@@ -270,7 +270,7 @@ m as (select *, case when precision + recall = 0 then 0.0 else 2 * precision * r
 OVERLAP = f"""p as (select vec_id as a, vec_id - vec_id % 100 as b from embeddings where vec_id % {EVERY} = 0 and vec_id % 100 <> 0),
 o as (select a, b, (select count(*) from r where query_id = a) as n_a, (select count(*) from r where query_id = b) as n_b,
   (select count(*) from r x join r y on x.id = y.id where x.query_id = a and y.query_id = b) as common from p)"""
-STEPS = """b as (select round(score / 1e-6) * 1e-6 as score, relevant from s),
+STEPS = """b as (select round(score / 1e-6) / 1e6 as score, relevant from s),
 st as (select score, count(*) filter (where relevant) as pos, count(*) filter (where not relevant) as neg from b group by score),
 cu as (select *, sum(pos) over w as tp, sum(neg) over w as fp, sum(pos) over () as p, sum(neg) over () as n from st window w as (order by score desc rows unbounded preceding))"""
 
@@ -328,12 +328,12 @@ select round(avg(case when expected = predicted then 1.0 else 0.0 end), 6) as ac
     "containment": f"with {SCORED}, {cut_sql(0.05, 0.1)}, {OVERLAP} select a as specific, b as head, round(case when n_a = 0 then 0.0 else common::double / n_a end, 6) as containment from o",
     "plural_overlap": f"with {SCORED}, {cut_sql(0.05, 0.1)}, {OVERLAP} select a, b, round(case when least(n_a, n_b) = 0 then 0.0 else common::double / least(n_a, n_b) end, 6) as overlap from o",
     "distractor_fp": f"with {SCORED}, {cut_sql(0.28, 0.75)} select count(distinct query_id) as distractor_fp from r where query_id % 100 = {OFF}",
-    "score_distribution": f"with {SCORED} select relevant, count(*) as n, round(avg(score), 6) as mean, round(stddev_samp(score), 6) as std, {', '.join(f'round(quantile_cont(round(score / 1e-6) * 1e-6, {q}), 6) as p{round(100 * q)}' for q in (0.1, 0.25, 0.5, 0.75, 0.95))} from s group by relevant",
+    "score_distribution": f"with {SCORED} select relevant, count(*) as n, round(avg(score), 6) as mean, round(stddev_samp(score), 6) as std, {', '.join(f'round(quantile_cont(round(score / 1e-6) / 1e6, {q}), 6) as p{round(100 * q)}' for q in (0.1, 0.25, 0.5, 0.75, 0.95))} from s group by relevant",
     "roc_auc": f"with {SCORED}, {STEPS} select round(sum(pos * neg * 0.5 + neg * (tp - pos)) / (max(p) * max(n)), 6) as auc from cu",
     "youden_cut": f"with {SCORED}, {STEPS} select round(score, 6) as score, round(tp / p, 6) as tpr, round(fp / n, 6) as fpr, round(tp / p - fp / n, 6) as j from cu order by round(tp / p - fp / n, 12) desc, cu.score desc limit 1",
     "threshold_at_tpr": f"with {SCORED}, {STEPS} select round(score, 6) as score, round(tp / p, 6) as tpr, round(fp / n, 6) as fpr from cu where tp / p >= 0.9 order by cu.score desc limit 1",
     "score_ratio": f"""with {SCORED}, r as (select *, row_number() over (partition by query_id order by score desc, id) as rank, score / max(score) over (partition by query_id) as x from s)
-select relevant, count(*) as n, round(avg(x), 6) as mean_ratio, round(median(round(x / 1e-6) * 1e-6), 6) as median_ratio from r where rank <= 20 group by relevant""",
+select relevant, count(*) as n, round(avg(x), 6) as mean_ratio, round(median(round(x / 1e-6) / 1e6), 6) as median_ratio from r where rank <= 20 group by relevant""",
     "knob_sweep": f"with {SCORED}, {sweep_sql(GRID)} select cast(config as bigint) as config, round(avg(f1), 6) as mean_f1, round(avg(precision), 6) as mean_precision, round(avg(recall), 6) as mean_recall, round(avg(returned), 6) as mean_returned from m group by config",
     "sweep_objective": f"""with {SCORED}, {sweep_sql(SMALL_GRID)}, i as (select config, avg(f1) as f1 from m where query_id % 100 <> {OFF} group by config),
 z as (select config, count(distinct query_id) as fp from r where query_id % 100 = {OFF} group by config),

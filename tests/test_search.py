@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from halyard.config import Knobs
@@ -109,3 +110,62 @@ def test_auc_with_ties(spark):
     assert E.roc_auc(df).first()["auc"] == 0.875
     assert E.youden(df).first()["score"] == 0.9
     assert E.cut_at_tpr(df, 0.9).first()["score"] == 0.5
+
+
+def unit_rows(rng, n, dim):
+    v = rng.normal(size=(n, dim))
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("knobs", [Knobs(), Knobs(0.2, 0.9, 2, 3), Knobs(0.3, 0.5, None, 2, False), Knobs(-0.5, 0.0, 5), Knobs(2.0, 0.75, None, 4), Knobs(-2.0, 0.5, 3, 3)])
+def test_pruned_search_is_the_whole_one(spark, knobs):
+    """Batches of a few rows, so that each prunes by its own best."""
+    rng = np.random.default_rng(3)
+    v = unit_rows(rng, 90, 5)
+    v[40:50] = v[30:40]  # ties
+    v[0:3] = -np.abs(v[0:3])
+    i, q = index(spark, [(k, x.tolist()) for k, x in enumerate(v)]).repartition(3), queries(spark, [(k, v[k].tolist()) for k in (0, 5, 31, 44)] + [(5, v[7].tolist()), (200, np.abs(v[9]).tolist())])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    key = lambda df: sorted((r["query_id"], r["vec_id"], r["rank"], round(r["best"], 9)) for r in df.collect())
+    try:
+        for itself in (False, True):
+            assert key(S.search(i, q, knobs, exclude_self=itself)) == key(S.cut(S.score(i, q, exclude_self=itself), knobs))
+        first = lambda df: sorted((r["query_id"], r["vec_id"], r["rank"]) for r in df.collect())
+        assert first(S.nearest(i, q, 6)) == first(S.top_k(S.score(i, q), 6))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+
+
+def test_two_stages_score_candidates_only(spark):
+    rng = np.random.default_rng(5)
+    i = index(spark, [(k, x.tolist()) for k, x in enumerate(unit_rows(rng, 80, 6))])
+    q = queries(spark, [(k, x.tolist()) for k in (0, 1, 2) for x in unit_rows(rng, 2, 6)])
+    heads = queries(spark, [(0, unit_rows(rng, 1, 6)[0].tolist()), (2, unit_rows(rng, 1, 6)[0].tolist())])
+    knobs = Knobs(0.1, 0.3, 8, 2)
+    pool = S.top_k(S.score(i, heads.unionByName(q.filter("query_id = 1"))), 12).select("query_id", "vec_id")
+    want = S.cut(S.score(i, q).join(pool, ["query_id", "vec_id"], "left_semi"), knobs)
+    key = lambda df: sorted((r["query_id"], r["vec_id"], r["rank"], round(r["score"], 9)) for r in df.collect())
+    assert key(S.two_stage(i, heads, q, knobs, candidates=12)) == key(want)
+
+
+def test_equal_vectors_link_to_the_first(spark):
+    v = unit_rows(np.random.default_rng(1), 2, 4)
+    rows = [(k, v[0].tolist()) for k in range(50)] + [(60, (v[0] * 0.999 + v[1] * 0.01).tolist()), (61, v[1].tolist())]
+    got = {(r["a"], r["b"]) for r in S.near_duplicates(index(spark, rows), 0.97).collect()}
+    assert got == {(0, k) for k in range(1, 50)} | {(0, 60)}
+
+
+def test_bands_of_planes_reach_their_recall_and_prune(spark):
+    """512 dimensions, where cells of coordinates would be all pairs."""
+    rng = np.random.default_rng(2)
+    v = unit_rows(rng, 3000, 512)
+    near = v[:1500] + rng.normal(size=(1500, 512)) * (0.245 / 512**0.5) * rng.uniform(0.2, 1, (1500, 1))
+    near /= np.linalg.norm(near, axis=1, keepdims=True)
+    i = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(np.concatenate([v, near]))], "vec_id long, embedding array<double>")
+    scores = np.einsum("ij,ij->i", v[:1500], near)
+    want = {(k, 3000 + k) for k in np.flatnonzero(scores >= 0.97).tolist()}
+    got = {(r["a"], r["b"]) for r in S.near_duplicates(i, 0.97, recall=0.95).collect()}
+    assert got <= want and len(got) >= 0.95 * len(want) and len(want) > 1000
+    planes, bands = S.band_plan(10**9, 0.97, 0.95)
+    assert planes == 20 and bands < 20  # a billion rows: 20 groups of a thousand each to look at
+    assert S.band_plan(4500, 0.97, 0.95)[0] == 3
