@@ -12,7 +12,8 @@ is told apart better with them.  The whole text is scored.
 The sample is bounded: at most `sample` labelled ids, those of least hash, none of them held out, and of those at most
 `sample_bytes` of text.  Everything else runs over all rows.  Rows of null id or null label teach nothing; an id with
 several labels is toxic if one says so, one with several texts teaches the least; null and wordless texts get the score
-of no term; with no label, or only one class, every text gets the smoothed base rate; repeated rows are scored each; an
+of no term; with only one class every text gets the smoothed base rate,
+without labels a third, so nothing is rejected; repeated rows are scored each; an
 empty table gives an empty result; other columns pass through unread, but the score takes the place of one of its name.
 """
 
@@ -320,7 +321,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     sizes = sizes[: int(np.searchsorted(size, sample_bytes, "right"))]
     yes = sum(r["toxic"] for r in sizes)
     if not 0 < yes < len(sizes):
-        return Model(np.zeros(0, np.uint64), float(np.log((yes + 1) / (len(sizes) - yes + 1))), np.zeros(0), np.zeros((0, FACTORS)))
+        return Model(np.zeros(0, np.uint64), float(np.log((yes + 1) / (len(sizes) - yes + 2))), np.zeros(0), np.zeros((0, FACTORS)))  # without labels below a half
     used = texts.filter(F.col("h") <= sizes[-1]["h"]).orderBy("h", "toxic").select("text", "toxic")
     held = used.mapInArrow(term_kernel, "toxic int, terms array<long>").toArrow()  # a term for each byte at most
     lists = held.column("terms").combine_chunks()
