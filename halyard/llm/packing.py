@@ -266,33 +266,59 @@ def kernel(name: str, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
 Plan = list[tuple[tuple[int, ...], int]]  # lengths of a sequence's pieces, and how many such sequences
 
 
-def exact_fill(have: np.ndarray, gap: int) -> tuple[int, ...] | None:
-    """A single, pair or triple of available lengths that sums to gap."""
-    if gap <= 0:
-        return None
-    if have[gap]:
-        return (gap,)
-
-    def pair(total: int, most: int, held: tuple[int, ...] = ()) -> tuple[int, ...] | None:
-        lo, hi = (total + 1) // 2, min(total - 1, most)
-        if hi < lo:
+class Sums:
+    """What fills a gap exactly, by hashing sums: the index has the gap's single, its pair and its triple of lengths, each
+    found when it is first asked for and checked against the counts when used.  Counts only fall, so a sum that nothing
+    makes is settled for good."""
+
+    def __init__(self, have: np.ndarray):
+        self.have = have
+        self.pairs: dict[int, tuple[int, ...] | None] = {}
+        self.triples: dict[int, tuple[int, ...] | None] = {}
+
+    def free(self, parts: tuple[int, ...]) -> bool:
+        return all(self.have[p] >= parts.count(p) for p in parts)
+
+    def search(self, total: int, but: tuple[int, ...] = ()) -> tuple[int, ...] | None:
+        """Two lengths of that sum beside `but`, the most even ones: short pieces fill later gaps."""
+        if total < 2:
             return None
-        left = have[: total].copy() if held else have
-        for h in held:
-            if h < len(left):
-                left[h] -= 1
-        a = np.arange(lo, hi + 1)  # the most even pair first: short pieces fill later gaps
+        left = self.have[:total]
+        if but:
+            left = left.copy()
+            for p in but:
+                if p < total:
+                    left[p] -= 1
+        a = np.arange((total + 1) // 2, total)
         fits = (left[a] > 0) & (left[total - a] > (2 * a == total))
         return (int(a[k]), total - int(a[k])) if fits[k := int(np.argmax(fits))] else None
 
-    if two := pair(gap, gap - 1):
-        return two
-    for a in np.flatnonzero(have[: gap - 1])[::-1].tolist():
-        if 3 * a < gap:
-            break
-        if two := pair(gap - a, a, (a,)):
-            return (a, *two)
-    return None
+    def pair(self, total: int, but: tuple[int, ...] = ()) -> tuple[int, ...] | None:
+        found = self.pairs.get(total, ())
+        if found is not None and not (found and self.free(found)):
+            found = self.pairs[total] = self.search(total)
+        if found is None or not but or self.free((*found, *but)):
+            return found
+        return self.search(total, but)
+
+    def triple(self, total: int) -> tuple[int, ...] | None:
+        found = self.triples.get(total, ())
+        if found is None or (found and self.free(found)):
+            return found
+        found = None
+        for a in np.flatnonzero(self.have[: max(0, total - 1)])[::-1].tolist():
+            if 3 * a < total:
+                break
+            if two := self.pair(total - a, (a,)):
+                found = (a, *two)
+                break
+        self.triples[total] = found
+        return found
+
+    def fill(self, gap: int) -> tuple[int, ...] | None:
+        if gap <= 0:
+            return None
+        return (gap,) if self.have[gap] else self.pair(gap) or self.triple(gap)
 
 
 def pack(histogram: dict[int, int], size: int = SIZE) -> Plan:
@@ -304,10 +330,11 @@ def pack(histogram: dict[int, int], size: int = SIZE) -> Plan:
     if have[size]:
         plan.append(((size,), int(have[size])))
         have[size] = 0
-    for length in range(size - 1, 0, -1):
+    sums = Sums(have)
+    for length in range(size - 1, 0, -1):  # what is left of a longer one is in no exact sum any more
         while have[length]:
             have[length] -= 1
-            fill = exact_fill(have, size - length)
+            fill = sums.fill(size - length)
             have[length] += 1
             if fill is None:
                 break
