@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import os
 import pickle
+import random
 import shutil
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
@@ -111,7 +112,8 @@ def grace(rows: Iterable[Entry], room: int = TABLE_BYTES, level: int = 0) -> Ite
     else:
         yield from grown.entries()
         return
-    folder = tempfile.mkdtemp(prefix="grace-")
+    local = [d for d in os.environ.get("SPARK_LOCAL_DIRS", "").split(",") if os.path.isdir(d)]  # the executor's disks
+    folder = tempfile.mkdtemp(prefix="grace-", dir=random.choice(local) if local else None)
     try:
         def rest() -> Iterator[Entry]:
             yield from grown.entries()
