@@ -263,6 +263,47 @@ def test_pipeline(spark, tmp_path):
     assert again == {(r["doc_id"], r["piece"]) for r in spark.read.parquet(str(tmp_path / "stage4")).collect()}
 
 
+@pytest.mark.parametrize("rows", [0, 3])
+def test_pipeline_on_little(spark, tmp_path, rows):
+    """No documents, or few with nothing in them; no labels, no benchmark."""
+    import corpus_pipeline
+
+    some = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "only words", None, "s", 10)][:rows]
+    spark.createDataFrame(some, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["length"]) for r in out if r["doc_id"] is not None) == ([(1, 1)] if rows else [])  # 1 and 2 are both without words
+    assert len(out) == (2 if rows else 0)
+
+
+def test_pipeline_leaves_no_tables_of_its_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    from halyard.llm import common
+
+    spark.createDataFrame([(i, f"text {i} of {i * i}", "en", "s", 9) for i in range(30)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, i % 2) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "nowhere")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    before = list(common.WRITTEN)
+    corpus_pipeline.run(spark, str(tmp_path)).collect()
+    left = [p.rsplit("/", 1)[-1].split("-")[1] for p in common.WRITTEN if p not in before]
+    assert sorted(left) == ["decontamination", "pieces"]  # what the result is read from
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from halyard.llm import common
+
+    session = lambda master, folder: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: folder), sparkContext=SimpleNamespace(master=master))
+    assert common.shared_dir(session("yarn", "hdfs:///x")) == "hdfs:///x"
+    assert common.shared_dir(session("local[4]", None))
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            common.shared_dir(session(master, None))
+
+
 def test_every_operator_is_registered():
     for n in range(1, 11):
         assert sum(q.startswith(f"op{n}_") for q in queries.QUERIES) == 1

@@ -567,3 +567,85 @@ def test_sharding_spreads_and_moves_little(spark):
     assert 600 < sum(r["moved"] for r in out) < 1000
     heavy = sharding.shard_rows(ids, 24, weights={3: 3.0}).filter("shard = 3").count()
     assert 1900 < heavy < 2700
+
+
+CLASH = "doc_id long, text string, keep_id int, group_size int, kept int, text_sha256 int, n_words int, labels int, size int, shard int, slot int, bucket int, fingerprint int, component_id int, piece int, length int, spans int, n int, part int, fp int, sha int, key int"
+
+
+def hot_and_long():
+    """A third of all rows one row, another third copies of a text, a text of a MB, and names of columns that operators use."""
+    long = " ".join(f"w{i % 977}{i % 13}" for i in range(180_000))
+    out = [(7, "Hot row under the mit license")] * 60 + [(100 + i, "Copied text of some words, all the same") for i in range(60)]
+    return out + [(1, long), (2, None), (None, None), (None, ""), (3, "a"), (4, "A")] + [(1000 + i, f"text number {i} of its own {i * i}") for i in range(50)]
+
+
+@pytest.fixture(scope="module")
+def skewed(spark):
+    return spark.createDataFrame([(d, t, *range(20)) for d, t in hot_and_long()], CLASH).repartition(5)
+
+
+def test_exact_dedup_of_hot_and_long(skewed, many_tasks):
+    out = exact_dedup.exact_dedup(skewed, room=100_000).collect()
+    groups: dict = {}
+    for d, t in hot_and_long():
+        groups.setdefault((t or "").translate(brute.LOWER), []).append(d)
+    want = Counter((d, max((x for x in ids if x is not None), default=None), len(ids), brute.sha(t)) for t, ids in groups.items() for d in ids)
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in out) == want
+    assert Counter(r["text_sha256"] for r in out if r["kept"]) == Counter(brute.sha(t) for t in groups)
+
+
+def test_packing_of_hot_and_long(skewed, many_tasks):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    out = packing.pack_documents(skewed).collect()
+    total = Counter()
+    for d, t in hot_and_long():
+        total[d] += len(whole.encode(t or "", add_special_tokens=False).ids) + 1
+    got = Counter()
+    for r in out:
+        got[r["doc_id"]] += r["length"]
+    assert got == total
+    bins: dict = {}
+    for r in out:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in bins.values():
+        ends = [0]
+        for offset, length in sorted(parts):
+            assert offset == ends[-1]
+            ends.append(offset + length)
+        assert ends[-1] <= 2048
+    assert len(bins) <= -(-sum(total.values()) // 2048) + 1
+
+
+def test_simhash_of_hot_and_long(skewed, many_tasks):
+    assert rows(simhash.near_duplicates(skewed)) == sorted(brute.simhash(hot_and_long()), key=repr)
+
+
+def test_licenses_of_hot_and_long(skewed, many_tasks):
+    got = licenses.license_scan(skewed)
+    assert rows(got, "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels") == sorted(brute.licenses(hot_and_long(), licenses.BASE), key=repr)
+
+
+def test_sharding_of_hot_and_long(skewed, many_tasks):
+    out = sharding.shard_rows(skewed, 24).collect()
+    assert Counter((r["doc_id"], r["size"]) for r in out) == Counter((d, len((t or "").encode()) + 8) for d, t in hot_and_long())
+    slots: dict = {}
+    for r in out:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_exact_sums_fill_gaps():
+    """The index gives what trying all singles, pairs and triples gives, as counts fall."""
+    rng = random.Random(3)
+    have = np.array([0, *(rng.choice([0, 0, 1, 2]) for _ in range(29))])
+    sums = packing.Sums(have)
+    while have.any():
+        kinds = [k for k in range(1, 30) for _ in range(have[k])]
+        reach = set(kinds) | {a + b for i, a in enumerate(kinds) for b in kinds[:i]} | {a + b + c for i, a in enumerate(kinds) for j, b in enumerate(kinds[:i]) for c in kinds[:j]}
+        for gap in range(29):
+            found = sums.fill(gap)
+            assert (found is not None) == (gap in reach) and (found is None or (sum(found) == gap and sums.free(found)))
+        have[rng.choice(kinds)] -= 1
