@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -286,6 +288,42 @@ def find_images(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.substring_index("path", "/", -1).alias("name"), "length")
 
 
+def file_contents(spark: SparkSession, d: str) -> DataFrame:
+    """Whole files, as bytes and as text."""
+    folder = shared(spark, "files")
+    for name, content in (("one.txt", "first\nsecond\n"), ("two.txt", "é")):
+        put_bytes(spark, f"{folder}/{name}", content.encode())
+    raw = files.read_bytes(spark, folder).select(F.substring_index("path", "/", -1).alias("name"), F.octet_length("content").cast("long").alias("n"))
+    text = files.read_text(spark, f"{folder}/one.txt").select(F.lit("as text").alias("name"), F.length("value").cast("long").alias("n"))
+    return raw.unionByName(text)
+
+
+def bitmap(width: int, height: int, rgb: tuple[int, int, int]) -> bytes:
+    """An uncompressed image file of one colour, its first pixel black: a header, rows from the bottom up, blue first."""
+    line = bytes(rgb[::-1]) * width
+    rows = [line + bytes(-len(line) % 4) for _ in range(height)]
+    rows[-1] = bytes(3) + rows[-1][3:]
+    body = b"".join(rows)
+    return b"BM" + struct.pack("<IHHI", 54 + len(body), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, width, height, 1, 24, 0, len(body), 2835, 2835, 0, 0) + body
+
+
+def image_decode(spark: SparkSession, d: str) -> DataFrame:
+    """Image files as pixels, the longer edge at most 512; a damaged one gives none."""
+    folder = shared(spark, "pictures")
+    for name, content in (("small.bmp", bitmap(5, 3, (200, 10, 30))), ("wide.bmp", bitmap(1024, 16, (9, 8, 7))), ("damaged.png", b"no image")):
+        put_bytes(spark, f"{folder}/{name}", content)
+    rows = I.read_images(spark, folder)
+    byte = lambda i: F.hex(F.substring("rgb", i, 3))
+    return rows.select(F.substring_index("path", "/", -1).alias("name"), "width", "height", F.octet_length("rgb").alias("bytes"), F.when(F.col("width") < 9, byte(1)).alias("first"), byte(-3).alias("last"))
+
+
+def calibration_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Inputs that could be made of images, every ninth of which has too few bytes."""
+    pixels = F.unhex(F.repeat(F.lit("0a141e"), F.when(F.col("vec_id") % 9 == 8, 7).otherwise(9 * 8)))
+    rows = vectors(spark, d).select("vec_id", I.preprocess(target=8)(pixels, F.lit(9), F.lit(8)).alias("input"))
+    return files.not_null(rows, "input").select("vec_id", F.size("input").cast("long").alias("n"))
+
+
 def state_defaults(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("at"), F.when(F.col("event_type") == "view", F.array("event_type", F.col("user_id").cast("string"))).alias("selected_albums"), F.when(F.col("event_type") == "click", F.col("event_id")).alias("last_indexed_ms"), F.lit(None).cast("int").alias("threads"))
     s = state.with_defaults(e)
@@ -337,7 +375,7 @@ def adaptive_batch(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (full_scan, album_scan, incremental_scan, album_rollup, album_selection, selection_summary, chunks_of_four, list_diff, unique_names, unique_names_mixed, scan_backfill, index_file, model_graph, find_images, unindexed_images, cached_index, deletion_reconcile, index_upsert, edit_detection, record_bounds, vocab_lookup, l2_normalize, embedding_validity, cosines, quantize_int8, channel_scales, model_agreement, op_histogram, op_report, quantization_targets, provider_selection, thread_argmin, image_geometry, job_progress, stage_timers, flatten_output, split_batches, adjacent_pairs, json_config, tokenizer_file, image_listing, state_defaults, work_queue, queue_failures, orphan_reclaim, debounce, latency_p95, ann_trigger, adaptive_batch)
+    for f in (full_scan, album_scan, incremental_scan, album_rollup, album_selection, selection_summary, chunks_of_four, list_diff, unique_names, unique_names_mixed, scan_backfill, index_file, model_graph, find_images, file_contents, image_decode, calibration_rows, unindexed_images, cached_index, deletion_reconcile, index_upsert, edit_detection, record_bounds, vocab_lookup, l2_normalize, embedding_validity, cosines, quantize_int8, channel_scales, model_agreement, op_histogram, op_report, quantization_targets, provider_selection, thread_argmin, image_geometry, job_progress, stage_timers, flatten_output, split_batches, adjacent_pairs, json_config, tokenizer_file, image_listing, state_defaults, work_queue, queue_failures, orphan_reclaim, debounce, latency_p95, ann_trigger, adaptive_batch)
 }
 
 WORK = """w as (select o_orderkey as media_id, left(o_orderpriority, 1)::int as priority, case o_orderstatus when 'P' then 'PROCESSING' else 'PENDING' end as status, o_orderdate as created, (o_custkey % 5)::int as retries from orders)"""
@@ -371,6 +409,9 @@ u as (select * from o union all select * from f) select 'item/' || vec_id as uri
     "scan_backfill": f"with {CATALOG} select 'within' as mark, id from c where bucket_id in ('view', 'error') and epoch_us(date_added) // 1000000 > {MARK_MS} // 1000 union all select 'behind', id from c where bucket_id in ('view', 'error')",
     "index_file": "select 'item/' || vec_id as uri, len(embedding) as n, round(list_sum(embedding::double[]), 5) as total from embeddings union all select null, null, null",
     "model_graph": "select p_name || '/' || p_partkey as node, ['Conv', 'MatMul', 'Gemm', 'Softmax', 'LayerNorm'][p_partkey % 5 + 1] as op_type, 'x,w' || (p_partkey % 97) as inputs from part",
+    "file_contents": "select * from (values ('one.txt', 13::bigint), ('two.txt', 2), ('as text', 13)) t(name, n)",
+    "image_decode": "select * from (values ('small.bmp', 5, 3, 45, '000000', 'C80A1E'), ('wide.bmp', 512, 8, 12288, null, '090807'), ('damaged.png', null, null, null, null, null)) t(name, width, height, bytes, first, last)",
+    "calibration_rows": "select vec_id, 192::bigint as n from embeddings where vec_id % 9 <> 8",
     "find_images": "select * from (values ('a.jpg', 1::bigint), ('b.JPEG', 2), ('d.png', 4), ('e.webp', 5)) t(name, length)",
     "l2_normalize": """with v as (select vec_id, list_transform(embedding::double[], lambda x: x * case when vec_id % 11 = 0 then 1e-10 else 3.0 end) as v from embeddings),
 n as (select vec_id, v, sqrt(list_dot_product(v, v)) as n from v), u as (select vec_id, n, case when n < 1e-8 then v else list_transform(v, lambda x: x / n) end as v from n)

@@ -22,6 +22,7 @@ def find_images(spark: SparkSession, folder: str, limit: int | None = None) -> D
 
 
 def read_bytes(spark: SparkSession, path: str) -> DataFrame:
+    """path and content of files; Spark leaves out empty ones."""
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 

@@ -10,9 +10,9 @@ from halyard.functions.encode import hashing_encoder
 from halyard.operators import catalog as C
 from halyard.operators import index as N
 from halyard.sources import files
-from halyard.sources.index_store import SCHEMA, IndexStore, format_file, parse_file, read_files
+from halyard.sources.index_store import SCHEMA, IndexStore, format_file, parse_file, read_files, write_files
 from halyard.sources.state import State
-from halyard.streaming.index_stream import CATALOG, catalog_stream, start
+from halyard.streaming.index_stream import CATALOG, cancel, catalog_stream, reconcile, start
 from halyard.streaming.queue import after_failure, claim, queue_status, reclaim
 
 
@@ -161,3 +161,37 @@ def test_queue_stream(spark, tmp_path):
     later = run_once(queue_status(stream), "update", str(tmp_path / "ck"))
     last = {r["media_id"]: r["status"] for r in later.collect()}
     assert last[3] == "DONE" and last.get(1) == "PENDING"  # silent for ten minutes of event time
+
+
+def test_reconcile_drops_what_is_gone_or_edited(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "index"))
+    rows = [(f"u{i}", [1.0, float(i)], 0) for i in range(6)]
+    store.save(spark.createDataFrame(rows[:4], SCHEMA))
+    store.checkpoint(spark.createDataFrame(rows[4:], SCHEMA))
+    alive = spark.createDataFrame([(f"u{i}",) for i in (0, 1, 2, 4, 4)], "uri string")
+    stamps = spark.createDataFrame([("u0", 5, 5), ("u1", 7, 5), ("u2", None, 3), ("u9", 1, 2)], "uri string, modified long, indexed long")
+    reconcile(store, alive, stamps)
+    assert {r["uri"] for r in store.snapshot().collect()} == {"u0", "u4"}
+
+
+def test_a_running_stream_is_cancelled(spark, tmp_path):
+    spark.createDataFrame([("u", "words", at(0))], CATALOG).write.parquet(str(tmp_path / "in"))
+    store = IndexStore(spark, str(tmp_path / "index"))
+    assert not cancel(spark, "to-cancel")
+    q = start(catalog_stream(spark, str(tmp_path / "in")), store, hashing_encoder, str(tmp_path / "checkpoint"), name="to-cancel", once=False, interval="1 hour")
+    assert cancel(spark, "to-cancel") and not q.isActive
+
+
+def test_a_damaged_store_is_not_an_empty_one(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "index"))
+    assert store.load().count() == 0 and store.pending().count() == 0
+    (tmp_path / "index" / "current").mkdir(parents=True)
+    (tmp_path / "index" / "current" / "part-0.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception, match="(?i)parquet|footer|file"):
+        store.load().count()
+
+
+def test_single_files_are_written_and_read(spark, tmp_path):
+    rows = [(i % 3, f"ü{i}", [float(i), -0.5]) for i in range(9)]
+    write_files(spark.createDataFrame(rows, "file long, uri string, embedding array<float>"), str(tmp_path / "files"))
+    assert sorted((r["uri"], list(r["embedding"])) for r in read_files(spark, str(tmp_path / "files")).collect()) == sorted((u, v) for _, u, v in rows)
