@@ -195,28 +195,38 @@ LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
 def links_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (key, fp), all rows of a key in one task: its links."""
-    held = [(b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)) for b in batches if b.num_rows]
-    if not held:
-        return
-    key, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-    order = np.lexsort((fp, key))
-    key, fp = key[order], fp[order]
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    stops = np.append(first[1:], len(key))
-    many = stops - first > 1
-    out: list[tuple[int, int]] = []
-    for a, b in zip(first[many].tolist(), stops[many].tolist(), strict=True):
-        if b - a == 2:
-            x = fp[a] ^ fp[a + 1]
-            if shared_bytes(x) >= 8 - BITS and np.bitwise_count(x) <= BITS:
-                out.append((int(fp[a]), int(fp[a + 1])))
-        else:
-            out += bucket_links(fp[a:b], TRIPLES[int(key[a]) >> 24])
-    pairs = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
-    pairs = np.unique(np.stack([pairs.min(1), pairs.max(1)], 1), axis=0) if len(pairs) else pairs
-    for at in range(0, len(pairs), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[at : at + 100_000, i])) for i in (0, 1)], schema=LINKS)
+    """From (key, fp) in order of both, all rows of a key in one task: its links.  A bucket is held, and a batch."""
+
+    def judged(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(key) < 2:
+            return
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        stops = np.append(first[1:], len(key))
+        size = stops - first
+        two = first[size == 2]
+        x = fp[two] ^ fp[two + 1]
+        two = two[(shared_bytes(x) >= 8 - BITS) & (np.bitwise_count(x) <= BITS)]
+        pairs = np.stack([fp[two], fp[two + 1]], 1)
+        more = [p for a, b in zip(first[size > 2].tolist(), stops[size > 2].tolist(), strict=True) for p in bucket_links(fp[a:b], TRIPLES[int(key[a]) >> 24])]
+        pairs = np.concatenate([pairs, np.array(more, np.uint64).reshape(-1, 2)]).view(np.int64)
+        pairs = np.unique(np.stack([pairs.min(1), pairs.max(1)], 1), axis=0) if len(pairs) else pairs
+        for at in range(0, len(pairs), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[at : at + 100_000, i])) for i in (0, 1)], schema=LINKS)
+
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key, fp = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
+        parts.append((key, fp))
+        if key[-1] == parts[0][0][0]:  # one bucket up to now
+            continue
+        key, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
+        done = int(np.searchsorted(key, key[-1]))  # the last key may go on
+        yield from judged(key[:done], fp[:done])
+        parts = [(key[done:], fp[done:])]
+    if parts:
+        yield from judged(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -224,7 +234,7 @@ def links(distinct: DataFrame) -> DataFrame:
     byte = lambda j: F.shiftrightunsigned("fp", 8 * j).bitwiseAND(F.lit(255))
     keys = F.array(*[F.lit(i << 24).cast("long") + byte(a) * 65536 + byte(b) * 256 + byte(c) for i, (a, b, c) in enumerate(TRIPLES)])
     entries = distinct.select(F.explode(keys).alias("key"), "fp")
-    return entries.repartition(F.col("key")).mapInArrow(links_kernel, "u long, v long")
+    return entries.repartition(F.col("key")).sortWithinPartitions("key", "fp").mapInArrow(links_kernel, "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:

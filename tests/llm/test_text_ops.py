@@ -404,6 +404,33 @@ def test_keep_one_of_a_hot_row(spark, many_tasks):
     assert rows(simhash.keep_one(frame)) == sorted([(4, texts[0], "x"), (10, texts[1], "y"), (4, texts[2], None), (None, None, None)], key=repr)
 
 
+def test_buckets_over_many_batches():
+    """However rows are cut into batches, the same links."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 62, 8).astype(np.uint64)
+    fps = np.unique(np.concatenate([base[rng.integers(0, 8, 300)] ^ (np.uint64(1) << rng.integers(0, 62, 300).astype(np.uint64)), base]))
+    entries = sorted((int(i << 24 | (int(f) >> 8 * a & 255) << 16 | (int(f) >> 8 * b & 255) << 8 | int(f) >> 8 * c & 255), int(f.view(np.int64))) for f in fps for i, (a, b, c) in enumerate(simhash.TRIPLES))
+
+    def classes(size):
+        parts = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in entries[at : at + size]]), pa.array([f for _, f in entries[at : at + size]])], names=["key", "fp"]) for at in range(0, len(entries), size)]
+        up = {int(f.view(np.int64)): int(f.view(np.int64)) for f in fps}
+
+        def find(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for b in simhash.links_kernel(iter(parts)):
+            for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                assert (np.int64(u).view(np.uint64) ^ np.int64(v).view(np.uint64)).bit_count() <= 3
+                up[find(u)] = find(v)
+        return sorted(find(x) for x in up), len({find(x) for x in up})
+
+    assert classes(3)[1] == classes(7)[1] == classes(10**6)[1] <= 8
+
+
 def test_components_of_a_hub(spark, many_tasks):
     edges = spark.createDataFrame([(i, 5000) for i in range(900)] + [(5000, 6000), (7000, 6000)], "u long, v long")
     got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
