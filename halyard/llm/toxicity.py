@@ -31,10 +31,12 @@ from pyspark.sql import types as T
 from halyard.llm.common import M1, Words, fresh, lanes, materialize, mix, slice_hashes, table, text_blocks
 
 #: Labelled ids to learn from at most, bytes of their texts at most, and factors.
-SAMPLE, SAMPLE_BYTES, FACTORS = 10_000, 32 << 20, 6
+SAMPLE, SAMPLE_BYTES, FACTORS = 10_000, 20 << 20, 6
 #: Of the terms that get weights, the share that shuffled labels would give too; and how far an interaction must stand out
 #: above shuffled remainders.
 BY_CHANCE, STANDS_OUT = 0.01, 1.3
+#: Where the loss on unseen rows is below this, weights tell the classes apart and no interactions are looked for.
+SETTLED = 0.01
 #: Added to how many texts a term is in, when interactions are looked for.
 RARE = 50
 SKETCH = 2
@@ -136,15 +138,16 @@ class Sample:
     label: np.ndarray
 
     def rows(self, which: np.ndarray) -> Sample:
-        keep = which[self.doc]
-        return Sample(self.vocabulary, (np.cumsum(which) - 1)[self.doc[keep]], self.term[keep], self.label[which])
+        keep, place = which[self.doc], np.cumsum(which, dtype=np.int32) - 1
+        return Sample(self.vocabulary, place[self.doc[keep]], self.term[keep], self.label[which])
 
     def of(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Document and place among the chosen terms, sorted numbers, of each that occurs."""
-        place = np.full(len(self.vocabulary), -1)
+        place = np.full(len(self.vocabulary), -1, np.int32)
         place[chosen] = np.arange(len(chosen))
         at = place[self.term]
-        return self.doc[at >= 0], at[at >= 0]
+        found = np.flatnonzero(at >= 0)
+        return self.doc[found].astype(np.int64), at[found].astype(np.int64)
 
 
 def evidence(sample: Sample, label: np.ndarray) -> np.ndarray:
@@ -237,12 +240,12 @@ def learn(sample: Sample) -> Model:
     """The machine that the sample gives: terms with weights, then interactions as long as unseen rows gain by them."""
     chosen = telling(sample)
     unseen = np.arange(len(sample.label)) % 5 == 0  # rows are in order of their hashes
-    part, rest = sample.rows(~unseen), sample.rows(unseen)
+    part, rest = sample.rows(~unseen), sample.rows(unseen)  # a copy of the sample in all
     seeds: list[tuple[np.ndarray, np.ndarray]] = []
     if 0 < part.label.sum() < len(part.label) and len(rest.label):
         model = fit(begin(part, chosen, seeds), *part.of(chosen), part.label)
         best = loss(model, rest, chosen)
-        while len(seeds) < FACTORS:
+        while best > SETTLED and len(seeds) < FACTORS:
             raw, _ = model.raw(len(part.label), *part.of(chosen))
             found = interacting(part, part.label - sigmoid(raw))
             more = [*seeds, found]
@@ -324,10 +327,18 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         return Model(np.zeros(0, np.uint64), float(np.log((yes + 1) / (len(sizes) - yes + 2))), np.zeros(0), np.zeros((0, FACTORS)))  # without labels below a half
     used = texts.filter(F.col("h") <= sizes[-1]["h"]).orderBy("h", "toxic").select("text", "toxic")
     held = used.mapInArrow(term_kernel, "toxic int, terms array<long>").toArrow()  # a term for each byte at most
-    lists = held.column("terms").combine_chunks()
-    vocabulary, number = np.unique(lists.flatten().to_numpy().view(np.uint64), return_inverse=True)
-    doc = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
-    return learn(Sample(vocabulary, doc, number, held.column("toxic").to_numpy().astype(float)))
+    lists, label = held.column("terms"), held.column("toxic").to_numpy().astype(float)
+    sizes = np.concatenate([c.value_lengths().to_numpy() for c in lists.chunks])
+    every = np.concatenate([c.flatten().to_numpy() for c in lists.chunks]).view(np.uint64)
+    del held, lists
+    doc = np.repeat(np.arange(len(label), dtype=np.int32), sizes)
+    order = np.argsort(every)  # numbered in place of np.unique, which holds several times as much
+    every = every[order]
+    new = np.append(True, every[1:] != every[:-1])
+    vocabulary, number = every[new], np.empty(len(every), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
+    del every, order, new
+    return learn(Sample(vocabulary, doc, number, label))
 
 
 def scored(docs: DataFrame, model: Model, *, text_col: str = "text", name: str = "score") -> DataFrame:
