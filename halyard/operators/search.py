@@ -170,6 +170,8 @@ def two_stage(index: DataFrame, heads: DataFrame, queries: DataFrame, knobs: Kno
 
 #: Vectors of a cell that a task holds while all that may be near them stream by.
 HOME_ROWS = 1024
+#: Tasks that deal with the copies of one vector.
+SALTS = 64
 
 
 def near_duplicates(index: DataFrame, at_least: float = 0.97, *, key: str = "vec_id", vector: str = "embedding", pivots: int = 2, recall: float | None = None) -> DataFrame:
@@ -190,8 +192,11 @@ def near_duplicates(index: DataFrame, at_least: float = 0.97, *, key: str = "vec
     """
     key_type = index.schema[key].dataType
     every = index.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(is_valid("v"))
-    rows = every.groupBy("v").agg(F.min("id").alias("id")).select("id", "v")
-    copies = every.join(rows.select(F.col("id").alias("a"), "v"), "v").filter(F.col("id") != F.col("a"))
+    classes = every.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    rows = classes.select("id", "v")
+    # a vector on any number of rows meets its class in SALTS tasks
+    salted = classes.filter("n > 1").select(F.col("id").alias("a"), "v", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    copies = every.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["v", "salt"]).filter(F.col("id") != F.col("a"))
     copies = copies.select("a", F.col("id").alias("b"), dot("v", "v").alias("score")).filter(F.col("score") >= at_least)
     if recall is None:
         r = max((2 - 2 * at_least) ** 0.5, 1e-6) * (1 + 1e-9)
