@@ -397,6 +397,13 @@ select bucket_id, 'Ready - ' || n || ' indexed (' || case when bucket_id is null
     "unique_names": f"""with t(name) as (values {", ".join(f"('{x}')" for x in TAKEN)}), r as (select p_partkey as id, p_type as name, row_number() over (partition by p_type order by p_partkey) as nth from part),
 c as (select name, k, case when k = 0 then name else name || '_' || k end as made from (select name, unnest(range(0, count(*) + 10)) as k from r group by name)),
 f as (select name, made, row_number() over (partition by name order by k) as nth from c where made not in (select name from t)) select id, made as unique_name from r join f using (name, nth)""",
+    "unique_names_mixed": f"""with recursive w as (select p_partkey as id, p_type as family, p_type || case when p_partkey % 7 = 0 then '_1' when p_partkey % 11 = 0 then '_1_2' when p_partkey % 13 = 0 then '_3' else '' end as name,
+  row_number() over (partition by p_type order by p_partkey) as nth from part),
+r(family, nth, id, name, made, used) as (select distinct family, 0::bigint, null::bigint, null::varchar, null::varchar, [{", ".join(f"'{x}'" for x in TAKEN)}] from w
+  union all select family, nth, id, name, made, list_append(used, made) from (select w.family, w.nth, w.id, w.name, r.used,
+    case when not list_contains(r.used, w.name) then w.name else w.name || '_' || list_filter(range(1, len(r.used) + 2), lambda k: not list_contains(r.used, w.name || '_' || k))[1] end as made
+    from r join w on w.family = r.family and w.nth = r.nth + 1))
+select id, name, made as unique_name from r where nth > 0""",
     "unindexed_images": "select 'item/' || event_id as uri from events where event_id not in (select vec_id from embeddings)",
     "cached_index": f"with {CATALOG} select 'item/' || vec_id as uri, cast(label as bigint) as version from embeddings where vec_id in (select id from c where bucket_id = 'view')",
     "deletion_reconcile": f"with {CATALOG} select 'item/' || vec_id as uri from embeddings where vec_id not in (select id from c where bucket_id is not null)",

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from halyard.functions.encode import hashing_encoder
-from halyard.plans.tables import shared, table
+from halyard.plans.retrieval import EVERY, SCORED, rounded
+from halyard.plans.tables import shared, table, vectors
 from halyard.sources.index_store import IndexStore
-from halyard.streaming.index_stream import CATALOG, catalog_stream, reconcile, start
+from halyard.streaming.index_stream import CATALOG, catalog_stream, live_search, reconcile, start
 from halyard.streaming.queue import debounced, queue_status
 
 
@@ -41,6 +42,17 @@ def stream_reconcile(spark: SparkSession, d: str) -> DataFrame:
     return store.load().select("uri")
 
 
+def stream_live_search(spark: SparkSession, d: str) -> DataFrame:
+    """The best three of each query after each of three deliveries of the vectors, dealt by id."""
+    base = shared(spark, "stream-live")
+    index = vectors(spark, d).select("vec_id", "embedding")
+    queries = index.filter(F.col("vec_id") % EVERY == 0).withColumnRenamed("vec_id", "query_id")
+    for delivery in range(3):
+        index.filter(F.col("vec_id") % 3 == delivery).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        live_search(spark.readStream.schema(index.schema).parquet(f"{base}/in"), queries, f"{base}/out", f"{base}/checkpoint", k=3, exclude_self=True).awaitTermination()
+    return rounded(spark.read.parquet(f"{base}/out").select(F.col("batch").cast("long").alias("delivery"), "query_id", "vec_id", "rank", "score"), "score")
+
+
 def run_once(stream: DataFrame, mode: str, where: str) -> DataFrame:
     """All the stream has, with its batch, written beside its checkpoint: a folder for each batch, so a repeated batch
     replaces itself."""
@@ -72,10 +84,12 @@ def stream_debounce(spark: SparkSession, d: str) -> DataFrame:
     return out.select("event_type", "n", F.unix_micros("last_ts").alias("last_us"))
 
 
-QUERIES = {f.__name__: f for f in (stream_index, stream_reconcile, stream_queue, stream_debounce)}
+QUERIES = {f.__name__: f for f in (stream_index, stream_reconcile, stream_live_search, stream_queue, stream_debounce)}
 ORACLE_SQL = {
     "stream_index": "select 'part/' || p_partkey as uri, 64::bigint as dim from part",
     "stream_reconcile": "select 'part/' || p_partkey as uri from part where p_size <= 25",
+    "stream_live_search": f"""with {SCORED}, x as (select deliver.d as delivery, s.* from s, (select unnest(range(3)) as d) deliver where s.id % 3 <= deliver.d),
+r as (select *, row_number() over (partition by delivery, query_id order by score desc, id) as rank from x) select delivery, query_id, id as vec_id, rank, round(score, 6) as score from r where rank <= 3""",
     "stream_queue": """with f as (select user_id, event_type, ts, event_id, sum(case when event_type = 'error' then 1 else 0 end) over (partition by user_id order by ts, event_id) as r from events),
 g as (select user_id, count(*) filter (where event_type = 'error') as retries, max(ts) as beat,
   max_by(case event_type when 'purchase' then 'DONE' when 'error' then case when r > 3 then 'FAILED' else 'PENDING' end else 'PROCESSING' end, (ts, event_id)) filter (where event_type <> 'signup') as status from f group by user_id)

@@ -111,8 +111,9 @@ def query_token_ids(spark: SparkSession, d: str, vocabulary: str | None = None)
 
 
 def text_encode_stub(spark: SparkSession, d: str) -> DataFrame:
-    rows = texts(spark, d).select("id", text_encoder(hashing_encoder)(F.col("text")).alias("v"))
-    return rounded(rows.select("id", F.size("v").alias("dim"), norm("v").alias("norm")), "norm")
+    """Vectors are of length one, or zero where the stub's words cancel each other."""
+    rows = texts(spark, d).select("id", text_encoder(hashing_encoder)(F.col("text")).alias("v")).withColumn("n", norm("v"))
+    return rows.select("id", F.size("v").cast("long").alias("dim"), (F.abs(F.col("n") * F.col("n") - F.col("n")) < 1e-5).alias("is_unit"))
 
 
 def encode_items(spark: SparkSession, d: str) -> DataFrame:
@@ -188,6 +189,7 @@ select p_partkey, array_to_string(list_transform(range(1, 78), lambda i: coalesc
 z as (select p_partkey, list_transform(range(1, 78), lambda i: coalesce(b[i], 0)) as z from c) select p_partkey, array_to_string(z, ',') as input_ids, array_to_string(list_transform(z, lambda x: case when x <> 0 then 1 else 0 end), ',') as mask from z""",
     "name_match": "with n as (select p_partkey, string_split(upper(p_name) || ' ' || p_type, ' ') as n from part) select p_partkey, coalesce(list_filter(n, lambda x: contains(lower(x), 'ri'))[1], n[1]) as name from n",
     "query_token_ids": f"select query, ids, 77::bigint as padded from (values {', '.join(str(x) for x in GOLDEN)}) t(query, ids)",
+    "text_encode_stub": "select p_partkey as id, 64::bigint as dim, true as is_unit from part",
     "encode_items": "select p_partkey as id, case when p_partkey % 9 <> 0 then 64::bigint end as dim, case when p_partkey % 9 = 0 then 'no input' end as error from part",
     "image_preprocess": f"""with c as (select vec_id, substr('0123456789abcdef0f1e2d3c4b5a', (vec_id % 20 + 1)::int, 6) as h, vec_id % 9 <> 8 as fits from embeddings),
 b as (select vec_id, fits, ('0x' || substr(h, 1, 2))::int / 255.0::double as r, ('0x' || substr(h, 3, 2))::int / 255.0::double as g, ('0x' || substr(h, 5, 2))::int / 255.0::double as b from c)

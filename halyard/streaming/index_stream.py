@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from halyard.functions.encode import Encoder, encode_batches
 from halyard.operators.index import cached, edited, unindexed
+from halyard.operators.search import nearest, ranked, top_k
 from halyard.sources.index_store import IndexStore
 
 CATALOG = T.StructType([T.StructField("uri", T.StringType()), T.StructField("item", T.StringType()), T.StructField("date_added", T.TimestampType())])
@@ -54,6 +55,22 @@ def restart(catalog: DataFrame, *args: object, name: str = "index", **options: o
     return start(catalog, *args, name=name, **options)
 
 
+def live_search(index: DataFrame, queries: DataFrame, out: str, checkpoint: str, *, k: int = 1, key: str = "vec_id", **options: object) -> StreamingQuery:
+    """Queries asked anew as a stream of vectors arrives: each batch searches what it brings, merges it with the results
+    before it, and writes the first k of each query up to now as out/batch=N, so a repeated batch replaces itself.  A
+    search costs the batch, not the index."""
+    spark = index.sparkSession
+
+    def run(batch: DataFrame, number: int) -> None:
+        found = nearest(batch, queries, k, key=key, **options).drop("rank")
+        if number:
+            before = spark.read.parquet(f"{out}/batch={number - 1}")
+            found = top_k(found.unionByName(before.drop("rank")), k, key=key).drop("rank")
+        ranked(found, key=key).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return index.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run).trigger(availableNow=True).start()
+
+
 def reconcile(store: IndexStore, alive: DataFrame, stamps: DataFrame | None = None) -> None:
     """What a periodic run does beside indexing: vectors of items that are gone leave the index, and with stamps(uri,
     modified, indexed) those of items that were edited since, so that they are encoded anew when they come by again."""
