@@ -124,7 +124,7 @@ def index_file(spark: SparkSession, d: str) -> DataFrame:
     write_files(rows.filter("embedding is not null"), folder)
     put_bytes(spark, f"{folder}/damaged.bin", b"GSIX and no more")
     back = read_files(spark, folder)
-    return back.select("uri", F.size("embedding").cast("long").alias("n"), F.round(V.total(F.transform("embedding", lambda x: x.cast("double"))), 5).alias("total"))
+    return back.select("uri", F.coalesce(F.size("embedding"), F.lit(0)).cast("long").alias("n"), F.round(V.total(F.transform("embedding", lambda x: x.cast("double"))), 5).alias("total"))
 
 
 def edit_detection(spark: SparkSession, d: str) -> DataFrame:
@@ -314,7 +314,7 @@ def image_decode(spark: SparkSession, d: str) -> DataFrame:
         put_bytes(spark, f"{folder}/{name}", content)
     rows = I.read_images(spark, folder)
     byte = lambda i: F.hex(F.substring("rgb", i, 3))
-    return rows.select(F.substring_index("path", "/", -1).alias("name"), "width", "height", F.octet_length("rgb").alias("bytes"), F.when(F.col("width") < 9, byte(1)).alias("first"), byte(-3).alias("last"))
+    return rows.select(F.substring_index("path", "/", -1).alias("name"), *[F.coalesce(c, F.lit(0)).alias(n) for n, c in (("width", F.col("width")), ("height", F.col("height")), ("bytes", F.octet_length("rgb")))], F.when(F.col("width") < 9, byte(1)).alias("first"), byte(-3).alias("last"))
 
 
 def calibration_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -414,10 +414,10 @@ u as (select * from o union all select * from f) select 'item/' || vec_id as uri
     "record_bounds": "select vec_id, vec_id * 20 between 1 and 4096 and vec_id % 9 <> 0 as in_bounds from embeddings",
     "vocab_lookup": "with v as (select p_brand as token, min(p_partkey) as id from part group by p_brand having count(*) % 2 = 0) select p_partkey, p_brand as token, coalesce(v.id, 49407) as id from part left join v on v.token = p_brand",
     "scan_backfill": f"with {CATALOG} select 'within' as mark, id from c where bucket_id in ('view', 'error') and epoch_us(date_added) // 1000000 > {MARK_MS} // 1000 union all select 'behind', id from c where bucket_id in ('view', 'error')",
-    "index_file": "select 'item/' || vec_id as uri, len(embedding) as n, round(list_sum(embedding::double[]), 5) as total from embeddings union all select null, null, null",
+    "index_file": "select 'item/' || vec_id as uri, len(embedding) as n, round(list_sum(embedding::double[]), 5) as total from embeddings union all select null, 0, null",
     "model_graph": "select p_name || '/' || p_partkey as node, ['Conv', 'MatMul', 'Gemm', 'Softmax', 'LayerNorm'][p_partkey % 5 + 1] as op_type, 'x,w' || (p_partkey % 97) as inputs from part",
     "file_contents": "select * from (values ('one.txt', 13::bigint), ('two.txt', 2), ('as text', 13)) t(name, n)",
-    "image_decode": "select * from (values ('small.bmp', 5, 3, 45, '000000', 'C80A1E'), ('wide.bmp', 512, 8, 12288, null, '090807'), ('damaged.png', null, null, null, null, null)) t(name, width, height, bytes, first, last)",
+    "image_decode": "select * from (values ('small.bmp', 5, 3, 45, '000000', 'C80A1E'), ('wide.bmp', 512, 8, 12288, null, '090807'), ('damaged.png', 0, 0, 0, null, null)) t(name, width, height, bytes, first, last)",
     "calibration_rows": "select vec_id, 192::bigint as n from embeddings where vec_id % 9 <> 8",
     "find_images": "select * from (values ('a.jpg', 1::bigint), ('b.JPEG', 2), ('d.png', 4), ('e.webp', 5)) t(name, length)",
     "l2_normalize": """with v as (select vec_id, list_transform(embedding::double[], lambda x: x * case when vec_id % 11 = 0 then 1e-10 else 3.0 end) as v from embeddings),

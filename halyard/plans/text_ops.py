@@ -118,7 +118,7 @@ def text_encode_stub(spark: SparkSession, d: str) -> DataFrame:
 
 def encode_items(spark: SparkSession, d: str) -> DataFrame:
     rows = encode_batches(texts(spark, d).withColumn("text", F.when(F.col("id") % 9 != 0, F.col("text"))), hashing_encoder, source="text")
-    return rows.select("id", F.size("embedding").cast("long").alias("dim"), "error")
+    return rows.select("id", F.coalesce(F.size("embedding"), F.lit(0)).cast("long").alias("dim"), "error")
 
 
 #: Edge of the images that the query makes.
@@ -133,8 +133,8 @@ def image_preprocess(spark: SparkSession, d: str) -> DataFrame:
     app, tool = preprocess(target=EDGE), preprocess(normalize=True, target=EDGE, method="bicubic")
     rows = vectors(spark, d).select("vec_id", app(image(75, 65), F.lit(75), F.lit(65)).alias("x"), tool(image(40, 30), F.lit(40), F.lit(30)).alias("y"))
     ends = lambda c: [F.element_at(c, i).cast("double") for i in (1, EDGE * EDGE + EDGE + 7, -1)]
-    out = [v.alias(f"{n}{i}") for n, c in (("app_", "x"), ("tool_", "y")) for i, v in enumerate(ends(c))]
-    return rounded(rows.select("vec_id", F.size("x").cast("long").alias("n"), *out), *[f"{n}{i}" for n in ("app_", "tool_") for i in range(3)])
+    out = [F.round(v, 4).alias(f"{n}{i}") for n, c in (("app_", "x"), ("tool_", "y")) for i, v in enumerate(ends(c))]  # of single precision
+    return rows.select("vec_id", F.coalesce(F.size("x"), F.lit(0)).cast("long").alias("n"), *out)
 
 
 def half_round_trip(spark: SparkSession, d: str) -> DataFrame:
@@ -190,10 +190,10 @@ z as (select p_partkey, list_transform(range(1, 78), lambda i: coalesce(b[i], 0)
     "name_match": "with n as (select p_partkey, string_split(upper(p_name) || ' ' || p_type, ' ') as n from part) select p_partkey, coalesce(list_filter(n, lambda x: contains(lower(x), 'ri'))[1], n[1]) as name from n",
     "query_token_ids": f"select query, ids, 77::bigint as padded from (values {', '.join(str(x) for x in GOLDEN)}) t(query, ids)",
     "text_encode_stub": "select p_partkey as id, 64::bigint as dim, true as is_unit from part",
-    "encode_items": "select p_partkey as id, case when p_partkey % 9 <> 0 then 64::bigint end as dim, case when p_partkey % 9 = 0 then 'no input' end as error from part",
+    "encode_items": "select p_partkey as id, case when p_partkey % 9 <> 0 then 64 else 0 end::bigint as dim, case when p_partkey % 9 = 0 then 'no input' end as error from part",
     "image_preprocess": f"""with c as (select vec_id, substr('0123456789abcdef0f1e2d3c4b5a', (vec_id % 20 + 1)::int, 6) as h, vec_id % 9 <> 8 as fits from embeddings),
 b as (select vec_id, fits, ('0x' || substr(h, 1, 2))::int / 255.0::double as r, ('0x' || substr(h, 3, 2))::int / 255.0::double as g, ('0x' || substr(h, 5, 2))::int / 255.0::double as b from c)
-select vec_id, case when fits then {3 * EDGE * EDGE}::bigint end as n, {", ".join(f"case when fits then round(({c} - {m}) / {q}, 6) end as {n}{i}" for n, scale in (("app_", ((0.0, 1.0),) * 3), ("tool_", tuple(zip(MEAN, STD, strict=True)))) for i, (c, (m, q)) in enumerate(zip("rgb", scale, strict=True)))} from b""",
+select vec_id, case when fits then {3 * EDGE * EDGE} else 0 end::bigint as n, {", ".join(f"case when fits then round(({c} - {m}) / {q}, 4) end as {n}{i}" for n, scale in (("app_", ((0.0, 1.0),) * 3), ("tool_", tuple(zip(MEAN, STD, strict=True)))) for i, (c, (m, q)) in enumerate(zip("rgb", scale, strict=True)))} from b""",
     "half_round_trip": """with e as (select vec_id, list_transform(embedding::double[], lambda x: case when x = 0 then 0.0 else round_even(x / pow(2, greatest(floor(log2(abs(x))), -14) - 10), 0) * pow(2, greatest(floor(log2(abs(x))), -14) - 10) end) as v from embeddings)
 select vec_id, array_to_string(list_transform(v, lambda x: round(x * 16777216)::bigint), ',') as back from e""",
 }
