@@ -177,8 +177,15 @@ def objective(per_config: DataFrame) -> DataFrame:
     return per_config.withColumn("objective", value).orderBy(F.desc(F.round("objective", 9)), "config").limit(10)
 
 
-#: Rows of a key that a latency window's task orders at once.
-STRETCH = 10_000
+#: Rows of a key that a latency window's task orders at once, and rows of a part by quantiles at least.
+STRETCH, PART_ROWS = 10_000, 20_000
+
+
+def part_bounds(rows: DataFrame, value: Column, parts: int) -> list[float]:
+    """Quantiles that cut the rows into `parts`, or into as many as leave PART_ROWS each: every row is compared with all."""
+    found, n = rows.agg(F.percentile_approx(value, F.lit([i / parts for i in range(1, parts)]), F.lit(10_000)), F.count(F.lit(1))).first()
+    step = max(1, parts * PART_ROWS // max(1, n))
+    return sorted(set((found or [])[step - 1 :: step])) or [0.0]
 
 
 def placed(rows: DataFrame, key: str, by: list[str], parts: int = 200, name: str = "nth") -> DataFrame:
@@ -188,9 +195,11 @@ def placed(rows: DataFrame, key: str, by: list[str], parts: int = 200, name: str
     orders a key whole.  Rows that are equal in that column share a part.
     """
     first = F.col(by[0]).cast("timestamp").cast("double") if dict(rows.dtypes)[by[0]].startswith("timestamp") else F.col(by[0]).cast("double")
-    bounds = rows.agg(F.percentile_approx(first, F.lit([i / parts for i in range(1, parts)]), F.lit(10_000))).first()[0]
-    part = F.greatest(F.size(F.filter(F.lit(sorted(set(bounds or [0.0]))), lambda b: b < first)), F.lit(0))  # a null is first
-    rows = rows.withColumn("_part", part)
+    bounds = part_bounds(rows, first, parts)
+    part = F.greatest(F.size(F.filter(F.lit(bounds), lambda b: b < first)), F.lit(0))  # a null is first
+    # by a generator, so that the part is a column of its own: as an expression, Spark would carry it over the join below to
+    # the side that no longer has what it is made of
+    rows = rows.select("*", F.inline(F.array(F.struct(part.alias("_part")))))
     counts = rows.groupBy(F.col(key).alias("_key"), F.col("_part").alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("_key").orderBy("_of")) - F.col("_n")  # `parts` rows a key
     starts = counts.select("_key", "_of", before.alias("_start"))

@@ -52,7 +52,9 @@ def test_unique_names_of_many(spark, seed):
     assert sorted((r["id"], r["name"], r["unique_name"]) for r in got.collect()) == probed(wanted, taken)
 
 
-def test_places_within_a_key(spark):
+@pytest.mark.parametrize("part_rows", [10, E.PART_ROWS])
+def test_places_within_a_key(spark, monkeypatch, part_rows):
+    monkeypatch.setattr(E, "PART_ROWS", part_rows)
     rng = random.Random(4)
     rows = [(i, rng.choice(["hot", "hot", "cold", None]), rng.randint(0, 40)) for i in range(500)]
     got = E.placed(spark.createDataFrame(rows, "id long, k string, t long").repartition(4), "k", ["t", "id"], parts=7).collect()
