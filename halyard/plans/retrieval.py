@@ -235,7 +235,8 @@ def page_prefetch(spark: SparkSession, d: str) -> DataFrame:
 def live_best(spark: SparkSession, d: str, stretch: int = 1000) -> DataFrame:
     """Best score of each query over the index as it grew.  A query's rows are taken in stretches of ids: the best of the
     stretches before, and a running best within one."""
-    s = scores(spark, d).select("query_id", "id", "score", F.floor(F.col("id") / stretch).alias("_in"))
+    number = F.inline(F.array(F.struct(F.floor(F.col("id") / stretch).alias("_in"))))  # a column of its own on both sides of the join
+    s = scores(spark, d).select("query_id", "id", "score", number)
     tops = s.groupBy(F.col("query_id").alias("_query"), F.col("_in").alias("_of")).agg(F.max("score").alias("_top"))
     before = F.max("_top").over(Window.partitionBy("_query").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1))
     tops = tops.select("_query", "_of", before.alias("_before"))
