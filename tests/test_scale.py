@@ -36,3 +36,17 @@ def test_a_task_holds_some_scores_at_once(monkeypatch):
     got = {(q, k): s for b in out for q, k, s in zip(*(c.to_pylist() for c in b.columns), strict=True)}
     want = {(q, k): max(asked[i] @ rows[k] for i in range(17) if names[i] == q) for q in names for k in range(20) if k != q}
     assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-12 for x in want)
+
+
+#: Of the 12,475 pairs, how many may leave the scan.
+LEAVE = {
+    "confusion_diagonal": 100,
+}
+
+
+@pytest.mark.parametrize("name", LEAVE)
+def test_pairs_that_decide_nothing_stay_in_the_scan(spark, monkeypatch, name):
+    left, score = [], S.score
+    monkeypatch.setattr(S, "score", lambda *a, **b: left.append(score(*a, **b)) or left[-1])
+    R.QUERIES[name](spark, DATA)
+    assert sum(s.count() for s in left) <= LEAVE[name]
