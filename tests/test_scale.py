@@ -42,6 +42,7 @@ def test_a_task_holds_some_scores_at_once(monkeypatch):
 LEAVE = {
     "confusion_diagonal": 100,
     "diagonal_rate": 100,
+    "recall_at_k": 500,
 }
 
 
