@@ -43,6 +43,7 @@ LEAVE = {
     "confusion_diagonal": 100,
     "diagonal_rate": 100,
     "recall_at_k": 500,
+    "outcome_rates": 500,
 }
 
 
