@@ -44,6 +44,7 @@ LEAVE = {
     "diagonal_rate": 100,
     "recall_at_k": 500,
     "outcome_rates": 500,
+    "score_ratio": 1000,
 }
 
 
