@@ -38,6 +38,35 @@ def test_a_task_holds_some_scores_at_once(monkeypatch):
     assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-12 for x in want)
 
 
+def test_tally_is_that_of_all_pairs(spark, small_batches):
+    """Labels that are null, scores beyond the arrays, halves between places, copies."""
+    rng = np.random.default_rng(2)
+    v = np.round(rng.normal(size=(60, 4)), 1)
+    v[7] = v[3] * 9
+    v[20:30] = v[20]
+    rows = [(i, x, None if i % 11 == 0 else i % 3) for i, x in enumerate(v)]
+    index = table(spark, rows)
+    queries = index.filter("vec_id % 5 = 0").withColumnRenamed("vec_id", "query_id")
+    pairs = [(float(a @ b), None if k is None or m is None else k == m) for i, a, k in rows if i % 5 == 0 for j, b, m in rows if i != j]
+    for width in (1e-6, 0.02):
+        got = S.tally(index, queries, width, exclude_self=True)
+        want = E.tallied(spark.createDataFrame(pairs, "score double, relevant boolean"), width=width)
+        key = lambda df: {(r["relevant"], r["score"]): r["pairs"] for r in df.collect()}
+        assert key(got) == key(want)
+    got = {r["relevant"]: r for r in E.distribution(S.tally(index, queries, 1e-6, exclude_self=True)).collect()}
+    for which in (True, False, None):
+        x = np.array([s for s, r in pairs if r is which])
+        r = got[which]
+        assert r["n"] == len(x)
+        assert np.allclose([r["mean"], r["std"]], [x.mean(), x.std(ddof=1)], rtol=1e-12)
+        assert np.allclose([r[f"p{p}"] for p in (10, 25, 50, 75, 95)], np.quantile(np.round(x, 6), [0.1, 0.25, 0.5, 0.75, 0.95]), atol=1e-9)
+
+
+def test_distribution_of_one(spark):
+    r = E.distribution(spark.createDataFrame([(0.5, True)], "score double, relevant boolean")).first()
+    assert (r["n"], r["mean"], r["std"], r["p10"], r["p95"]) == (1, 0.5, None, 0.5, 0.5)
+
+
 #: Of the 12,475 pairs, how many may leave the scan.
 LEAVE = {
     "confusion_diagonal": 100,
@@ -45,6 +74,7 @@ LEAVE = {
     "recall_at_k": 500,
     "outcome_rates": 500,
     "score_ratio": 1000,
+    "score_distribution": 0,
 }
 
 
