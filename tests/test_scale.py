@@ -75,6 +75,7 @@ LEAVE = {
     "outcome_rates": 500,
     "score_ratio": 1000,
     "score_distribution": 0,
+    "roc_auc": 0,
 }
 
 
