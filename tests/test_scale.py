@@ -76,6 +76,7 @@ LEAVE = {
     "score_ratio": 1000,
     "score_distribution": 0,
     "roc_auc": 0,
+    "youden_cut": 0,
 }
 
 
