@@ -77,6 +77,7 @@ LEAVE = {
     "score_distribution": 0,
     "roc_auc": 0,
     "youden_cut": 0,
+    "threshold_at_tpr": 0,
 }
 
 
