@@ -78,6 +78,7 @@ LEAVE = {
     "roc_auc": 0,
     "youden_cut": 0,
     "threshold_at_tpr": 0,
+    "knob_sweep": 1500,
 }
 
 
