@@ -79,6 +79,7 @@ LEAVE = {
     "youden_cut": 0,
     "threshold_at_tpr": 0,
     "knob_sweep": 1500,
+    "sweep_objective": 6000,
 }
 
 
