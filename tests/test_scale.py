@@ -67,6 +67,23 @@ def test_distribution_of_one(spark):
     assert (r["n"], r["mean"], r["std"], r["p10"], r["p95"]) == (1, 0.5, None, 0.5, 0.5)
 
 
+@pytest.mark.parametrize("stretch", [5, 1000])
+def test_running_best_over_equal_keys(spark, small_batches, stretch):
+    """Rows of one key share their best, as in SQL, wherever batches and parts end."""
+    rng = np.random.default_rng(4)
+    rows = [(i if i < 30 or i % 9 else 31, x, 0) for i, x in enumerate(rng.normal(size=(80, 3)))] + [(200, [1.0, 2.0], 0), (None, [1.0, 1.0, 1.0], 0)]
+    index = table(spark, rows).withColumnRenamed("vec_id", "id")
+    queries = index.filter("id in (0, 10, 40, 200)").withColumnRenamed("id", "query_id")
+    got = S.running_best(index, queries, key="id", exclude_self=True, stretch=stretch).collect()
+    known = [(i, np.array(v)) for i, v, _ in rows if i is not None]
+    want = []
+    for q, a in known:
+        if q in (0, 10, 40, 200):
+            mine = [(i, float(a @ b)) for i, b in known if i != q and len(a) == len(b)]
+            want += [(q, i, round(max(s for j, s in mine if j <= i), 9)) for i, _ in mine]
+    assert sorted((r["query_id"], r["id"], round(r["best"], 9)) for r in got) == sorted(want)
+
+
 #: Of the 12,475 pairs, how many may leave the scan.
 LEAVE = {
     "confusion_diagonal": 100,
