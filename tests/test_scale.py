@@ -84,6 +84,29 @@ def test_running_best_over_equal_keys(spark, small_batches, stretch):
     assert sorted((r["query_id"], r["id"], round(r["best"], 9)) for r in got) == sorted(want)
 
 
+def test_report_over_pieces(spark, monkeypatch, small_batches):
+    """Scores that don't fit 16 bits, that round to a negative zero, ties, halves, and a name on two rows."""
+    values = [0.0312500, 0.00001, -0.00001, 0.5, -1.25, 3.2699, 0.99995, 0.12345]
+    images = [(f"i{i}", [x, 0.01]) for i, x in enumerate(values * 3)] + [("i5", [0.25, 0.01]), ("j", [40000.0, 0.01]), ("k", [40000.0, 0.01])]
+    texts = [(f"q{i}", [1.0 - i / 7, 0.0]) for i in range(5)]
+    i = spark.createDataFrame(images, "name string, embedding array<double>").repartition(4)
+    t = spark.createDataFrame(texts, "query string, embedding array<double>")
+    got = {r["query"]: r for r in S.score_report(t, i).collect()}
+    assert len(got) == 5
+    for q, (x, _) in texts:
+        want = sorted((n, f"{v * x:.4f}") for n, (v, _) in images)
+        entries = [tuple(e.split("=")) for e in got[q]["matches"].split(",")]
+        assert sorted(entries) == want and [n for n, _ in entries] == [n for n, _ in want]
+        assert got[q]["best_score"] == 40000.0 * x and got[q]["best_name"] == "k"
+
+
+def test_ten_thousandths_are_those_of_printf():
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.uniform(-3, 3, 5000), np.arange(-3000, 3000) / 1e3 + 5e-5, np.arange(-200, 200) / 64, [0.0, -0.0, -1e-9, -4.9e-5, -5e-5]])
+    shown = [f"{i / 1e4:.4f}" if i > S.NO_SIGN else "-0.0000" for i in S.ten_thousandths(x).tolist()]
+    assert shown == [f"{v:.4f}" for v in x.tolist()]
+
+
 #: Of the 12,475 pairs, how many may leave the scan.
 LEAVE = {
     "confusion_diagonal": 100,
