@@ -62,6 +62,40 @@ def test_tally_is_that_of_all_pairs(spark, small_batches):
         assert np.allclose([r[f"p{p}"] for p in (10, 25, 50, 75, 95)], np.quantile(np.round(x, 6), [0.1, 0.25, 0.5, 0.75, 0.95]), atol=1e-9)
 
 
+@pytest.mark.parametrize("block_bytes", [S.BLOCK_BYTES, 300])
+def test_pair_tally_is_that_of_every_row_with_all_others(spark, monkeypatch, small_batches, block_bytes):
+    """Keys on several rows, null keys and labels, two lengths, scores beyond the arrays, halves between places, copies."""
+    monkeypatch.setattr(S, "CELLS", 40)
+    rng = np.random.default_rng(3)
+    v = np.round(rng.normal(size=(90, 4)) * 8) / 8  # so that sums of products are exact in any order
+    v[7] = v[3] * 9e6
+    v[20:30] = v[20]
+    rows = [(None if i == 50 else i // 2 if i < 12 else i, x[:3] if i % 10 == 9 else x, None if i % 11 == 0 else i % 3) for i, x in enumerate(v)]
+    known = [r for r in rows if r[0] is not None and r[2] is not None]
+    pairs = [(float(a @ b), k == m) for i, a, k in known for j, b, m in known if i != j and len(a) == len(b)]
+    for width in (1e-6, 1 / 32):
+        want = E.tallied(spark.createDataFrame(pairs, "score double, relevant boolean"), width=width)
+        count = lambda df: {(r["relevant"], r["score"]): r["n"] for r in df.groupBy("relevant", "score").agg(S.F.sum("pairs").alias("n")).filter("n <> 0").collect()}
+        assert count(S.pair_tally(table(spark, rows), width, block_bytes=block_bytes)) == count(want)
+
+
+def test_pair_tally_counts_many_in_one_place(spark):
+    rows = [(i, [1.0, 0.0], i % 2) for i in range(1500)]
+    got = S.pair_tally(table(spark, rows), 1e-6).groupBy("relevant").agg(S.F.sum("pairs").alias("n"), S.F.max("score").alias("s"), S.F.min("score").alias("t")).collect()
+    assert sorted(tuple(r) for r in got) == [(False, 2 * 750 * 750, 1.0, 1.0), (True, 2 * 750 * 749, 1.0, 1.0)]
+
+
+def test_threshold_comes_from_all_rows(spark, tmp_path):
+    """Rows whose id is divisible by 20 score otherwise than the rest."""
+    odd = [(i, [1.0, 0.0, 0.0], 0) for i in range(0, 100, 20)]
+    rest = [(i, [0.0, 0.8, 0.6] if i % 2 else [0.0, 0.6, 0.8], i % 2) for i in range(100) if i % 20]
+    table(spark, odd + rest).write.parquet(f"{tmp_path}/embeddings.parquet")
+    (r,) = R.threshold_at_tpr(spark, str(tmp_path)).collect()
+    n = {0: 45, 1: 50}  # of the rest, by label
+    relevant = [1.0] * (5 * 4 + sum(k * (k - 1) for k in n.values())) + [0.0] * (2 * 5 * n[0])
+    assert (r["score"], r["tpr"], r["fpr"]) == (1.0, round(relevant.count(1.0) / len(relevant), 6), 0.0)
+
+
 def test_distribution_of_one(spark):
     r = E.distribution(spark.createDataFrame([(0.5, True)], "score double, relevant boolean")).first()
     assert (r["n"], r["mean"], r["std"], r["p10"], r["p95"]) == (1, 0.5, None, 0.5, 0.5)
